@@ -40,3 +40,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) != 0 as base_failed, (fail_bits & (1 + 2 + 4 + 8 + 16 + 128)) = 0 as kept, fail_bits
 from f
 """
+
+LINE_DEDUP = r"""
+with d as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents
+), x as (
+  select doc_id, unnest(l) as line, unnest(range(0, len(l))) as pos from d
+), k as (
+  select doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from x
+), f as (
+  select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), s as (
+  select k.*, f.key is not null and k.doc_id != f.keeper as gone from k left join f using (key)
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from s group by doc_id
+"""
