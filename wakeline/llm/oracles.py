@@ -60,3 +60,32 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from s group by doc_id
 """
+
+
+def mixing(rounds: int = 8, temperature: float = 0.7, seed: int = 17) -> str:
+    """Raking unrolled: one window a margin and round."""
+    dims = ("source", "lang", "topic")
+    sql = [
+        r"""d as (select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)""",
+        """k as (select *, case when n_tokens < 100 then 'brief' when n_tokens < 1000 then 'article' else 'long' end as topic from d)""",
+        """c as (select source, lang, topic, sum(n_tokens)::double as t from k group by all)""",
+    ]
+    for dim in dims:
+        sql.append(f"""m_{dim} as (select {dim} as v, pow(sum(t), {temperature}) as p from c group by {dim} having sum(t) > 0)""")
+    shares = ", ".join(f"coalesce((select p / (select sum(p) from m_{dim}) from m_{dim} where v is not distinct from c.{dim}), 0) as t_{dim}" for dim in dims)
+    sql.append(f"f0 as (select c.*, {shares}, 1.0::double as f from c)")
+    n = 0
+    for _ in range(rounds):
+        for dim in dims:
+            sql.append(f"g{n} as materialized (select *, sum(t * f) over (partition by {dim}) as h from f{n})")
+            sql.append(f"f{n + 1} as materialized (select source, lang, topic, t, t_source, t_lang, t_topic, case when h > 0 then f * t_{dim} / h else f end as f from g{n})")
+            n += 1
+    u = f"('0x' || substr(md5('{seed}:' || coalesce(k.doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double"
+    p = "case when t > 0 and top > 0 then f / top else 1 end"
+    return (
+        "with " + ",\n".join(sql) + f""",
+o as (select max(f) filter (where t > 0) as top, sum(t * f) as total from f{n})
+select doc_id, k.source, k.lang, k.topic, n_tokens,
+       round(case when total > 0 then t * f / total else 0 end, 9) as cell_weight, round({p}, 9) as probability, {u} < {p} as kept
+from k join f{n} x on k.source is not distinct from x.source and k.lang is not distinct from x.lang and k.topic = x.topic, o"""
+    )

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, line_dedup, oracles, quality_rules, simhash
+from wakeline.llm import bpe, line_dedup, mixing, oracles, quality_rules, simhash
 from wakeline.session import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return rows.select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mixing": oracles.mixing(),
     "op3_line_dedup": oracles.LINE_DEDUP,
     "op8_quality_rules": oracles.QUALITY_RULES,
 }
