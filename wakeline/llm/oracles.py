@@ -89,3 +89,40 @@ select doc_id, k.source, k.lang, k.topic, n_tokens,
        round(case when total > 0 then t * f / total else 0 end, 9) as cell_weight, round({p}, 9) as probability, {u} < {p} as kept
 from k join f{n} x on k.source is not distinct from x.source and k.lang is not distinct from x.lang and k.topic = x.topic, o"""
     )
+
+
+def secret_scan() -> str:
+    """Spans from marked matches: a private-use character before every match cuts the text, one after it ends the match."""
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    value = "[A-Za-z0-9+/_.=-]"
+    kinds = [
+        ("assign", f"""((?:{names})["\']?\\x20*[:=]\\x20*["\']?)({value}+)""", "length(b) >= 6"),
+        ("access", "()(AKIA[A-Z0-9]+)", "length(b) >= 20"),
+        ("hex", "()([0-9a-f]+)", "length(b) >= 24"),
+        ("private_key", "()(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)", "true"),
+    ]
+    parts = []
+    for i, (kind, pattern, test) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"""select r, {i} as k, '{kind}' as kind, s, s + length(a) + length(b) as e from (
+    select r, sum(length(replace(replace(p, chr(57345), ''), chr(57346), ''))) over (partition by r order by n rows between unbounded preceding and 1 preceding) as s,
+           string_split(string_split(p, chr(57346))[1], chr(57345))[1] as a, string_split(string_split(p, chr(57346))[1], chr(57345))[2] as b, n
+    from (select r, unnest(q) as p, unnest(range(len(q))) as n from (
+      select r, string_split(regexp_replace(t, '{quoted}', chr(57344) || '\\1' || chr(57345) || '\\2' || chr(57346), 'g'), chr(57344)) as q from d))
+  ) where n > 0 and {test}"""
+        )
+    return (
+        "with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), f as (\n  "
+        + "\n  union all ".join(parts)
+        + """
+), g as (
+  select r, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (where k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans
+  from f group by r
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (r)"""
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, line_dedup, mixing, oracles, quality_rules, simhash
+from wakeline.llm import bpe, line_dedup, mixing, oracles, quality_rules, secrets, simhash
 from wakeline.session import table
 
 
@@ -30,6 +30,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = secrets.findings(docs, secrets.update(docs))
+    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
+    text = lambda found: F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    return rows.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("findings")).alias("spans"),
+    )
+
+
 def vocabulary() -> str:
     """The tokenizer file of the encoding queries."""
     import public_tokenizers
@@ -52,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
 }
 
@@ -59,4 +74,5 @@ ORACLE: dict[str, str] = {
     "op2_mixing": oracles.mixing(),
     "op3_line_dedup": oracles.LINE_DEDUP,
     "op8_quality_rules": oracles.QUALITY_RULES,
+    "op9_secret_scan": oracles.secret_scan(),
 }
