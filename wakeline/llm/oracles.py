@@ -126,3 +126,59 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g using (r)"""
     )
+
+URL_FILTER = r"""
+with u as (
+  select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages
+), p as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from u
+), q as (
+  select *, string_split(host, '.') as l from p
+), x as (
+  select page_id, host, path,
+         array_to_string(l[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') as two, l from q
+), h as (
+  select page_id, host, path, array_to_string(case when two then l[-3:] else l[-2:] end, '.') as domain,
+         array_to_string(case when two then l[-2:] else l[-1:] end, '.') as suffix
+  from x
+), said as (
+  select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where quality is not null or toxic is not null group by doc_id
+), hosts as (
+  select host, any_value(domain) as domain, any_value(suffix) as suffix, count(bad) as n, coalesce(sum(bad), 0) as k from h left join said on doc_id = page_id group by host
+), domains as (
+  select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all
+), suffixes as (
+  select suffix, sum(n) as n, sum(k) as k from domains group by all
+), sums as (
+  select 's' as level, n, k from suffixes union all select 'd', n, k from domains union all select 'h', n, k from hosts
+), moments as (
+  select level, count(*)::double as g, sum(n)::double as n, sum(k)::double as k, sum(n::double * n) as n2, sum(k::double * k / n) as k2 from sums where n > 0 group by level
+), strengths as (
+  select level, case when g >= 2 and k > 0 and k < n and n - n2 / n > g - 1 then
+      1 / greatest(1 / 1001.0::double, least(0.5::double, ((k2 - n * (k / n) * (k / n)) / ((k / n) * (1 - k / n)) - (g - 1)) / (n - n2 / n - (g - 1)))) - 1
+    else 1000.0::double end as m
+  from moments
+), m as (
+  select coalesce((select m from strengths where level = 's'), 1000) as ms, coalesce((select m from strengths where level = 'd'), 1000) as md,
+         coalesce((select m from strengths where level = 'h'), 1000) as mh, (select (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) from suffixes) as p0
+), ps as (
+  select suffix, (k + ms * p0) / (n + ms) as ps from suffixes, m
+), pd as (
+  select domain, suffix, (k + md * ps) / (n + md) as pd from domains join ps using (suffix), m
+), ph as (
+  select host, n, mh, (k + mh * pd) / (n + mh) as bad_rate from hosts join pd using (domain, suffix), m
+), rated as (
+  select host, bad_rate, bad_rate - 1.645 * sqrt(bad_rate * (1 - bad_rate) / (n + mh + 1)) as bound from ph
+), rules as (
+  select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) t(rh, rp, rv)
+), fit as (
+  select page_id, host, path, rh || rp as rule, rv,
+         row_number() over (partition by page_id order by length(rh || rp) desc, rh || rp) as place
+  from p left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+)
+select page_id, host, path, rule, coalesce(rv, case when bound > 0.5 then 'block' else 'allow' end) as verdict,
+       round(bad_rate, 9) as bad_rate, round(bound, 9) as bound
+from fit join rated using (host) where place = 1
+"""
