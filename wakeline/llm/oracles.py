@@ -182,3 +182,34 @@ select page_id, host, path, rule, coalesce(rv, case when bound > 0.5 then 'block
        round(bad_rate, 9) as bad_rate, round(bound, 9) as bound
 from fit join rated using (host) where place = 1
 """
+
+
+def quality_classifier() -> str:
+    """The measurements of QUALITY_RULES, then counts, shrinkage and log odds."""
+    measured = QUALITY_RULES[: QUALITY_RULES.index("), f as (")].replace("select row_number() over () as r, doc_id,", "select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(lang, '') as path,")
+    measured = measured.replace("select r, doc_id, t,", "select r, doc_id, host, path, t,").replace("select doc_id, len(w)", "select doc_id, host, path, len(w)")
+    per = lambda a, b, times=20: f"case when {b} > 0 then least(20, {times} * {a} // {b}) else 0 end"
+    bins = ", ".join([per("n_symbols", "n_words"), per("n_upper", "n_letters"), per("n_repeat_words", "n_words"), per("n_dup_lines", "n_lines"), per("word_chars", "n_words", 2), per("n_letters", "word_chars"), "least(20, length(bin(n_words)))"])
+    strength = """case when g >= 2 and k > 0 and k < n and n - n2 / n > g - 1 then
+      1 / greatest(1 / 1001.0::double, least(0.5::double, ((k2 - n * (k / n) * (k / n)) / ((k / n) * (1 - k / n)) - (g - 1)) / (n - n2 / n - (g - 1)))) - 1
+    else 1000.0::double end"""
+    moments = lambda t: f"(select {strength} from (select count(*)::double as g, sum(n)::double as n, sum(k)::double as k, sum(n::double * n) as n2, sum(k::double * k / n) as k2 from {t} where n > 0))"
+    return (
+        measured
+        + f"""), x as (select doc_id, host, path, [{bins}] as bins from m),
+said as (select doc_id, case when min(quality) = 1 then 1 else 0 end as good from labels where quality is not null group by doc_id),
+lab as (select x.*, good from x join said using (doc_id)),
+e as (select good, unnest(range(7)) * 21 + unnest(bins) as key from lab),
+tot as (select sum(good) as all_good, sum(1 - good) as all_bad from lab),
+llr as (select key, ln((sum(good) + 1)::double / (any_value(all_good) + 21)) - ln((sum(1 - good) + 1)::double / (any_value(all_bad) + 21)) as v from e, tot group by key),
+sums as (select host, path, count(good) as n, coalesce(sum(good), 0) as k from x left join said using (doc_id) group by all),
+hosts as (select host, sum(n) as n, sum(k) as k from sums group by all),
+g as (select (sum(k) + 0.5::double) / (sum(n) + 1) as p0, {moments("hosts")} as mh, {moments("sums")} as mp from hosts),
+ph as (select host, (k + mh * p0) / (n + mh) as ph from hosts, g),
+pp as (select host, path, (k + mp * ph) / (n + mp) as site_rate from sums join ph using (host), g),
+y as (select row_number() over () as r, * from x),
+t as (select r, unnest(range(7)) * 21 + unnest(bins) as key from y),
+ev as (select r, sum(coalesce(v, 0)) as evidence from t left join llr using (key) group by r),
+z as (select doc_id, host, path, evidence, site_rate, 1 / (1 + exp(-(ln(site_rate / (1 - site_rate)) + evidence))) as score from y join ev using (r) join pp using (host, path))
+select doc_id, host, path, round(evidence, 8) as evidence, round(site_rate, 9) as site_rate, round(score, 8) as score, score >= 0.5 as kept from z"""
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, line_dedup, mixing, oracles, quality_rules, secrets, simhash, urls
+from wakeline.llm import bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, urls
 from wakeline.session import table
 
 
@@ -21,6 +21,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "host", "path", F.round("evidence", 8).alias("evidence"), F.round("site_rate", 9).alias("site_rate"), F.round("score", 8).alias("score"), "kept")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return rows.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 9).alias("bad_rate"), F.round("bound", 9).alias("bound"))
@@ -69,6 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_mixing": oracles.mixing(),
     "op3_line_dedup": oracles.LINE_DEDUP,
+    "op4_quality_classifier": oracles.quality_classifier(),
     "op5_url_filter": oracles.URL_FILTER,
     "op8_quality_rules": oracles.QUALITY_RULES,
     "op9_secret_scan": oracles.secret_scan(),
