@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.text import whole
 
-CACHE = 1 << 17
+CACHE = 1 << 18
 #: Documents in one Arrow batch that a worker returns.
 ROWS = 256
 
