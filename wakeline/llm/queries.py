@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, urls
-from wakeline.session import table
+from wakeline.llm import bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
+from wakeline.session import ensure_checkpoint_dir, table
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/slots-{uuid.uuid4().hex}"
+    return slots.materialise(table(spark, sf_dir, "documents"), folder)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_training_order": op7_training_order,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
