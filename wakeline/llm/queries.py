@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
+from wakeline.llm import ann, bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
 from wakeline.session import ensure_checkpoint_dir, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.pmod("_id", F.lit(20)) == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return rows.select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "kept")
@@ -78,6 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
