@@ -123,7 +123,13 @@ def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     for i in range(0, n, 512):
         d = sq[i : i + 512, None] + sq[None] - 2 * c[i : i + 512] @ c.T
         near.append(np.argsort(d, axis=1, kind="stable")[:, : min(n, degree + 1)])
-    return np.hstack([np.vstack(near), ring])
+    graph = np.hstack([np.vstack(near), ring])
+    # A neighbour met twice in a row would take two places in a walk: the second becomes the node itself.
+    order = np.argsort(graph, axis=1, kind="stable")
+    ranked = np.take_along_axis(graph, order, 1)
+    again = np.zeros_like(graph, dtype=bool)
+    np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+    return np.where(again, np.arange(n)[:, None], graph)
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
