@@ -227,6 +227,17 @@ def _best(k: int):
     return run
 
 
+def _merged(k: int):
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        """The k + 1 best of one query's parts; an id met with several scores counts once, at its best."""
+        ids, scores = np.concatenate(found["ids"].to_numpy()), np.concatenate(found["scores"].to_numpy())
+        ids = ids[order := np.lexsort((ids, -scores))]
+        first = np.sort(np.unique(ids, return_index=True)[1])[: k + 1]
+        return pd.DataFrame({"h1": found["h1"].iloc[:1], "h2": found["h2"].iloc[:1], "ids": [ids[first]], "scores": [scores[order][first]]})
+
+    return run
+
+
 def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products found for each query row.
 
@@ -248,8 +259,8 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     wanted = asked.groupBy("h1", "h2").agg(F.first("_x").alias("x"))
     postings = checkpoint(_routes(known.select("h1", "h2", "x", "ids"), shared, False, lambda c: COPIES))
     if exact:
-        numbers = F.sequence(F.lit(0), F.lit(len(lists.centroids) - 1))
-        reads = checkpoint(wanted.select(F.explode(numbers).cast("long").alias("list"), "h1", "h2", "x"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(len(lists.centroids) - 1).cast("long"))
+        reads = checkpoint(wanted.select(F.explode(numbers).alias("list"), "h1", "h2", "x"))
     else:
         reads = checkpoint(_routes(wanted, shared, True, lambda c: max(LEAST, int(c * SHARE))))
     parts, blocks = _part_of(_parts(postings, PART)), _part_of(_parts(reads, QUERY_PART))
@@ -259,13 +270,9 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     right = postings.withColumn("part", of_hash(parts)).withColumn("block", numbers(blocks))
     key = ["list", "part", "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(k), f"h1 long, h2 long, ids array<{ids_type}>, scores array<double>")
-    pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("id"))
-    best = found.groupBy("h1", "h2").agg(F.flatten(F.collect_list(pairs)).alias("_all"))
-    best = best.withColumn("_all", F.sort_array(F.array_distinct("_all")))
+    best = found.groupBy("h1", "h2").applyInPandas(_merged(k), found.schema)
     answered = asked.select("_id", "h1", "h2").distinct().join(best, ["h1", "h2"])
-    # An id met with several scores counts once, at its best: a pair stays if its id's first place is its own.
-    others = answered.withColumn("_others", F.filter("_all", lambda p: p["id"] != F.col("_id")))
-    others = others.withColumn("_ids", F.transform("_others", lambda p: p["id"]))
-    others = others.withColumn("_once", F.filter("_others", lambda p, i: (F.size(F.array_distinct("_ids")) == F.size("_ids")) | (F.array_position("_ids", p["id"]) == i + 1)))
-    out = others.select(F.col("_id").alias("query_id"), F.posexplode(F.slice("_once", 1, k)).alias("_n", "_p"))
-    return out.select("query_id", (F.col("_n") + 1).alias("rank"), F.col("_p.id").alias("vec_id"), (-F.col("_p.s")).alias("score"))
+    pairs = F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("s"))
+    others = answered.select("_id", F.filter(pairs, lambda p: p["id"] != F.col("_id")).alias("_others"))
+    out = others.select(F.col("_id").alias("query_id"), F.posexplode(F.slice("_others", 1, k)).alias("_n", "_p"))
+    return out.select("query_id", (F.col("_n") + 1).alias("rank"), F.col("_p.id").alias("vec_id"), F.col("_p.s").alias("score"))
