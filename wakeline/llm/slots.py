@@ -132,7 +132,9 @@ def materialise(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), ids], names=["shard", "slot", "ids"])
 
     placed = rows.mapInArrow(place, "shard long, slot long, ids binary")
-    tasks = max(1, min(-(-total // per_shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = max(1, -(-total // per_shard))
+    # The session's parallelism, and no more than 16 shards (128 MB as set here) to a task however much there is.
+    tasks = max(-(-shards // 16), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # A shard is a range of slots and goes to one task whole: one shuffle, then a sort inside the task.
     dealt = placed.repartition(tasks, "shard").sortWithinPartitions("slot")
 
