@@ -59,14 +59,16 @@ def to_segment(px, py, ax, ay, bx, by) -> tuple[Column, Column]:
 
 def offshore_km(lon, lat, barrier=BARRIER) -> Column:
     """Signed kilometres to the nearest barrier segment, the first on ties; positive to the left of its direction."""
-    k = K0
-    x, y = col(lon) * k, col(lat)
-    found = []
-    for i, ((ax, ay), (bx, by)) in enumerate(zip(barrier, barrier[1:])):
-        d2, cross = to_segment(x, y, ax * k, ay, bx * k, by)
-        found.append(F.struct(d2.alias("d2"), F.lit(i).alias("i"), cross.alias("cross")))
-    best = F.array_min(F.array(*found))
-    return F.when(best["cross"] > 0, 1.0).otherwise(-1.0) * F.sqrt(best["d2"]) * KM_PER_DEG
+    x, y = col(lon) * K0, col(lat)
+    ends = [F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (a[0] * K0, a[1], b[0] * K0, b[1]))]) for i, (a, b) in enumerate(zip(barrier, barrier[1:]))]
+
+    def near(s: Column) -> Column:
+        d2, cross = to_segment(x, y, s["ax"], s["ay"], s["bx"], s["by"])
+        return F.struct(d2.alias("d2"), s["i"].alias("i"), F.when(cross > 0, 1.0).otherwise(-1.0).alias("side"))
+
+    # The least struct is the nearest segment, the first of equals; one fold, so the expression is not repeated.
+    best = F.array_min(F.transform(F.array(*ends), near))
+    return F.aggregate(F.array(best), F.lit(0.0), lambda _, b: b["side"] * F.sqrt(b["d2"]) * KM_PER_DEG)
 
 
 def corridor_gate(lat) -> Column:

@@ -45,7 +45,7 @@ def timestamp(hhmmss: Column, ddmmyy: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """Text with that many decimals, rounded as printf does: by the binary value, ties to even."""
-    return F.format_number(x, "0." + "0" * digits) if digits else F.format_number(x, "0")
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def rounded(x: Column, digits: int) -> Column:

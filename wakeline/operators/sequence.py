@@ -34,7 +34,7 @@ def accept(fixes: DataFrame, keys: list[str], time: str, order: list[str] | None
     ``max_kn`` and lies more than ``jump_m`` from the last accepted row, or, with ``need_advance``, if
     its time does not advance; rejected rows have a null step. Thinning compares with the last kept row.
     """
-    schema = fixes.withColumns({"accepted": F.lit(True), "step_m": F.lit(0.0), "kept": F.lit(True)}).schema
+    schema = fixes.withColumns({"accepted": F.lit(True), "step_m": F.lit(None).cast("double"), "kept": F.lit(True)}).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         track = last = keep = None

@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from wakeline.plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
