@@ -169,7 +169,8 @@ def test_shortest_path(spark):
     g = spark.createDataFrame(edges + [(b, a, w) for a, b, w in edges], "src long, dst long, w double")
     reached = graph.distances(g, spark.createDataFrame([(1,)], "node long"))
     assert {x.node: x.dist for x in reached.collect()} == {1: 0.0, 2: 1.0, 3: 2.0, 4: 3.0}
-    assert graph.path(reached, 4) == [1, 2, 3, 4] and graph.path(reached, 9) == []
+    way = graph.routes(reached, spark.createDataFrame([(4,), (1,), (9,)], "node long")).collect()
+    assert sorted((x.target, x.back, x.node) for x in way) == [(1, 0, 1), (4, 0, 4), (4, 1, 3), (4, 2, 2), (4, 3, 1)]
 
 
 def test_faces_of_a_cut_square(spark):

@@ -54,16 +54,18 @@ def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) ->
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
-def path(reached: DataFrame, target, max_steps: int = 1_000_000) -> list:
-    """Nodes from the start to ``target`` along predecessors, or [] if it was not reached: one route, step by step."""
-    back, node = [], target
-    for _ in range(max_steps):
-        row = reached.filter(F.col("node") == F.lit(node)).first() if not isinstance(node, tuple) else reached.filter((F.col("node.lat") == node[0]) & (F.col("node.lon") == node[1])).first()
-        if row is None:
-            return []
-        back.append(node)
-        prev = tuple(row["prev"]) if isinstance(node, tuple) else row["prev"]
-        if prev == node:
-            return back[::-1]
-        node = prev
-    raise RuntimeError("predecessors form a ring")
+def routes(reached: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, node, back): every node on the way to each of ``targets`` (node), ``back`` steps before it.
+
+    Predecessors are followed by doubling, so a way of n steps takes log n joins, all targets at once;
+    targets that were not reached are absent.
+    """
+    jump = checkpoint(reached.filter("node != prev").select("node", F.col("prev").alias("far")))
+    on = targets.select("node").distinct().join(reached.select("node"), "node").select(F.col("node").alias("target"), "node", F.lit(0).cast("long").alias("back"))
+    on, step = checkpoint(on), 1
+    while not jump.isEmpty():
+        more = on.join(jump, "node").select("target", F.col("far").alias("node"), (F.col("back") + step).alias("back"))
+        on = checkpoint(on.unionByName(more))
+        jump = checkpoint(jump.select("node", F.col("far").alias("mid")).join(jump.withColumnRenamed("node", "mid"), "mid").select("node", "far"))
+        step *= 2
+    return on

@@ -39,7 +39,7 @@ def asof_nearest(probes: DataFrame, fixes: DataFrame, time: str, tolerance_s: fl
 def segments(points: DataFrame, key: str, order: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """(key, seg, ax, ay, bx, by) between neighbouring points of each path; gaps are bridged."""
     w = Window.partitionBy(key).orderBy(*order)
-    s = points.select(key, F.row_number().over(w).alias("seg"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by"))
+    s = points.select(key, F.row_number().over(w).cast("long").alias("seg"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by"))
     return s.filter("bx is not null")
 
 

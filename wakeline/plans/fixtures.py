@@ -18,7 +18,7 @@ _DENSE = f"""select track, rn, t_s, lat, lon, sog_kn, quality, sats, hdop, event
   select track, rn, 1711195200 + 300*rn as t_s, event_type,
     case when event_type='purchase' and rn%3<>0 then 26.30e0+((event_id*7919)%1000)*4e-4 else 26.30e0+((track+(rn {{div}} 12))%40)*1e-2+(event_id%5)*1e-4 end as lat,
     case when event_type='purchase' and rn%3<>0 then -77.18e0+((event_id*104729)%1000)*2.7e-4 else -77.18e0+((track+(rn {{div}} 12))%27)*1e-2+(k%3)*1e-4 end as lon, {_COLS}
-  from (select *, user_id as track, row_number() over (partition by user_id order by ts,event_id) as rn, {_K} from {{events}}) e) f"""
+  from (select *, user_id as track, cast(row_number() over (partition by user_id order by ts,event_id) as bigint) as rn, {_K} from {{events}}) e) f"""
 
 PLAIN_SQL = _PLAIN.format(events="events", epoch="epoch_us(ts)/1e6")
 DENSE_SQL = _DENSE.format(events="events", div="//")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql.window import Window
 from wakeline.functions import clock, geo, nmea
 from wakeline.operators import graph, match, offset, parse, polygons, quality, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
-from wakeline.session import table
+from wakeline.session import ensure_checkpoint_dir, table
+from wakeline.streaming import tracks as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -257,7 +259,7 @@ def stride_thin(spark, d):
  q as (select e.track, e.n, e.x, (g.t_s - e.t_s) / 60 as minutes, e.t_s as start_s, g.t_s as end_s from e join g on g.track = e.track and g.n = e.x - 1),
  w as (select track, n, x, minutes, start_s, end_s, case when minutes >= 25 then x else n + 1 end as nxt, minutes >= 25 as stop from q where n = 1
    union all select q.track, q.n, q.x, q.minutes, q.start_s, q.end_s, case when q.minutes >= 25 then q.x else q.n + 1 end, q.minutes >= 25 from w join q on q.track = w.track and q.n = w.nxt)
- select w.track, round(start_s, 3) as start_s, round(end_s, 3) as end_s, round(minutes, 6) as minutes, count(*) as n, round(avg(g.lat), 8) as lat, round(avg(g.lon), 8) as lon
+ select w.track, round(start_s::double, 3) as start_s, round(end_s::double, 3) as end_s, round(minutes, 6) as minutes, count(*) as n, round(avg(g.lat), 8) as lat, round(avg(g.lon), 8) as lon
  from w join g on g.track = w.track and g.n >= w.n and g.n < w.x where stop group by all""")
 def stops(spark, d):
     x = sequence.stops(quality.keep_good(dense(spark, d)), "track", "t_s")
@@ -432,7 +434,7 @@ _BEND = f"""{D}, a as (select track, n, lon * {geo.K0} as x, lat as y from g), b
 
 def _good_dense(spark, d):
     w = Window.partitionBy("track").orderBy("rn")
-    return quality.keep_good(dense(spark, d)).withColumn("n", F.row_number().over(w))
+    return quality.keep_good(dense(spark, d)).withColumn("n", F.row_number().over(w).cast("long"))
 
 
 @query(f"{_BEND} select track, n, round(radius, 7) as radius from k")
@@ -523,7 +525,7 @@ def dm_label(spark, d):
     return x.select("v", geo.dm_label("v", "N", "S").alias("label"))
 
 
-@query(f"{P}, e as (select track, floor(min(lat) * 60)::int as a, ceil(max(lat) * 60)::int as b from f group by track), m as (select track, unnest(range(a, b + 1)) as minute from e) select track, minute, minute % 2 = 0 as inked, minute % 5 = 0 as labelled from m")
+@query(f"{P}, e as (select track, floor(min(lat) * 60)::int as a, ceil(max(lat) * 60)::int as b from f group by track), m as (select track, unnest(range(a, b + 1)) as minute from e) select track, minute::int as minute, minute % 2 = 0 as inked, minute % 5 = 0 as labelled from m")
 def tick_table(spark, d):
     e = plain(spark, d).groupBy("track").agg(F.floor(F.min("lat") * 60).cast("int").alias("a"), F.ceil(F.max("lat") * 60).cast("int").alias("b"))
     m = e.select("track", F.explode(F.sequence("a", "b")).alias("minute"))
@@ -587,6 +589,18 @@ def unreachable(spark, d):
     return g.select(F.col("src").alias("node")).distinct().join(x, "node", "left_anti").select((F.col("node.lat") * 1000000000 + F.col("node.lon")).alias("node"))
 
 
+@query(_edges_sql("true") + _REACH.format(rounds=_bellman(24)) + """, t as (select n from r24 where n % 7 = 3),
+ back as (select n as target, n as node, 0::bigint as back from t union all
+  select target, (select min(u.a) from u join r24 p on p.n = u.a join r24 q on q.n = u.b where u.b = node and abs(p.dist + u.w - q.dist) < 1e-6), back + 1 from back where node <> (select a from s0))
+ select target, node, back from back""")
+def route_points(spark, d):
+    """The nodes on the way to every seventh node."""
+    x = _reached(spark, d, graph.WALKABLE)
+    flat = F.col("node.lat") * 1000000000 + F.col("node.lon")
+    way = graph.routes(x, x.filter(F.pmod(flat, F.lit(7)) == 3).select("node"))
+    return way.select((F.col("target.lat") * 1000000000 + F.col("target.lon")).alias("target"), flat.alias("node"), "back")
+
+
 # planar geometry
 
 _BOX = (-77.15, 26.35, -77.0, 26.6)
@@ -670,10 +684,10 @@ def semi_allowed(spark, d):
 @query(f"{P} select track, seq, row_number() over (partition by track order by round(lat, 2), round(lon, 2), seq) as place from f")
 def sort_tiebreak(spark, d):
     w = Window.partitionBy("track").orderBy(F.round("lat", 2), F.round("lon", 2), "seq")
-    return plain(spark, d).select("track", "seq", F.row_number().over(w).alias("place"))
+    return plain(spark, d).select("track", "seq", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query(f"{P}, t as (select track, count(*) as n, max(sog_kn) as k, sum(sog_kn) as s from f where track % 3 <> 0 group by track) select count(*) as days, sum(n) as fixes, round(sum(s), 3) as total, round(max(k), 3) as max_kn from t")
+@query(f"{P}, t as (select track, count(*) as n, max(sog_kn) as k, sum(sog_kn) as s from f where track % 3 <> 0 group by track) select count(*) as days, sum(n)::bigint as fixes, round(sum(s), 3) as total, round(max(k), 3) as max_kn from t")
 def headline(spark, d):
     t = plain(spark, d).filter("track % 3 <> 0").groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.max("sog_kn").alias("k"), F.sum("sog_kn").alias("s"))
     return t.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("fixes"), r(F.sum("s"), 3, "total"), r(F.max("k"), 3, "max_kn"))
@@ -688,3 +702,55 @@ def shared_bands(spark, d):
     o = b.select("band", F.col("track").alias("other"), F.col("lon").alias("olon"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     near = b.withColumn("cell", cell).join(o, ["band", "cell"]).filter((F.col("track") < F.col("other")) & (F.abs(F.col("lon") - F.col("olon")) * geo.K0 * geo.M_PER_DEG < 250))
     return near.select("band", F.col("track").alias("one"), "other")
+
+
+# photos: positions with a local time as text
+
+
+def _photos(spark, d):
+    x = with_time(plain(spark, d)).filter("seq % 9 = 0")
+    taken = F.date_format(clock.local(F.timestamp_seconds(F.floor("t_s"))), "yyyy:MM:dd HH:mm:ss")
+    return x.select("track", F.col("seq").alias("photo"), taken.alias("taken"), (F.col("lat") + 5e-5).alias("plat"), F.col("lon").alias("plon"))
+
+
+_PHOTOS = "p as (select track, seq as photo, strftime(make_timestamp((floor(t_s)*1000000)::bigint) - interval 4 hour, '%Y:%m:%d %H:%M:%S') as taken, floor(t_s)::bigint as t_s, lat + 5e-5 as plat, lon as plon from f where seq % 9 = 0)"
+
+
+@query(f"{P}, {_PHOTOS} select photo, taken, t_s from p")
+def exif_time(spark, d):
+    return _photos(spark, d).select("photo", "taken", F.unix_timestamp(clock.from_exif(F.col("taken"))).alias("t_s"))
+
+
+@query(f"""{P}, {_PHOTOS}, c as (select p.track, photo, abs(f.t_s - p.t_s) as dt, {hav_sql('plat', 'plon', 'lat', 'lon')} as dist, row_number() over (partition by photo order by abs(f.t_s - p.t_s), f.t_s, seq) as k from p join f using (track)),
+ m as (select track, round(dist, 6) as dist from c where k = 1 and dt <= 90), z as (select track, list_sort(list(dist)) as a from m group by track), n as (select track, count(*) as located from p group by track)
+ select track, located, coalesce(len(a), 0)::bigint as matched, a[len(a) // 2 + 1] as median, a[cast(floor(len(a) * 0.9) as int) + 1] as p90 from n left join z using (track)""")
+def photo_match(spark, d):
+    """Photos matched to fixes within 90 s: located and matched counts, and how far apart they are."""
+    p = _photos(spark, d).withColumn("t_s", F.unix_timestamp(clock.from_exif(F.col("taken"))).cast("double"))
+    m = match.asof_nearest(p, plain(spark, d), "t_s", 90, "track", ["seq", "lat", "lon"], "seq")
+    q = match.nearest_rank(m, F.round(geo.haversine("plat", "plon", "fix.lat", "fix.lon"), 6), ["track"])
+    n = p.groupBy("track").agg(F.count(F.lit(1)).alias("located"))
+    return n.join(q, "track", "left").select("track", "located", F.coalesce("n", F.lit(0)).cast("long").alias("matched"), "median", "p90")
+
+
+@query(f"{_OFF}, {_PHOTOS} select row_number() over (order by taken, photo) as place, photo, taken, round(km, 6) as km from p join o on o.seq = p.photo where km > 0.5 order by place limit 50")
+def photo_offshore(spark, d):
+    """The first fifty photos taken offshore, in order of their time."""
+    x = _photos(spark, d).withColumn("km", geo.offshore_km("plon", F.col("plat") - 5e-5)).filter(F.col("km") > geo.OFFSHORE_KM)
+    x = x.orderBy("taken", "photo").limit(50)
+    return x.select(F.row_number().over(Window.orderBy("taken", "photo")).cast("long").alias("place"), "photo", "taken", r("km"))
+
+
+# the same on a stream
+
+
+@query(f"{CLEAN} select track, round(t, 3)::double as t, round(step_m, 3) as step_m, kept from s where accepted")
+def stream_clean(spark, d):
+    """The spike filter and thinning as a streaming job over files of fixes, run until it has caught up."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    good = quality.keep_good(dense(spark, d)).select("track", F.col("t_s").cast("double").alias("t_s"), "lat", "lon", "sog_kn")
+    good.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(good.schema).parquet(f"{folder}/in")
+    job = live.accepted(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("track", r("t", 3), r("step_m", 3), "kept")
