@@ -48,15 +48,16 @@ def mask(rules: tuple[str, ...] | list[str], order: Mapping[str, object] = RULES
     return sum(1 << names.index(r) for r in rules)
 
 
-def _repeat_words(keys: Column) -> Column:
-    """Words covered by windows whose key occurs twice or more: sort (key, start), keep both of every
-    equal neighbouring pair, then add up what each kept start covers beyond the one before it."""
-    first = F.size(keys)
-    pairs = F.sort_array(F.arrays_zip(keys.alias("k"), F.sequence(F.lit(1), first).alias("p")))
-    return F.when(F.coalesce(first, F.lit(0)) < 2, F.lit(0)).when(F.size(F.array_distinct(keys)) == first, F.lit(0)).otherwise(_covered(pairs))
+def _sorted_pairs(keys: Column) -> Column:
+    """(key, start) of every window in order of key, or null where no key occurs twice."""
+    n = F.size(keys)
+    pairs = F.sort_array(F.arrays_zip(keys.alias("k"), F.sequence(F.lit(1), n).alias("p")))
+    return F.when((n >= 2) & (F.size(F.array_distinct(keys)) < n), pairs)
 
 
 def _covered(pairs: Column) -> Column:
+    """Words covered by windows whose key occurs twice or more: keep both of every equal neighbouring
+    pair, then add up what each kept start covers beyond the one before it."""
     twice = F.zip_with(
         F.slice(pairs, F.lit(1), F.size(pairs) - 1),
         F.slice(pairs, F.lit(2), F.size(pairs) - 1),
@@ -72,6 +73,11 @@ def _covered(pairs: Column) -> Column:
     )
 
 
+def _matching(runs: str) -> Column:
+    """Characters in runs of a class: what is missing once they are taken out."""
+    return F.length("_t") - F.length(F.regexp_replace("_t", runs, ""))
+
+
 def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus MEASURES of every row's whole text.
 
@@ -84,16 +90,16 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
     n = F.size("_h")
     at = lambda i: F.xxhash64(*[F.get(F.col("_h"), i + c) for c in range(WINDOW)])
     row = row.withColumn("_g", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), at)))
-    said = F.filter("_l", lambda x: x.rlike(WORD))
+    row = row.withColumns({"_s": F.filter("_l", lambda x: x.rlike(WORD)), "_p": _sorted_pairs(F.col("_g"))})
     measured = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size(said) - F.size(F.array_distinct(said))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_g")).cast("long").alias("n_repeat_words"),
-        F.size(said).cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("_t", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        _matching("[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        (F.size("_s") - F.size(F.array_distinct("_s"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("_p").isNull(), 0).otherwise(_covered(F.col("_p"))).cast("long").alias("n_repeat_words"),
+        F.size("_s").cast("long").alias("n_lines"),
+        _matching(r"\p{Lu}+").cast("long").alias("n_upper"),
+        _matching(r"\p{L}+").cast("long").alias("n_letters"),
     )
     # Generated rows stop filters: one moved below would evaluate each measurement once per mention in a rule.
     return row.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.inline(F.array(measured)))
