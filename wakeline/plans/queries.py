@@ -13,6 +13,7 @@ from wakeline.functions import clock, geo, nmea
 from wakeline.operators import graph, match, offset, parse, polygons, quality, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
 from wakeline.session import ensure_checkpoint_dir, table
+from wakeline.sources import tracks
 from wakeline.streaming import tracks as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -754,3 +755,43 @@ def stream_clean(spark, d):
     job = live.accepted(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("track", r("t", 3), r("step_m", 3), "kept")
+
+
+# files: written to the shared folder and read back
+
+
+@query(f"""with f as ({DENSE_SQL}), p as (select track, t_s, round(lat, 6) as lat, round(lon, 6) as lon, t_s - lag(t_s) over (partition by track order by t_s) as gap from f where rn % 5 <> 2)
+ select track::varchar as session, count(*) as points, count(gap) as gaps, count(*) filter (where gap / 60e0 > 9.5 and gap / 60e0 < 10.5) as ten_minutes, round(max(gap) / 60e0, 6) as longest_min, round(min(lat), 6) as south, round(max(lat), 6) as north from p group by track""")
+def gpx_cadence(spark, d):
+    """Tracker files of one track each: points, gaps, gaps of about ten minutes."""
+    folder = f"{ensure_checkpoint_dir(spark)}/gpx-{uuid.uuid4().hex}"
+    p = with_time(dense(spark, d).filter("rn % 5 != 2"))
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>1</ele><time>%s</time></trkpt>', nmea.fixed(F.col("lat"), 6), nmea.fixed(F.col("lon"), 6), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    trk = p.groupBy("track").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_s", point.alias("x")))), lambda v: v["x"]), "").alias("x"))
+    trk.select(F.concat(F.lit("<trk><name>"), F.col("track").cast("string"), F.lit("</name><trkseg>"), "x", F.lit("</trkseg></trk>")).alias("value"), "track").write.partitionBy("track").text(folder)
+    g = tracks.read_gpx(spark, f"{folder}/*").withColumn("t", F.unix_timestamp("ts"))
+    g = g.withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("session").orderBy("t", "lat", "lon"))) / F.lit(60.0))
+    return g.groupBy("session").agg(
+        F.count(F.lit(1)).alias("points"), F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 9.5) & (F.col("gap") < 10.5)).alias("ten_minutes"), r(F.max("gap"), 6, "longest_min"), r(F.min("lat"), 6, "south"), r(F.max("lat"), 6, "north")
+    )
+
+
+@query(f"""{P} select 't' || track as track, floor(t_s)::bigint as t, printf('%.6f', lat)::double as lat, printf('%.6f', lon)::double as lon, printf('%.2f', sog_kn)::double as sog_kn, quality::int as quality, sats::int as sats, printf('%.1f', hdop)::double as hdop
+ from f where printf('%.1f', hdop)::double <= 4.0""")
+def track_csv(spark, d):
+    """Track files in their fixed decimals, filtered on what was written."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tracks-{uuid.uuid4().hex}"
+    x = with_time(plain(spark, d)).withColumns({"track": F.concat(F.lit("t"), F.col("track").cast("string")), "cog_deg": F.lit(None).cast("double")})
+    tracks.write_tracks(x, folder)
+    y = tracks.read_tracks(spark, folder).filter(F.col("hdop") <= quality.MAX_HDOP)
+    return y.select("track", F.unix_timestamp("ts").alias("t"), "lat", "lon", "sog_kn", "quality", "sats", "hdop")
+
+
+@query(_edges_sql("k % 7 <> 0").replace("w as (select *,", "w0 as (select *,") + " select count(*) as edges, round(sum(w), 3) as metres from w0")
+def osm_json(spark, d):
+    """Map ways written as one JSON document a way and read back with an explicit schema."""
+    folder = f"{ensure_checkpoint_dir(spark)}/ways-{uuid.uuid4().hex}"
+    w = _ways(spark, d)
+    e = F.struct(F.col("way_id").alias("id"), F.lit("way").alias("type"), F.col("points").alias("geometry"), "tags")
+    w.select(F.to_json(F.struct(F.array(e).alias("elements")))).repartition(4).write.text(folder)
+    return graph.edges(tracks.read_ways(spark, folder, multi_line=False)).agg(F.count(F.lit(1)).alias("edges"), r(F.sum("w"), 3, "metres"))

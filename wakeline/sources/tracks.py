@@ -46,7 +46,10 @@ def read_photos(spark: SparkSession, path: str, below: float = 30.0) -> DataFram
     return rows.filter((F.col("lat") < below) & (F.col("taken") != "")).select("name", "taken", clock.from_exif(F.col("taken")).alias("ts"), "lat", "lon")
 
 
-def read_ways(spark: SparkSession, path: str) -> DataFrame:
-    """(way_id, tags, points array<struct<lat,lon>>) of the elements with two points or more."""
-    e = spark.read.option("multiLine", True).schema(WAYS).json(path).select(F.explode("elements").alias("e"))
+def read_ways(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(way_id, tags, points array<struct<lat,lon>>) of the elements with two points or more.
+
+    ``multi_line``: a file is one document; else each line is one, and files are read in splits.
+    """
+    e = spark.read.option("multiLine", multi_line).schema(WAYS).json(path).select(F.explode("elements").alias("e"))
     return e.filter(F.size("e.geometry") >= 2).select(F.col("e.id").alias("way_id"), F.col("e.tags").alias("tags"), F.col("e.geometry").alias("points"))
