@@ -151,7 +151,9 @@ def materialise(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     digest.update(raw)
                     n += len(raw) // length
                     n_ids += len(raw) - raw.count(_END)
-            store.move(name, posixpath.join(root, f"shard-{shard:08d}.bin"))
+            to = posixpath.join(root, f"shard-{shard:08d}.bin")
+            # Another attempt of this task may have been first: its file is the same.
+            store.move(name, to) if store.get_file_info(to).type == fs.FileType.NotFound else store.delete_file(name)
             done.append({"shard": shard, "first_slot": shard * per_shard, "n_sequences": n, "n_ids": n_ids, "stride": length, "sha256": digest.hexdigest()})
         if done:
             yield pa.RecordBatch.from_pylist(done)
