@@ -150,8 +150,10 @@ def gated_distance(spark, d):
     """Distance under way, speeds, and rejects per track."""
     x = plain(spark, d)
     x = x.withColumn("ok", quality.good())
-    w = Window.partitionBy("track", "ok").orderBy("t_s", "seq")
-    x = x.withColumn("step_m", geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"))
+    # The good row before, within one window by track: the sums below then need no second shuffle.
+    w = Window.partitionBy("track").orderBy("t_s", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("ok"), F.struct("lat", "lon")), True).over(w)
+    x = x.withColumn("p", before).withColumn("step_m", geo.haversine("p.lat", "p.lon", "lat", "lon"))
     ok = lambda c: F.when(F.col("ok"), c)
     out = x.groupBy("track").agg(
         F.count_if("ok").alias("fixes"), F.count_if(~F.col("ok")).alias("dropped"),
