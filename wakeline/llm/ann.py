@@ -217,11 +217,15 @@ def _best(k: int):
                 least = np.partition(s, len(v) - m, axis=1)[:, len(v) - m]
                 for i, row in enumerate(s):
                     top = np.flatnonzero(row >= least[i])
-                    each = sorted((-row[j], d) for j in top for d in ids[j])[: k + 1]
+                    each: dict = {}
+                    for less, d in sorted((-row[j], d) for j in top for d in ids[j]):
+                        each.setdefault(d, -less)
+                        if len(each) > k:
+                            break
                     out["h1"].append(queries["h1"].iat[at + i])
                     out["h2"].append(queries["h2"].iat[at + i])
-                    out["ids"].append([d for _, d in each])
-                    out["scores"].append([-a for a, _ in each])
+                    out["ids"].append([*each])
+                    out["scores"].append([*each.values()])
         return pd.DataFrame(out)
 
     return run
