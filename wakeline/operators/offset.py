@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,29 +65,30 @@ def trim_folds(rows: DataFrame, key: str, order: str, ahead: int = AHEAD) -> Dat
     """
     kind = dict(rows.dtypes)[key]
 
-    def walk(pts: list, done: bool, start: int, out: list) -> int:
-        """Emit from ``start`` while the look-ahead is complete; the new start."""
-        i, n = start, len(pts)
-        while i < n - 1 and (done or i + ahead < n):
-            p, r = pts[i][:2], (pts[i + 1][0] - pts[i][0], pts[i + 1][1] - pts[i][1])
-            jump = None
-            if pts[i][3]:
-                for j in range(min(i + ahead, n - 1) - 1, i + 1, -1):
-                    sx, sy = pts[j + 1][0] - pts[j][0], pts[j + 1][1] - pts[j][1]
-                    den = r[0] * sy - r[1] * sx
-                    if den == 0:
-                        continue
-                    dx, dy = pts[j][0] - p[0], pts[j][1] - p[1]
-                    t, u = (dx * sy - dy * sx) / den, (dx * r[1] - dy * r[0]) / den
-                    if 0 < t < 1 and 0 < u < 1:
-                        cx, cy = p[0] + t * r[0], p[1] + t * r[1]
-                        loop = pts[i : j + 1]
-                        if all(q[3] and abs(q[0] - cx) <= q[2] and abs(q[1] - cy) <= q[2] for q in loop):
-                            jump = (j + 1, cx, cy)
-                            break
-            if jump:
-                out.append(jump[1:])
-                i = jump[0]
+    def fold(a: np.ndarray, i: int) -> tuple[int, float, float] | None:
+        """(next vertex, crossing) of the farthest fold that starts on the segment at i; a has x, y, tolerance, moved."""
+        ends = a[i + 2 : min(i + ahead, len(a) - 1) + 1, :2]
+        if len(ends) < 2 or not a[i, 3]:
+            return None
+        own, others, gap = a[i + 1, :2] - a[i, :2], np.diff(ends, axis=0), ends[:-1] - a[i, :2]
+        area = own[0] * others[:, 1] - own[1] * others[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            here = (gap[:, 0] * others[:, 1] - gap[:, 1] * others[:, 0]) / area
+            there = (gap[:, 0] * own[1] - gap[:, 1] * own[0]) / area
+        for k in np.flatnonzero((area != 0) & (here > 0) & (here < 1) & (there > 0) & (there < 1))[::-1]:
+            at, loop = a[i, :2] + here[k] * own, a[i : i + k + 3]
+            if loop[:, 3].all() and (np.abs(loop[:, :2] - at).max(axis=1) <= loop[:, 2]).all():
+                return i + int(k) + 3, float(at[0]), float(at[1])
+        return None
+
+    def walk(pts: list, done: bool, out: list) -> int:
+        """Emit while the look-ahead is complete; the vertex reached."""
+        a, i = np.array(pts, dtype=np.float64), 0
+        stop = len(pts) - 1 if done else len(pts) - ahead
+        while i < stop:
+            if (found := fold(a, i)) is not None:
+                i, *at = found
+                out.append(tuple(at))
             else:
                 i += 1
                 out.append(pts[i][:2])
@@ -100,7 +102,7 @@ def trim_folds(rows: DataFrame, key: str, order: str, ahead: int = AHEAD) -> Dat
             if pts and not (n or out):
                 out.append(pts[0][:2])
             if not done or len(pts) > 1:
-                at = walk(pts, done, 0, out)
+                at = walk(pts, done, out)
                 pts = [] if done else pts[at:]
             rows_.extend((track, n + k, x, y) for k, (x, y) in enumerate(out))
             n, out = n + len(out), []
