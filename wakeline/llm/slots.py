@@ -135,8 +135,9 @@ def materialise(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     shards = max(1, -(-total // per_shard))
     # The session's parallelism, and no more than 16 shards (128 MB as set here) to a task however much there is.
     tasks = max(-(-shards // 16), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # A shard is a range of slots and goes to one task whole: one shuffle, then a sort inside the task.
-    dealt = placed.repartition(tasks, "shard").sortWithinPartitions("slot")
+    # Tasks take neighbouring shards, as many as the others to within one: ranges of slots known beforehand, so
+    # nothing is sampled and no task is hashed more than its share. One shuffle, then a sort inside the task.
+    dealt = placed.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
