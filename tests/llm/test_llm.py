@@ -352,3 +352,21 @@ def test_recall(spark):
     want = ann.neighbours(v, cond, exact=True).select("query_id", "vec_id")
     got = ann.neighbours(v, cond).select("query_id", "vec_id")
     assert got.join(want, ["query_id", "vec_id"]).count() >= 0.95 * want.count()
+
+
+def test_ann_posts_to_nearest_lists(spark, monkeypatch):
+    """Eight clusters of several dozen lists each, far more lists than a query must read."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(8, 16)), 1000, 0) + 0.3 * rng.normal(size=(8000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    known = ann.classes(ann.valid(df, "vec_id", "embedding"), 20)
+    lists = ann.fit(known, per_list=20)
+    assert len(lists.centroids) == 400
+    posted = {(r.ids[0], r.list) for r in ann._routes(known, spark.sparkContext.broadcast(lists), False, lambda c: ann.COPIES).select("ids", "list").collect()}
+    far = ((lists.lift(x)[:, None] - lists.centroids[None]) ** 2).sum(2).argmin(1)
+    assert all((i, c) in posted for i, c in enumerate(far.tolist()))
+    monkeypatch.setattr(ann, "fit", lambda known: lists)
+    asked = F.pmod("_id", F.lit(40)) == 0
+    want = ann.neighbours(df, asked, exact=True).select("query_id", "vec_id")
+    got = ann.neighbours(df, asked).select("query_id", "vec_id")
+    assert got.join(want, ["query_id", "vec_id"]).count() >= 0.95 * want.count() == 0.95 * 4000
