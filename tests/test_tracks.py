@@ -242,3 +242,12 @@ def test_stream_accepts_what_the_batch_does(spark, sf_dir, tmp_path):
     got = {(x.track, x.t): (x.kept, None if x.step_m is None else round(x.step_m, 6)) for x in spark.table("live_tracks").collect()}
     want = {(x.track, x.t_s): (x.kept, None if x.step_m is None else round(x.step_m, 6)) for x in sequence.accept(good, ["track"], "t_s").filter("accepted").collect()}
     assert got == want and len(got) > 100
+
+
+def test_every_offshore_photo(spark):
+    """More than fifty photos: none is cut, and they come in order of time and id."""
+    d = "/root/testdata/sf0.01"
+    got = [(x.taken, x.photo) for x in QUERIES["photo_offshore_all"](spark, d).collect()]
+    assert len(got) > 50 and got == sorted(got)
+    assert len(got) == QUERIES["offshore_km"](spark, d).filter("seq % 9 = 0 and km > 0.5").count()
+    assert difference(QUERIES["photo_offshore_all"](spark, d), ORACLE["photo_offshore_all"], d) == ""
