@@ -251,3 +251,15 @@ def test_every_offshore_photo(spark):
     assert len(got) > 50 and got == sorted(got)
     assert len(got) == QUERIES["offshore_km"](spark, d).filter("seq % 9 = 0 and km > 0.5").count()
     assert difference(QUERIES["photo_offshore_all"](spark, d), ORACLE["photo_offshore_all"], d) == ""
+
+
+def test_long_groups_stay_rows(spark, sf_dir, tmp_path):
+    """A ring is summed over rows, not collected; a long track is written in several pieces and read back whole."""
+    assert "collect_list" not in QUERIES["ring_area"](spark, sf_dir)._jdf.queryExecution().toString()
+    ring = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 2, 2.0, 3.0), (1, 1, 2.0, 0.0), (1, 3, 0.0, 3.0), (2, 0, 5.0, 5.0)], "k int, n int, x double, y double")
+    assert {(x.k, x.area) for x in polygons.ring_areas(ring, ["k"], ["n"]).collect()} == {(1, 6.0), (2, 0.0)}
+    p = spark.range(25).select(F.lit(7).alias("track"), F.col("id").alias("t_s"), F.timestamp_seconds("id").alias("ts"), (26 + F.col("id") / 1000).alias("lat"), F.lit(-77.0).alias("lon"))
+    tracks.write_gpx(p, f"{tmp_path}/gpx", piece=10)
+    assert spark.read.text(f"{tmp_path}/gpx/*/*").count() == 3
+    got = tracks.read_gpx(spark, f"{tmp_path}/gpx/*/*").orderBy("ts").collect()
+    assert [(x.session, round(x.lat, 6)) for x in got] == [("7", round(26 + i / 1000, 6)) for i in range(25)]

@@ -77,3 +77,11 @@ def face_table(half: DataFrame, coast: Column) -> DataFrame:
     t = half.groupBy("face").agg((F.sum(w) / 2).alias("area"), F.sum((F.col("ax") + F.col("bx")) * w).alias("mx"), F.sum((F.col("ay") + F.col("by")) * w).alias("my"), F.max(coast & F.col("along")).alias("land"))
     t = t.filter("area > 1e-12")
     return t.select("face", "area", (F.col("mx") / (6 * F.col("area"))).alias("cx"), (F.col("my") / (6 * F.col("area"))).alias("cy"), "land")
+
+
+def ring_areas(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys and the signed ``area`` of each ring of points (x, y): a sum over rows, so a ring of any length needs bounded memory."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
+    e = points.withColumns({"u": after("x"), "v": after("y")})
+    return e.groupBy(*keys).agg((F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).alias("area"))

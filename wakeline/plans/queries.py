@@ -642,9 +642,8 @@ _RING = f"""{P}, p as (select track, seq % 7 as ring, lon + 77 as x, lat - 26 as
 
 @query(f"{_RING} select track, ring, round(sum(x * v - u * y) / 2, 9) as area from e group by all")
 def ring_area(spark, d):
-    p = plain(spark, d).groupBy("track", (F.col("seq") % 7).alias("ring")).agg(F.sort_array(F.collect_list(F.struct("t_s", "seq", (F.col("lon") + 77).alias("x"), (F.col("lat") - 26).alias("y")))).alias("p"))
-    area, _, _ = geo.ring_moments(F.col("p.x"), F.col("p.y"))
-    return p.select("track", "ring", r(area, 9, "area"))
+    p = plain(spark, d).select("track", (F.col("seq") % 7).alias("ring"), "t_s", "seq", (F.col("lon") + 77).alias("x"), (F.col("lat") - 26).alias("y"))
+    return polygons.ring_areas(p, ["track", "ring"], ["t_s", "seq"]).select("track", "ring", r("area", 9))
 
 
 @query(f"{_RING} select track, ring, round(abs(sum(x * v - u * y) / 2), 9) as area from e group by all order by 3 desc, 1, 2 limit 5")
@@ -774,13 +773,11 @@ def stream_clean(spark, d):
 @query(f"""with f as ({DENSE_SQL}), p as (select track, t_s, round(lat, 6) as lat, round(lon, 6) as lon, t_s - lag(t_s) over (partition by track order by t_s) as gap from f where rn % 5 <> 2)
  select track::varchar as session, count(*) as points, count(gap) as gaps, count(*) filter (where gap / 60e0 > 9.5 and gap / 60e0 < 10.5) as ten_minutes, round(max(gap) / 60e0, 6) as longest_min, round(min(lat), 6) as south, round(max(lat), 6) as north from p group by track""")
 def gpx_cadence(spark, d):
-    """Tracker files of one track each: points, gaps, gaps of about ten minutes."""
+    """Tracker files of one track each, in pieces of bounded size: points, gaps, gaps of about ten minutes."""
     folder = f"{ensure_checkpoint_dir(spark)}/gpx-{uuid.uuid4().hex}"
     p = with_time(dense(spark, d).filter("rn % 5 != 2"))
-    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>1</ele><time>%s</time></trkpt>', nmea.fixed(F.col("lat"), 6), nmea.fixed(F.col("lon"), 6), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    trk = p.groupBy("track").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_s", point.alias("x")))), lambda v: v["x"]), "").alias("x"))
-    trk.select(F.concat(F.lit("<trk><name>"), F.col("track").cast("string"), F.lit("</name><trkseg>"), "x", F.lit("</trkseg></trk>")).alias("value"), "track").write.partitionBy("track").text(folder)
-    g = tracks.read_gpx(spark, f"{folder}/*").withColumn("t", F.unix_timestamp("ts"))
+    tracks.write_gpx(p, folder)
+    g = tracks.read_gpx(spark, f"{folder}/*/*").withColumn("t", F.unix_timestamp("ts"))
     g = g.withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("session").orderBy("t", "lat", "lon"))) / F.lit(60.0))
     return g.groupBy("session").agg(
         F.count(F.lit(1)).alias("points"), F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 9.5) & (F.col("gap") < 10.5)).alias("ten_minutes"), r(F.max("gap"), 6, "longest_min"), r(F.min("lat"), 6, "south"), r(F.max("lat"), 6, "north")

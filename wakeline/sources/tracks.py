@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wakeline.functions import clock, nmea
 
@@ -31,6 +32,18 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("track", clock.iso(F.col("utc")).alias("ts"), "lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")
 
 
+def write_gpx(fixes: DataFrame, path: str, piece: int = 10_000) -> None:
+    """GPX text of (track, t_s, ts, lat, lon), one folder a track; a track is as many files, each one trk of its name, as hold ``piece`` points each.
+
+    A file has one root only: the XML reader stops after the first.
+    """
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>1</ele><time>%s</time></trkpt>', nmea.fixed(F.col("lat"), 6), nmea.fixed(F.col("lon"), 6), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    place = F.row_number().over(Window.partitionBy("track").orderBy("t_s"))
+    rows = fixes.select("track", "t_s", point.alias("x"), F.floor((place - 1) / piece).alias("piece_n"))
+    trk = rows.groupBy("track", "piece_n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_s", "x"))), lambda v: v["x"]), "").alias("x"))
+    trk.select(F.concat(F.lit("<trk><name>"), F.col("track").cast("string"), F.lit("</name><trkseg>"), "x", F.lit("</trkseg></trk>")).alias("value"), "track", "piece_n").write.partitionBy("track", "piece_n").text(path)
+
+
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """(session, ts, lat, lon, ele) of every track point that has a time, at any depth of its track."""
     point = "array<struct<_lat:double,_lon:double,ele:double,time:string>>"
