@@ -398,8 +398,8 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(lists)
     asked = rows.filter(is_query)
-    # Dealt out anew: few rows of wide walks would otherwise be coalesced into one task.
-    wanted = asked.groupBy("h1", "h2").agg(F.first("_x").alias("x")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    # Dealt out anew, by another key than the one they are grouped by: few rows of wide walks would otherwise be coalesced into one task.
+    wanted = asked.groupBy("h1", "h2").agg(F.first("_x").alias("x")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h2")
     postings = checkpoint(_postings(known, shared))
     counts = np.zeros(len(lists.centroids), np.int64)
     for r in postings.groupBy("list").count().collect():  # one count a list
