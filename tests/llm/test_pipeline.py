@@ -7,7 +7,7 @@ from tests.llm.test_llm import plain_groups, plain_lines, plain_print
 from wakeline.llm import mixing, quality_rules
 
 
-def test_stages(spark, sf_dir):
+def test_stages(spark, sf_dir, tmp_path):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = []
     for name, stage in cp.STAGES:
@@ -16,7 +16,7 @@ def test_stages(spark, sf_dir):
         if name != "encode":
             assert out.columns == d.columns
         d = out
-    kept = {r.doc_id for r in quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("kept").collect()}
+    kept = {r.doc_id for r in quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{tmp_path}/ledger").filter("kept").collect()}
     first = {r.doc_id: r.text for r in held[0].collect()}
     assert set(first) == kept
     lines = {r.doc_id: (r.text, r.n_chars) for r in held[1].collect()}

@@ -151,6 +151,12 @@ def _loaded(shared) -> Bpe:
     return _LOADED[key]
 
 
+def vocabulary_size(vocabulary: str) -> int:
+    """Ids of the file at ``vocabulary``: all lie below this."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return len(Bpe(f.read()).strings)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, keys: dict[str, Column], text: Column, decoded: bool = True) -> DataFrame:
     """The key columns, ``ids`` (array<int>) and, if asked for, ``decoded`` (string) of every row.
 

@@ -40,6 +40,31 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) != 0 as base_failed, (fail_bits & (1 + 2 + 4 + 8 + 16 + 128)) = 0 as kept, fail_bits
 from f
 """
+_POLICIES = {"base": (0, 1), "v1": (0, 1, 2, 3), "v2": (0, 1, 2, 3, 4, 7), "strict": (0, 1, 2, 3, 4, 5, 6, 7)}
+_RULES = ("few_words", "repeated_windows", "symbols", "shouting", "short_words", "long_words", "repeated_lines", "few_letters")
+
+
+def quality_rules() -> str:
+    """QUALITY_RULES with the verdict of every policy, bit by bit."""
+    kept = ", ".join(f"not ({' or '.join(f'(fail_bits >> {b}) & 1 = 1' for b in bits)}) as kept_{p}" for p, bits in _POLICIES.items())
+    return QUALITY_RULES.replace("as kept, fail_bits\nfrom f", f"as kept, fail_bits, {kept}\nfrom f")
+
+
+def quality_ablation() -> str:
+    """Per policy and rule, counted document by document from lists of failed rules."""
+    plans = ", ".join(f"('{p}', {list(bits)}, {b}, '{_RULES[b]}')" for p, bits in _POLICIES.items() for b in bits)
+    head = QUALITY_RULES[: QUALITY_RULES.rindex("select doc_id")]
+    return (
+        head
+        + f""", plans as (select * from (values {plans}) p(policy, bits, bit, rule)),
+b as (select fail_bits, list_filter(range(8), lambda i: (fail_bits >> i) & 1 = 1) as failed from f),
+h as (select policy, rule, bit, fail_bits, list_intersect(failed, bits) as hit from b, plans)
+select policy, rule, count(*) filter (where len(hit) = 0)::bigint as kept, count(*) filter (where len(hit) = 0 or (len(hit) = 1 and hit[1] = bit))::bigint as kept_without,
+       count(*) filter (where len(hit) = 1 and hit[1] = bit)::bigint as only_this, bit_or(case when len(hit) = 0 then 0 else fail_bits end)::bigint as bits_seen
+from h group by policy, rule"""
+    )
+
+
 
 LINE_DEDUP = r"""
 with d as (

@@ -141,10 +141,25 @@ def ablation(ledger_rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = P
     )
 
 
-def judge(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
-    """doc_id, measurements, fail_bits, base_failed and kept for every row of ``docs``."""
-    rows = ledger(measure(docs, text_col))
-    return rows.withColumns({"base_failed": ~verdict(F.col("fail_bits"), mask(BASE)), "kept": verdict(F.col("fail_bits"), mask(tuple({*BASE, *POLICIES[policy]})))})
+def write_ledger(docs: DataFrame, folder: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Measure every row of ``docs`` once and store ``keep``, MEASURES and ``fail_bits`` in ``folder``; the stored ledger.
+
+    Policies and ablations read it from there: no text is measured again when they change.
+    """
+    ledger(measure(docs, text_col, keep)).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def apply_policies(ledger_rows: DataFrame, policy: str = CURRENT, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
+    """Adds base_failed, kept (under ``policy`` and the base rules), and one ``kept_<version>`` for every policy."""
+    bits = F.col("fail_bits")
+    own = {f"kept_{p}": verdict(bits, mask(used)) for p, used in policies.items()}
+    return ledger_rows.withColumns({"base_failed": ~verdict(bits, mask(BASE)), "kept": verdict(bits, mask(tuple({*BASE, *policies[policy]}))), **own})
+
+
+def judge(docs: DataFrame, folder: str, text_col: str = "text", id_col: str = "doc_id", policy: str = CURRENT) -> DataFrame:
+    """The id, measurements, fail_bits and verdicts of every row of ``docs``, through a ledger stored in ``folder``."""
+    return apply_policies(write_ledger(docs, folder, text_col, (id_col,)), policy)
 
 
 def keep_rows(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:

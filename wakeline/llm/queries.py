@@ -12,6 +12,11 @@ from wakeline.llm import ann, bpe, classifier, line_dedup, mixing, oracles, qual
 from wakeline.session import ensure_checkpoint_dir, table
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and the executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.pmod("_id", F.lit(20)) == 0)
 
@@ -40,19 +45,39 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+MANIFEST = ("shard", "first_slot", "n_sequences", "n_docs", "n_ids", "stride", "sha256")
+
+
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark)}/slots-{uuid.uuid4().hex}"
-    return slots.materialise(table(spark, sf_dir, "documents"), folder)
+    return slots.materialise(table(spark, sf_dir, "documents"), _folder(spark, "slots")).select(*MANIFEST)
+
+
+def training_order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over the token ids of operator 10: encoded once, written, and put in training order at two bytes an id."""
+    ids = _folder(spark, "ids")
+    bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(), {"doc_id": F.col("doc_id")}, F.col("text"), decoded=False).write.parquet(ids)
+    return slots.materialise(spark.read.parquet(ids), _folder(spark, "slots"), ids_col="ids", vocabulary=bpe.vocabulary_size(vocabulary())).select(*MANIFEST)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """All rules once per document into a stored ledger, and the verdicts of every policy version read from it."""
+    rows = quality_rules.judge(table(spark, sf_dir, "documents"), _folder(spark, "quality"))
+    return rows.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "fail_bits", *[f"kept_{p}" for p in quality_rules.POLICIES])
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs under each policy version, from the stored ledger."""
+    rows = quality_rules.write_ledger(table(spark, sf_dir, "documents"), _folder(spark, "quality"))
+    return quality_rules.ablation(rows)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a history, one after the other, through one ledger; the findings of all rows of both."""
     docs = table(spark, sf_dir, "documents")
-    rows = secrets.findings(docs, secrets.update(docs))
+    folder = _folder(spark, "secrets")
+    later = F.xxhash64("doc_id") % 2 == 0  # the rows that the second version brings; both versions are scanned whole
+    secrets.update(docs.filter(~later), folder)
+    rows = secrets.findings(docs, secrets.update(docs.filter(later), folder))
     base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
     text = lambda found: F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
@@ -92,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
+    "quality_ablation": quality_ablation,
+    "training_order_tokens": training_order_tokens,
 }
 
 ORACLE: dict[str, str] = {
@@ -99,6 +126,7 @@ ORACLE: dict[str, str] = {
     "op3_line_dedup": oracles.LINE_DEDUP,
     "op4_quality_classifier": oracles.quality_classifier(),
     "op5_url_filter": oracles.URL_FILTER,
-    "op8_quality_rules": oracles.QUALITY_RULES,
+    "op8_quality_rules": oracles.quality_rules(),
     "op9_secret_scan": oracles.secret_scan(),
+    "quality_ablation": oracles.quality_ablation(),
 }

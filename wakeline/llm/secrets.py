@@ -1,8 +1,8 @@
 """Secret scans over a history of texts, as an incremental blob ledger.
 
-Every version of every path is content-addressed by SHA-256. The ledger holds, for each (blob,
-rule version), the findings of its one scan; a run scans only pairs the ledger lacks and joins
-findings back to all paths that ever held the blob. Copies, however many, are scanned once: they
+Every version of every path is content-addressed by SHA-256. The ledger, a folder of Parquet files,
+holds the findings of the one scan of each (blob, rule version); a run scans only pairs the ledger
+lacks, appends them, and joins findings back to all paths that ever held the blob. Copies, however many, are scanned once: they
 collapse by digest, partly before the shuffle, so a text that a third of all rows share is one blob.
 
 Rule versions: "base" (assign, access, hex) and "v1" (base and four more kinds). Spans are
@@ -15,9 +15,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.llm.skew import join_one
 from wakeline.llm.text import whole
 from wakeline.session import checkpoint
 
@@ -56,6 +57,7 @@ def spans(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, int
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = f"blob binary, rule_version string, findings {FINDINGS}"
 
 
 def blob_id(text):
@@ -63,12 +65,20 @@ def blob_id(text):
     return F.unhex(F.sha2(whole(text), 256))
 
 
-def unseen(versions: DataFrame, text_col: str, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """(blob, text): one row for every blob in ``versions`` that the ledger has no scan of under the rule version."""
+def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """(blob, rule_version, findings) of the ledger in ``folder``, which is begun if it is not there."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def unseen(versions: DataFrame, text_col: str, ledger: DataFrame, rule_version: str) -> DataFrame:
+    """(blob, text): one row for every blob in ``versions`` that the ledger has no scan of under the rule version.
+
+    Blobs collapse first, in part before the shuffle; the ledger is met under the same partitioning.
+    """
     rows = versions.select(blob_id(F.col(text_col)).alias("blob"), whole(F.col(text_col)).alias("text"))
-    if ledger is not None:
-        rows = rows.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return rows.groupBy("blob").agg(F.first("text").alias("text"))
+    known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
+    return rows.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
 
 
 def scan(blobs: DataFrame, rule_version: str = CURRENT) -> DataFrame:
@@ -81,13 +91,19 @@ def scan(blobs: DataFrame, rule_version: str = CURRENT) -> DataFrame:
             found = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans(t, kinds)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_version] * len(found), pa.string()), pa.array(found, kind_type)], names=["blob", "rule_version", "findings"])
 
-    return blobs.select("blob", "text").mapInArrow(run, f"blob binary, rule_version string, findings {FINDINGS}")
+    return blobs.select("blob", "text").mapInArrow(run, LEDGER)
+
 
+def update(versions: DataFrame, folder: str, text_col: str = "text", rule_version: str = CURRENT) -> DataFrame:
+    """The ledger in ``folder`` after every blob of ``versions`` that it lacked was scanned under the rule version.
 
-def update(versions: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = CURRENT) -> DataFrame:
-    """The ledger with every blob of ``versions`` scanned under the rule version; what it had stays untouched."""
-    new = scan(unseen(versions, text_col, ledger, rule_version), rule_version)
-    return checkpoint(new if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(new))
+    What it had stays untouched. New rows are appended in one commit: a run that fails leaves the ledger as it was,
+    and one that is repeated scans nothing twice. One writer at a time.
+    """
+    spark: SparkSession = versions.sparkSession
+    known = open_ledger(spark, folder)
+    scan(unseen(versions, text_col, known, rule_version), rule_version).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", rule_version: str = CURRENT) -> DataFrame:
@@ -96,6 +112,6 @@ def findings(versions: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("d
     Null text is the empty blob, which has no findings; repeated rows each get their findings; rows
     whose blob the ledger lacks are left out, which ``update`` rules out. Other columns take no part.
     """
-    rows = versions.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], blob_id(F.col(text_col)).alias("blob"))
+    rows = checkpoint(versions.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], blob_id(F.col(text_col)).alias("blob")))
     known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "findings")
-    return rows.join(known, "blob").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "findings")
+    return join_one(rows, known, ["blob"]).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "findings")
