@@ -215,6 +215,23 @@ def test_mixing(spark, odd, empty):
     assert mixing.sample_rows(odd).columns == odd.columns
 
 
+def test_mixing_margins(spark):
+    """Margins are met or the operator says so: contradicting targets raise, unless the fit is taken as it is."""
+    rows = [(i, "w " * (5 + i % 7), "en" if i % 2 else "de", "a" if i % 2 else "b", 0, "", "", 0) for i in range(100)]
+    df = spark.createDataFrame(rows, DOCS)
+    share = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    wanted = {"source": share([("a", 0.9), ("b", 0.1)]), "lang": share([("en", 0.2), ("de", 0.8)])}  # a source is a language here
+    with pytest.raises(ValueError, match="margin"):
+        mixing.mix(df, targets=wanted, strict=True)
+    with pytest.warns(UserWarning, match="margin"):
+        assert mixing.mix(df, targets=wanted).count() == 100
+    absent = {"source": share([("a", 0.5), ("c", 0.5)])}
+    with pytest.raises(ValueError, match="margin"):
+        mixing.mix(df, targets=absent, strict=True)
+    met = mixing.margins(mixing.rake(mixing.cells(df), {"source": share([("a", 0.3), ("b", 0.7)])}), {"source": share([("a", 0.3), ("b", 0.7)])}).filter("dimension = 'source'").collect()
+    assert {(r.value, round(r.target, 6)) for r in met} == {("a", 0.3), ("b", 0.7)}
+
+
 # 10 BPE
 
 
@@ -354,6 +371,20 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0 and urls.judge(pages, labels.limit(0)).count() == pages.count()
 
 
+def test_url_suffixes_and_variance(spark):
+    """Suffixes from a table, user names and ports left out of domains; a thin domain lends more uncertainty than a rich one."""
+    hosts = spark.createDataFrame([(h, 0, 0) for h in ("a.b.co.kr", "b.co.kr:80", "u@x.b.co.kr", "co.kr", "me.github.io", "site.co.uk", "", "10.0.0.1")], "host string, n long, k long")
+    table = spark.createDataFrame([("co.kr",), ("kr",), ("github.io",), (None,)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.registered(hosts, table).collect()}
+    assert got["a.b.co.kr"] == got["b.co.kr:80"] == got["u@x.b.co.kr"] == ("b.co.kr", "co.kr")
+    assert got["co.kr"] == ("co.kr", "co.kr") and got["me.github.io"] == ("me.github.io", "github.io") and got["site.co.uk"] == ("co.uk", "uk") and got[""] == ("", "")
+    assert {r.host: r.domain for r in urls.registered(hosts).collect()}["site.co.uk"] == "site.co.uk"
+    many = [(f"h{i}.rich.org", 100, 50) for i in range(50)] + [("h0.thin.org", 2, 1), ("new.rich.org", 0, 0), ("new.thin.org", 0, 0)]
+    out = {r.host: r for r in urls.reputations(spark.createDataFrame(many, "host string, n long, k long")).collect()}
+    assert abs(out["new.rich.org"].bad_rate - out["new.thin.org"].bad_rate) < 0.01
+    assert out["new.thin.org"].bound < out["new.rich.org"].bound - 1e-4 and out["h1.rich.org"].bound > out["new.rich.org"].bound
+
+
 # 4 classifier
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.skew import join_one
 from wakeline.llm.text import SPACE, ascii_lower, whole
 from wakeline.session import checkpoint
 
@@ -44,9 +45,10 @@ def dropped_positions(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = checkpoint(_lines(rows, min_chars))
     # Null ids count as one document; max() takes them as the smallest.
     nulls = F.max(F.col("_id").isNull().cast("int"))
-    frequent = lines.groupBy("h1", "h2").agg((F.count_distinct("_id") + nulls).alias("n"), F.max("_id").alias("keeper"))
-    frequent = checkpoint(frequent.filter(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
-    hit = lines.join(frequent, ["h1", "h2"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
+    frequent = lines.groupBy("h1", "h2").agg((F.count_distinct("_id") + nulls).alias("n"), F.max("_id").alias("keeper"), F.count(F.lit(1)).alias("_rows"))
+    frequent = checkpoint(frequent.filter(F.col("n") >= min_docs).select("h1", "h2", "keeper", "_rows"))
+    met = frequent.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    hit = join_one(lines, frequent, ["h1", "h2"], total=met).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
     return hit.groupBy("_id", "_v").agg(F.collect_set("pos").alias("_drop"))
 
 

@@ -8,6 +8,8 @@ calibrated probability, decided by a hash of its id, so that reruns and retries
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from wakeline.session import checkpoint
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
+#: How far a margin may stay from its target.
+TOLERANCE = 1e-3
 #: A margin's target is its token share to this power, normalised: 1 keeps the corpus, 0 is uniform.
 TEMPERATURE = 0.7
 SEED = 17
@@ -55,6 +59,22 @@ def tempered_targets(cells: DataFrame, dim: str, temperature: float = TEMPERATUR
     return raised.crossJoin(F.broadcast(raised.agg(F.sum("p").alias("all")))).select("value", (F.col("p") / F.col("all")).alias("share"))
 
 
+def _placed(docs: DataFrame, keep: dict[str, Column], text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
+    """``keep`` plus source, lang, topic and n_tokens of every row."""
+    own = [topic.cast("string").alias("topic")] if topic is not None else []
+    x = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), tokens(F.col(text_col)).alias("n_tokens"), *own)
+    return x if own else x.withColumn("topic", topic_of(F.col("n_tokens")))
+
+
+def _summed(placed: DataFrame) -> DataFrame:
+    return placed.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """(source, lang, topic, n_tokens, n_docs) of every cell that ``docs`` has rows in."""
+    return checkpoint(_summed(_placed(docs, {}, text_col, source_col, lang_col, topic)))
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE) -> DataFrame:
     """cells (source, lang, topic, n_tokens, n_docs) plus ``factor``, ``weight`` and ``probability``.
 
@@ -85,6 +105,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return out.select(*cells.columns, "factor", weight.alias("weight"), probability.alias("probability"))
 
 
+def margins(fitted: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """dimension, value, target, share, error: how far the fitted weights of raked cells are from each margin's target.
+
+    Targets that no set of weights can meet (a wanted value without tokens, margins that contradict each other) show as
+    errors that more rounds do not lower.
+    """
+    out = None
+    for dim in DIMENSIONS:
+        want = (targets or {}).get(dim)
+        want = tempered_targets(fitted, dim, temperature) if want is None else want
+        want = want.select(F.col("value").alias("_value"), F.col("share").cast("double").alias("target"))
+        have = fitted.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("share"))
+        both = have.join(want, _same({"value": "_value"}), "full").select(F.lit(dim).alias("dimension"), F.coalesce("value", "_value").alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("share", F.lit(0.0)).alias("share"))
+        out = both if out is None else out.unionByName(both)
+    return out.withColumn("error", F.abs(F.col("share") - F.col("target")))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -94,18 +131,24 @@ def mix(
     topic: Column | None = None,
     targets: dict[str, DataFrame] | None = None,
     seed: int = SEED,
+    strict: bool = False,
 ) -> DataFrame:
     """``row`` (all columns of ``docs``), source, lang, topic, n_tokens, weight, probability, kept.
 
-    Every row is judged; null ids share one draw, repeated rows of an id are kept or left together.
+    Every row is judged; null ids share one draw, repeated rows of an id are kept or left together. A margin that
+    is farther than TOLERANCE from its target after the last round is warned of, or raises if ``strict``: the nearest fit
+    is used, and ``margins`` tells how near it is.
     """
-    n = tokens(F.col(text_col))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    known = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), n.alias("n_tokens"), row.alias("row"), *([topic.cast("string").alias("topic")] if topic is not None else []))
-    if topic is None:
-        known = known.withColumn("topic", topic_of(F.col("n_tokens")))
-    cells = checkpoint(known.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs")))
-    fitted = checkpoint(rake(cells, targets).select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], "weight", "probability"))
+    known = _placed(docs, {"_id": F.col(id_col), "row": row}, text_col, source_col, lang_col, topic)
+    raked = checkpoint(rake(checkpoint(_summed(known)), targets))
+    worst = margins(raked, targets).agg(F.max("error")).first()[0]
+    if worst is not None and worst > TOLERANCE:
+        said = f"a margin is {worst:.3g} from its target after {ROUNDS} rounds, more than {TOLERANCE:.3g}: the targets contradict each other or the table"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    fitted = raked.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], "weight", "probability")
     if fitted.count() <= BROADCAST_CELLS:
         fitted = F.broadcast(fitted)
     out = known.join(fitted, _same({c: f"_{c}" for c in DIMENSIONS}))

@@ -87,8 +87,8 @@ from s group by doc_id
 """
 
 
-def mixing(rounds: int = 8, temperature: float = 0.7, seed: int = 17) -> str:
-    """Raking unrolled: one window a margin and round."""
+def _raked(rounds: int, temperature: float) -> tuple[str, int]:
+    """Raking unrolled: one window a margin and round; the CTEs and the number of the last one."""
     dims = ("source", "lang", "topic")
     sql = [
         r"""d as (select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)""",
@@ -105,11 +105,23 @@ def mixing(rounds: int = 8, temperature: float = 0.7, seed: int = 17) -> str:
             sql.append(f"g{n} as materialized (select *, sum(t * f) over (partition by {dim}) as h from f{n})")
             sql.append(f"f{n + 1} as materialized (select source, lang, topic, t, t_source, t_lang, t_topic, case when h > 0 then f * t_{dim} / h else f end as f from g{n})")
             n += 1
+    return "with " + ",\n".join(sql) + f""",
+o as (select max(f) filter (where t > 0) as top, sum(t * f) as total from f{n})
+""", n
+
+
+def mixing_margins(rounds: int = 8, temperature: float = 0.7) -> str:
+    head, n = _raked(rounds, temperature)
+    each = [f"select '{dim}' as dimension, {dim} as value, any_value(t_{dim}) as target, sum(t * f) / any_value(total) as share from f{n}, o group by {dim}" for dim in ("source", "lang", "topic")]
+    return head + ", a as (" + " union all ".join(each) + ") select dimension, value, round(target, 6) as target, round(share, 6) as share, abs(share - target) < 1e-6 as met from a"
+
+
+def mixing(rounds: int = 8, temperature: float = 0.7, seed: int = 17) -> str:
+    head, n = _raked(rounds, temperature)
     u = f"('0x' || substr(md5('{seed}:' || coalesce(k.doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double"
     p = "case when t > 0 and top > 0 then f / top else 1 end"
     return (
-        "with " + ",\n".join(sql) + f""",
-o as (select max(f) filter (where t > 0) as top, sum(t * f) as total from f{n})
+        head + f"""
 select doc_id, k.source, k.lang, k.topic, n_tokens,
        round(case when total > 0 then t * f / total else 0 end, 9) as cell_weight, round({p}, 9) as probability, {u} < {p} as kept
 from k join f{n} x on k.source is not distinct from x.source and k.lang is not distinct from x.lang and k.topic = x.topic, o"""
@@ -160,7 +172,7 @@ with u as (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from u
 ), q as (
-  select *, string_split(host, '.') as l from p
+  select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as l from p
 ), x as (
   select page_id, host, path,
          array_to_string(l[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') as two, l from q
@@ -187,15 +199,20 @@ with u as (
   from moments
 ), m as (
   select coalesce((select m from strengths where level = 's'), 1000) as ms, coalesce((select m from strengths where level = 'd'), 1000) as md,
-         coalesce((select m from strengths where level = 'h'), 1000) as mh, (select (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) from suffixes) as p0
+         coalesce((select m from strengths where level = 'h'), 1000) as mh, (select (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) from suffixes) as p0,
+         (select coalesce(sum(n), 0) from suffixes) as n0
 ), ps as (
-  select suffix, (k + ms * p0) / (n + ms) as ps from suffixes, m
+  select suffix, (k + ms * p0) / (n + ms) as ps, n as n1 from suffixes, m
+), vs as (
+  select suffix, ps, ps * (1 - ps) / (n1 + ms + 1) + power(ms / (n1 + ms), 2) * p0 * (1 - p0) / (n0 + 2) as vs from ps, m
 ), pd as (
-  select domain, suffix, (k + md * ps) / (n + md) as pd from domains join ps using (suffix), m
+  select domain, suffix, (k + md * ps) / (n + md) as pd, n as n2, vs from domains join vs using (suffix), m
+), vd as (
+  select domain, suffix, pd, pd * (1 - pd) / (n2 + md + 1) + power(md / (n2 + md), 2) * vs as vd from pd, m
 ), ph as (
-  select host, n, mh, (k + mh * pd) / (n + mh) as bad_rate from hosts join pd using (domain, suffix), m
+  select host, n, mh, vd, (k + mh * pd) / (n + mh) as bad_rate from hosts join vd using (domain, suffix), m
 ), rated as (
-  select host, bad_rate, bad_rate - 1.645 * sqrt(bad_rate * (1 - bad_rate) / (n + mh + 1)) as bound from ph
+  select host, bad_rate, bad_rate - 1.645 * sqrt(bad_rate * (1 - bad_rate) / (n + mh + 1) + power(mh / (n + mh), 2) * vd) as bound from ph
 ), rules as (
   select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) t(rh, rp, rv)
 ), fit as (

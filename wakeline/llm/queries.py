@@ -26,6 +26,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "kept")
 
 
+def mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the raked weights are from every margin's target."""
+    cells = mixing.cells(table(spark, sf_dir, "documents"))
+    out = mixing.margins(mixing.rake(cells))
+    return out.select("dimension", "value", F.round("target", 6).alias("target"), F.round("share", 6).alias("share"), (F.col("error") < 1e-6).alias("met"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
+    "mixing_margins": mixing_margins,
     "quality_ablation": quality_ablation,
     "training_order_tokens": training_order_tokens,
 }
@@ -128,5 +136,6 @@ ORACLE: dict[str, str] = {
     "op5_url_filter": oracles.URL_FILTER,
     "op8_quality_rules": oracles.quality_rules(),
     "op9_secret_scan": oracles.secret_scan(),
+    "mixing_margins": oracles.mixing_margins(),
     "quality_ablation": oracles.quality_ablation(),
 }

@@ -9,7 +9,11 @@ Exact copies collapse to one fingerprint before anything is indexed. A bucket em
 forest of its verified links (at most one row less than its members), never all its pairs. Segment
 values that very many fingerprints share are found by counting (three rows a fingerprint, summed
 before the shuffle); their buckets are refined by five exact pieces of the other bits, of which
-one must agree, so a hot bucket is dealt out anew instead of growing one task.
+one must agree, so a hot bucket is dealt out anew instead of growing one task. Copies of one text, members
+of one group and edges of one star are dealt over pieces where they meet their group's one row.
+
+Four bits are what the contract of the operator asks for. They catch copies with few changes: of edited
+copies with a Jaccard similarity of 0.8 to 0.9 most differ in more bits and stay apart (README has figures).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.components import components
+from wakeline.llm.skew import join_one
 from wakeline.llm.text import whole
 from wakeline.session import checkpoint
 
@@ -180,7 +185,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = checkpoint(fingerprints(docs, {"_id": F.col(id_col)}, F.col(text_col)))
     least = _group_least(rows, F.col("_id"), heavy)
-    out = rows.join(least, "fp")
+    out = join_one(rows, least, ["fp"])
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
@@ -190,8 +195,8 @@ def _group_least(rows: DataFrame, value: Column, heavy: int = HEAVY) -> DataFram
     found = components(links(prints.select("fp"), heavy))
     named = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = checkpoint(named)
-    whole_group = named.groupBy("root").agg(F.min("least").alias("least"))
-    return named.select("fp", "root").join(whole_group, "root").select("fp", "least")
+    whole_group = named.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("_rows"))
+    return join_one(named.select("fp", "root"), whole_group, ["root"], total=named.count()).select("fp", "least")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
