@@ -60,15 +60,16 @@ def to_segment(px, py, ax, ay, bx, by) -> tuple[Column, Column]:
 def offshore_km(lon, lat, barrier=BARRIER) -> Column:
     """Signed kilometres to the nearest barrier segment, the first on ties; positive to the left of its direction."""
     x, y = col(lon) * K0, col(lat)
-    ends = [F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (a[0] * K0, a[1], b[0] * K0, b[1]))]) for i, (a, b) in enumerate(zip(barrier, barrier[1:]))]
-
-    def near(s: Column) -> Column:
-        d2, cross = to_segment(x, y, s["ax"], s["ay"], s["bx"], s["by"])
-        return F.struct(d2.alias("d2"), s["i"].alias("i"), F.when(cross > 0, 1.0).otherwise(-1.0).alias("side"))
-
-    # The least struct is the nearest segment, the first of equals; one fold, so the expression is not repeated.
-    best = F.array_min(F.transform(F.array(*ends), near))
-    return F.aggregate(F.array(best), F.lit(0.0), lambda _, b: b["side"] * F.sqrt(b["d2"]) * KM_PER_DEG)
+    d2, side = [], []
+    for (a_lon, ay), (b_lon, by) in zip(barrier, barrier[1:]):
+        ax, dx, dy = a_lon * K0, (b_lon - a_lon) * K0, by - ay
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) * (1 / (dx * dx + dy * dy))))
+        ex, ey = x - (ax + t * dx), y - (ay + t * dy)
+        d2.append(ex * ex + ey * ey)
+        side.append(F.when(dx * (y - ay) - dy * (x - ax) > 0, 1.0).otherwise(-1.0))
+    # Unrolled over constants, all in generated code; the array is one subexpression, so it is made once.
+    each = F.array(*d2)
+    return F.get(F.array(*side), F.array_position(each, F.array_min(each)).cast("int") - 1) * F.sqrt(F.array_min(each)) * KM_PER_DEG
 
 
 def corridor_gate(lat) -> Column:
@@ -119,9 +120,9 @@ def ring_moments(xs: Column, ys: Column) -> tuple[Column, Column, Column]:
 
 
 def dm_label(value, pos: str, neg: str) -> Column:
-    """Degrees and whole minutes, such as 26°33'N: degrees cut, minutes rounded half to even, 60 carried."""
+    """Degrees and whole minutes, such as 26°33′N, with a prime: degrees cut, minutes rounded half to even, 60 carried."""
     v = F.abs(col(value))
     deg = F.floor(v)
     minutes = F.bround((v - deg) * 60, 0)
     carried = F.when(minutes >= 60, deg + 1).otherwise(deg)
-    return F.concat(carried.cast("int").cast("string"), F.lit("°"), F.lpad(F.when(minutes >= 60, 0).otherwise(minutes).cast("int").cast("string"), 2, "0"), F.lit("'"), F.when(col(value) >= 0, pos).otherwise(neg))
+    return F.concat(carried.cast("int").cast("string"), F.lit("°"), F.lpad(F.when(minutes >= 60, 0).otherwise(minutes).cast("int").cast("string"), 2, "0"), F.lit("\u2032"), F.when(col(value) >= 0, pos).otherwise(neg))

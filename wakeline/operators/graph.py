@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wakeline.functions.geo import haversine, micro
 from wakeline.session import checkpoint
@@ -32,12 +33,13 @@ def nearest_node(graph: DataFrame, lat: float, lon: float):
     return graph.select("src").distinct().agg(F.min_by("src", F.struct(at, "src")).alias("node")).select("node")
 
 
-def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000, target: DataFrame | None = None) -> DataFrame:
     """(node, dist, prev): shortest distance from the nearest of ``starts`` (node) to every node reached.
 
     ``graph`` has src, dst (any comparable type) and w >= 0. Each round joins the nodes that improved
     with their edges and keeps the least per node, ties to the smaller predecessor; states are written to the shared
-    folder, and the driver sees one count a round.
+    folder, and the driver sees one row a round. With a ``target`` (node) the rounds end once no open node is nearer
+    than it: its distance is right then, and those of nodes beyond it may not be.
     """
     best_edges = checkpoint(graph.groupBy("src", "dst").agg(F.min("w").alias("w")))
     known = checkpoint(starts.select("node").distinct().select("node", F.lit(0.0).cast("double").alias("dist"), F.col("node").alias("prev")))
@@ -47,9 +49,14 @@ def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) ->
         step = step.groupBy("node").agg(F.min(F.struct("dist", "prev")).alias("s")).select("node", "s.dist", "s.prev")
         old = known.select("node", F.col("dist").alias("_old"))
         better = checkpoint(step.join(old, "node", "left").filter("_old is null or dist < _old").select("node", "dist", "prev"))
-        if better.isEmpty():
+        nearest = better.agg(F.min("dist")).first()[0]
+        if nearest is None:
             return known
         known = checkpoint(known.join(better.select("node"), "node", "left_anti").unionByName(better))
+        if target is not None and (there := known.join(target.select("node").distinct(), "node").agg(F.max("dist")).first()[0]) is not None:
+            better = better.filter(F.col("dist") < there)
+            if nearest >= there:
+                return known
         front = better
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
@@ -69,3 +76,22 @@ def routes(reached: DataFrame, targets: DataFrame) -> DataFrame:
         jump = checkpoint(jump.select("node", F.col("far").alias("mid")).join(jump.withColumnRenamed("node", "mid"), "mid").select("node", "far"))
         step *= 2
     return on
+
+
+def route(graph: DataFrame, start: tuple[float, float], end: tuple[float, float]) -> DataFrame:
+    """(place, lat, lon, metres) of the shortest way from one position (lat, lon) to another along the graph.
+
+    The first row is the start itself and the last the end; between them lie the nodes, from the one nearest to
+    the start to the one nearest to the end. ``metres`` is the length between those two nodes, the same in every row.
+    No rows where no way leads there, or where the graph is empty.
+    """
+    near, far = checkpoint(nearest_node(graph, *start).filter("node is not null")), checkpoint(nearest_node(graph, *end).filter("node is not null"))
+    reached = distances(graph, near, target=far)
+    way = routes(reached, far)
+    n = F.max("back").over(Window.partitionBy("target"))
+    nodes = way.select((n - F.col("back") + 1).alias("place"), (F.col("node.lat") / 1e6).alias("lat"), (F.col("node.lon") / 1e6).alias("lon"), n.alias("_n"))
+    length = reached.join(far, "node").select(F.col("dist").alias("metres"))
+    ends = nodes.groupBy().agg(F.max("_n").alias("_n")).filter("_n is not null")
+    ends = ends.select(F.explode(F.array(*[F.struct(place.cast("long").alias("place"), F.lit(at[0]).alias("lat"), F.lit(at[1]).alias("lon")) for place, at in ((F.lit(0), start), (F.col("_n") + 2, end))])).alias("e")).select("e.*")
+    # One row on the right: the length of the one way.
+    return nodes.drop("_n").unionByName(ends).crossJoin(F.broadcast(length))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,7 +100,8 @@ def nearest_rank(values: DataFrame, value: Column, by: list[str]) -> DataFrame:
 def in_interval(windows: DataFrame, points: DataFrame, start: str, end: str, time: str, by: str, closed: bool, width_s: float) -> DataFrame:
     """Windows left-joined to the points of the same ``by`` inside them, ends included if ``closed``.
 
-    Times are seconds. Windows are listed under the time buckets they touch and meet points by equality.
+    Times are seconds. Windows are listed under the time buckets they touch and meet points by equality. A window
+    with a null key or end holds no point and comes back once, as any other without points does.
     """
     first, last = F.floor(F.col(start) / width_s).cast("long"), F.floor(F.col(end) / width_s).cast("long")
     w = windows.withColumn("_b", F.explode(F.sequence(first, F.greatest(first, last))))
@@ -105,5 +109,7 @@ def in_interval(windows: DataFrame, points: DataFrame, start: str, end: str, tim
     t = F.col(f"point.{time}")
     inside = (t >= F.col(start)) & (t <= F.col(end)) if closed else (t > F.col(start)) & (t < F.col(end))
     hit = w.join(p, (F.col(by) == F.col("_by")) & (F.col("_b") == F.col("_pb")) & inside).select(*windows.columns, "point")
-    missed = windows.join(hit.select(*windows.columns).distinct(), windows.columns, "left_anti")
+    met = hit.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(windows.columns)]).distinct()
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(windows.columns)])
+    missed = windows.join(met, same, "left_anti")
     return hit.unionByName(missed.withColumn("point", F.lit(None).cast(hit.schema["point"].dataType)))

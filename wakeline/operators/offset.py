@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,9 +43,14 @@ def edge_mean(value: Column, key: str, order: str, width: int = WIDTH) -> Column
 
 
 def shifted(points: DataFrame, key: str, order: str, distance: Column, width: int = WIDTH) -> DataFrame:
-    """key, order, x, y, qx, qy, scale: where each vertex goes. ``distance`` is in degrees of latitude, left positive."""
+    """key, order, x, y, qx, qy, scale: where each vertex goes. ``distance`` is in degrees of latitude, left positive.
+
+    A track of fewer than three points, or of fewer than two segments that have a length, stays where it is.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    h = headings(points, key, order).withColumn("d", distance)
+    h = headings(points, key, order)
+    # Points without a length after them are gone, the last one stays: three rows are two segments.
+    h = h.withColumn("d", F.when(F.count(F.lit(1)).over(Window.partitionBy(key)) >= 3, distance).otherwise(0.0))
     tight = F.min("radius").over(w.rowsBetween(-(width // 2), width // 2))
     h = h.withColumn("tight", tight)
     h = h.withColumn("taper", F.when(F.col("tight").isNull() | (F.col("d") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("tight") / (2 * F.abs("d")))))
@@ -63,7 +68,6 @@ def trim_folds(rows: DataFrame, key: str, order: str, ahead: int = AHEAD) -> Dat
     At each vertex the farthest crossing within ``ahead`` segments is taken, if all of its loop lies within
     twice the shift of the crossing and was moved; the line jumps there. Sequential per track, holding the look-ahead only.
     """
-    kind = dict(rows.dtypes)[key]
 
     def fold(a: np.ndarray, i: int) -> tuple[int, float, float] | None:
         """(next vertex, crossing) of the farthest fold that starts on the segment at i; a has x, y, tolerance, moved."""
@@ -94,8 +98,8 @@ def trim_folds(rows: DataFrame, key: str, order: str, ahead: int = AHEAD) -> Dat
                 out.append(pts[i][:2])
         return i
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, pts, n, out, rows_ = None, [], 0, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, track, pts, n, out, rows_, kind = None, None, [], 0, [], [], None
 
         def flush(done: bool) -> None:
             nonlocal pts, n, out
@@ -107,18 +111,27 @@ def trim_folds(rows: DataFrame, key: str, order: str, ahead: int = AHEAD) -> Dat
             rows_.extend((track, n + k, x, y) for k, (x, y) in enumerate(out))
             n, out = n + len(out), []
 
-        for pdf in batches:
-            for key_, x, y, d, s in zip(*(pdf[c].tolist() for c in (key, "qx", "qy", "d", "scale")), strict=True):
-                if key_ != track:
+        def batch_of() -> pa.RecordBatch:
+            nonlocal rows_
+            columns = [*zip(*rows_, strict=True)] or [()] * 4
+            rows_ = []
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=[key, "n", "x", "y"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for own, key_, x, y, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key_ != seen:
                     flush(True)
-                    track, pts, n = key_, [], 0
+                    seen, track, pts, n = key_, own, [], 0
                 pts.append((x, y, 2 * abs(d), s > ACTIVE))
                 if len(pts) >= 8 * ahead:
                     flush(False)
-            yield pd.DataFrame(rows_, columns=["key", "n", "x", "y"])
-            rows_ = []
+            yield batch_of()
         flush(True)
-        yield pd.DataFrame(rows_, columns=["key", "n", "x", "y"])
+        if rows_:
+            yield batch_of()
 
-    dealt = rows.repartition(key).sortWithinPartitions(key, order)
-    return dealt.mapInPandas(run, f"key {kind}, n long, x double, y double").withColumnRenamed("key", key)
+    # The key as text tells null from every other value.
+    dealt = rows.repartition(key).sortWithinPartitions(key, order).select(key, F.to_json(F.struct(key)).alias("_k"), "qx", "qy", "d", "scale")
+    schema = rows.select(key, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).schema
+    return dealt.mapInArrow(run, schema)

@@ -15,42 +15,70 @@ def _number(x, kind: str, default):
     return F.when(x == "", F.lit(default).cast(kind)).otherwise(value), (x != "") & value.isNull()
 
 
-def positions(lines: DataFrame) -> DataFrame:
-    """Valid ``$GPRMC`` rows: file, pos, hhmmss, ts, lat, lon, sog_kn, cog_deg."""
-    x = lines.filter(F.col("line").startswith("$GPRMC") & nmea.checksum_ok(F.col("line"))).withColumn("f", nmea.fields(F.col("line")))
-    f = lambda i: F.get("f", F.lit(i))
-    x = x.filter((F.size("f") >= 10) & (f(2) == "A") & (F.length(f(1)) >= 6) & (F.length(f(9)) == 6))
+def _sentences(lines: DataFrame, *kinds: str) -> DataFrame:
+    """file, pos, kind and the fields ``f`` of the valid sentences of the named kinds; the name is looked at before the checksum is."""
+    kind = F.substr(F.col("line"), F.lit(2), F.lit(5))
+    x = lines.filter(F.col("line").startswith("$") & kind.isin(*kinds)).filter(nmea.checksum_ok(F.col("line")))
+    return x.select("file", "pos", kind.alias("kind"), nmea.fields(F.col("line")).alias("f"))
+
+
+def _field(i: int):
+    return F.get("f", F.lit(i))
+
+
+def _position():
+    """The position of a row's fields as a struct, null where it is none."""
+    f = _field
     sog, bad_sog = _number(f(7), "double", 0.0)
     cog, bad_cog = _number(f(8), "double", None)
-    x = x.select(
-        "file", "pos", F.substr(f(1), F.lit(1), F.lit(6)).alias("hhmmss"), nmea.timestamp(f(1), f(9)).alias("ts"),
-        nmea.degrees(f(3), f(4)).alias("lat"), nmea.degrees(f(5), f(6)).alias("lon"), sog.alias("sog_kn"), cog.alias("cog_deg"), (bad_sog | bad_cog).alias("bad"),
-    )
-    return x.filter("ts is not null and lat is not null and lon is not null and not bad").drop("bad")
+    ts, lat, lon = nmea.timestamp(f(1), f(9)), nmea.degrees(f(3), f(4)), nmea.degrees(f(5), f(6))
+    usable = (F.col("kind") == "GPRMC") & (F.size("f") >= 10) & (f(2) == "A") & (F.length(f(1)) >= 6) & (F.length(f(9)) == 6)
+    usable = usable & ts.isNotNull() & lat.isNotNull() & lon.isNotNull() & ~(bad_sog | bad_cog)
+    return F.when(usable, F.struct(ts.alias("ts"), lat.alias("lat"), lon.alias("lon"), sog.alias("sog_kn"), cog.alias("cog_deg")))
 
 
-def qualities(lines: DataFrame) -> DataFrame:
-    """The last valid ``$GPGGA`` of each file and second of day: file, hhmmss, quality, sats, hdop."""
-    x = lines.filter(F.col("line").startswith("$GPGGA") & nmea.checksum_ok(F.col("line"))).withColumn("f", nmea.fields(F.col("line")))
-    f = lambda i: F.get("f", F.lit(i))
-    x = x.filter((F.size("f") >= 9) & (f(1) != "") & (f(6) != ""))
+def _quality():
+    """The quality of a row's fields as a struct, null where it is none."""
+    f = _field
     sats, bad_sats = _number(f(7), "int", 0)
     hdop, bad_hdop = _number(f(8), "double", 99.0)
-    x = x.select("file", F.substr(f(1), F.lit(1), F.lit(6)).alias("hhmmss"), "pos", f(6).try_cast("int").alias("quality"), sats.alias("sats"), hdop.alias("hdop"), (bad_sats | bad_hdop).alias("bad"))
-    x = x.filter("quality is not null and not bad")
-    return x.groupBy("file", "hhmmss").agg(F.max_by(F.struct("quality", "sats", "hdop"), "pos").alias("q")).select("file", "hhmmss", "q.*")
+    quality = f(6).try_cast("int")
+    usable = (F.col("kind") == "GPGGA") & (F.size("f") >= 9) & (f(1) != "") & (f(6) != "") & quality.isNotNull() & ~(bad_sats | bad_hdop)
+    return F.when(usable, F.struct(quality.alias("quality"), sats.alias("sats"), hdop.alias("hdop")))
+
+
+def _second():
+    return F.substr(_field(1), F.lit(1), F.lit(6)).alias("hhmmss")
+
+
+def positions(lines: DataFrame) -> DataFrame:
+    """Valid ``$GPRMC`` rows: file, pos, hhmmss, ts, lat, lon, sog_kn, cog_deg."""
+    return _sentences(lines, "GPRMC").select("file", "pos", _second(), _position().alias("p")).filter("p is not null").select("file", "pos", "hhmmss", "p.*")
+
+
+def qualities(lines: DataFrame) -> DataFrame:
+    """The last valid ``$GPGGA`` of each file and second of day: file, hhmmss, quality, sats, hdop."""
+    x = _sentences(lines, "GPGGA").select("file", "pos", _second(), _quality().alias("q")).filter("q is not null")
+    return x.groupBy("file", "hhmmss").agg(F.max_by("q", "pos").alias("q")).select("file", "hhmmss", "q.*")
 
 
 def fixes(lines: DataFrame) -> DataFrame:
     """track, ts, lat, lon, sog_kn, cog_deg, quality, sats, hdop; one row per time, the first in file order.
 
     A position without a quality sentence has quality 0, no satellites and HDOP 99, which the quality
-    filter rejects later. ``lines`` has file, pos (orders a file's lines) and line.
+    filter rejects later. ``lines`` has file, pos (orders a file's lines) and line. Lines are read once: both
+    kinds are dealt by file and second, where the last quality meets the positions.
     """
-    both = positions(lines).join(qualities(lines), ["file", "hhmmss"], "left")
-    first = F.row_number().over(Window.partitionBy("file", "ts").orderBy("pos"))
-    both = both.withColumn("n", first).filter("n = 1")
-    return both.select(F.col("file").alias("track"), "ts", "lat", "lon", "sog_kn", "cog_deg", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("sats", F.lit(0)).alias("sats"), F.coalesce("hdop", F.lit(99.0)).alias("hdop"))
+    x = _sentences(lines, "GPRMC", "GPGGA").select("file", "pos", _second(), _position().alias("p"), _quality().alias("q")).filter("p is not null or q is not null")
+    same = Window.partitionBy("file", "hhmmss")
+    x = x.withColumn("q", F.max_by("q", F.when(F.col("q").isNotNull(), F.col("pos"))).over(same)).filter("p is not null")
+    # Equal times are equal seconds of day, so this needs no other dealing.
+    return first_of(x.withColumn("ts", F.col("p.ts")), ["file", "hhmmss", "ts"], "pos").select(F.col("file").alias("track"), "p.*", F.coalesce("q.quality", F.lit(0)).alias("quality"), F.coalesce("q.sats", F.lit(0)).alias("sats"), F.coalesce("q.hdop", F.lit(99.0)).alias("hdop"))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row, by ``order``, of each group."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
 
 
 def as_written(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,18 +40,28 @@ def extent(fixes: DataFrame, key: str, margin: float = 1.35, least: float = 0.01
     return box.select(key, mid("lon").alias("cx"), mid("lat").alias("cy"), size("lon").alias("width"), size("lat").alias("height"))
 
 
-def farthest_point(points: DataFrame, key: str, order: str, chart: str, mine: int = 3, others: int = 2, candidates: int = 400) -> DataFrame:
+def farthest_point(points: DataFrame, key: str, order: str, chart: str, mine: int = 3, others: int = 2, candidates: int = 400, avoid=(), manual: DataFrame | None = None) -> DataFrame:
     """Per track the point farthest from the other tracks of its ``chart``, the first on ties: key, order, lat, lon, dist (degrees).
 
     At most ``candidates`` evenly spaced points of a track are held against every second point of the chart's
-    other tracks. Charts meet by equality; the minimum is taken in part before the shuffle.
+    other tracks, and against the places ``avoid`` ((lon, lat), a short fixed list). A track named in ``manual``
+    (key, lat, lon) takes that position, with neither order nor distance. A track alone on its chart has none.
+    Charts meet by equality; the minimum is taken in part before the shuffle.
     """
     w = Window.partitionBy(key).orderBy(order)
     p = points.select(chart, key, order, "lat", "lon", (F.row_number().over(w) - 1).alias("i"), (F.col("lon") * F.cos(F.radians("lat"))).alias("x"), F.col("lat").alias("y"))
     own = p.filter(F.col("i") % mine == 0).withColumn("k", (F.col("i") / mine).cast("int"))
     own = own.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(key)))
     own = own.filter(F.col("k") % F.greatest(F.lit(1), F.floor(F.col("m") / candidates)) == 0)
+    if manual is not None:
+        own = own.join(manual.select(key), key, "left_anti")
     rest = p.filter(F.col("i") % others == 0).select(chart, F.col(key).alias("_key"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = own.join(rest, chart).filter(F.col(key) != F.col("_key")).groupBy(key, order, "lat", "lon", "k").agg(F.min(F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"))).alias("dist"))
-    best = d.groupBy(key).agg(F.max_by(F.struct(order, "lat", "lon", "dist"), F.struct(F.round("dist", 9), -F.col("k"))).alias("b"))
-    return best.select(key, "b.*")
+    if avoid:
+        x, y = F.col("lon") * F.cos(F.radians("lat")), F.col("lat")
+        d = d.withColumn("dist", F.least("dist", *[F.hypot(x - lon * math.cos(math.radians(lat)), y - lat) for lon, lat in avoid]))
+    best = d.groupBy(key).agg(F.max_by(F.struct(order, "lat", "lon", "dist"), F.struct(F.round("dist", 9), -F.col("k"))).alias("b")).select(key, "b.*")
+    if manual is not None:
+        none = {c: F.lit(None).cast(t) for c, t in best.dtypes if c not in (key, "lat", "lon")}
+        best = best.unionByName(manual.select(key, "lat", "lon").withColumns(none))
+    return best

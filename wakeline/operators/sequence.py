@@ -8,23 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wakeline.functions.geo import KN_PER_MS, haversine_m
 
+# Spike filter, thinning, stops.
 MAX_KN, JUMP_M, THIN_M = 30.0, 60.0, 22.0
 STOP_M, STOP_MIN = 90.0, 25.0
 
 
-def _dealt(fixes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return fixes.repartition(*keys).sortWithinPartitions(*keys, *order)
+def _dealt(fixes: DataFrame, keys: list[str], time: str, order: list[str]) -> DataFrame:
+    """Rows by track, in order, behind them ``_k`` (the keys as text, nulls told apart), seconds, latitude and longitude."""
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6 if dict(fixes.dtypes)[time].startswith("timestamp") else F.col(time).cast("double")
+    rows = fixes.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.select("*", F.to_json(F.struct(*keys)).alias("_k"), at.alias("_t"), F.col("lat").cast("double").alias("_la"), F.col("lon").cast("double").alias("_lo"))
 
 
-def _time(column: pd.Series) -> list[float]:
-    """Seconds, from timestamps or numbers."""
-    return (column.astype("int64") / 1e9 if column.dtype.kind == "M" and str(column.dtype).startswith("datetime64[ns") else column.astype("datetime64[us]").astype("int64") / 1e6 if column.dtype.kind == "M" else column).tolist()
+def _walked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(_k, t, lat, lon) of every row."""
+    return zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True)
 
 
 def accept(fixes: DataFrame, keys: list[str], time: str, order: list[str] | None = None, need_advance: bool = True, max_kn: float = MAX_KN, jump_m: float = JUMP_M, thin_m: float = THIN_M) -> DataFrame:
@@ -33,16 +38,22 @@ def accept(fixes: DataFrame, keys: list[str], time: str, order: list[str] | None
     The first row of a track is accepted and kept. A later one is rejected if it implies more than
     ``max_kn`` and lies more than ``jump_m`` from the last accepted row, or, with ``need_advance``, if
     its time does not advance; rejected rows have a null step. Thinning compares with the last kept row.
+    Null keys are a track like any other; rows without a time or a position are rejected.
     """
     schema = fixes.withColumns({"accepted": F.lit(True), "step_m": F.lit(None).cast("double"), "kept": F.lit(True)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         track = last = keep = None
-        for pdf in batches:
+        for batch in batches:
             ok, step, kept = [], [], []
-            for key, t, la, lo in zip(zip(*[pdf[k].tolist() for k in keys], strict=True), _time(pdf[time]), pdf["lat"].tolist(), pdf["lon"].tolist(), strict=True):
+            for key, t, la, lo in _walked(batch):
                 if key != track:
-                    track, last, keep = key, (t, la, lo), (la, lo)
+                    track, last = key, None
+                if t is None or la is None or lo is None:
+                    ok.append(False), step.append(None), kept.append(False)
+                    continue
+                if last is None:
+                    last, keep = (t, la, lo), (la, lo)
                     ok.append(True), step.append(None), kept.append(True)
                     continue
                 dt, d = t - last[0], haversine_m(last[1], last[2], la, lo)
@@ -53,9 +64,16 @@ def accept(fixes: DataFrame, keys: list[str], time: str, order: list[str] | None
                 far = haversine_m(*keep, la, lo) >= thin_m
                 keep = (la, lo) if far else keep
                 ok.append(True), step.append(d), kept.append(far)
-            yield pdf.assign(accepted=ok, step_m=pd.array(step, "Float64"), kept=kept)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(ok, pa.bool_()), pa.array(step, pa.float64()), pa.array(kept, pa.bool_())], names=schema.names)
+
+    return _dealt(fixes, keys, time, order or [time]).mapInArrow(run, schema)
+
 
-    return _dealt(fixes, keys, order or [time]).mapInPandas(run, schema)
+def strided(rows: DataFrame, keys: list[str], order: list[str], step: int = 3) -> DataFrame:
+    """Every ``step``-th row of each group from its first, and its last."""
+    w = Window.partitionBy(*keys)
+    x = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_m": F.count(F.lit(1)).over(w)})
+    return x.filter((F.col("_i") % step == 0) | (F.col("_i") == F.col("_m") - 1)).drop("_i", "_m")
 
 
 def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None, radius_m: float = STOP_M, min_minutes: float = STOP_MIN) -> DataFrame:
@@ -63,11 +81,12 @@ def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None,
 
     From an anchor the run goes on while rows lie within ``radius_m`` of it; a run of ``min_minutes``
     is a stop and the next anchor is the row after it, else the next row is. Only rows of the
-    undecided run are held: one that is long enough already is down to its sums.
+    undecided run are held: one that is long enough already is down to its sums. Null keys are a track like any other;
+    rows without a time or a position take no part.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, held, at, found = None, [], 1, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, held, at, found, kind, seen = None, [], 1, [], None, None
         sums: list[float] | None = None  # anchor t, la, lo, last t, n, sum la, sum lo of a run that is a stop already
 
         def leave() -> None:
@@ -99,11 +118,20 @@ def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None,
                 leave()
             settle(True)
 
-        for pdf in batches:
-            for key_, t, la, lo in zip(pdf[key].tolist(), _time(pdf[time]), pdf["lat"].tolist(), pdf["lon"].tolist(), strict=True):
-                if key_ != track:
+        def rows() -> pa.RecordBatch:
+            nonlocal found
+            columns = [*zip(*found, strict=True)] or [()] * len(names)
+            found = []
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, pa.float64()) for c in columns[1:6]], pa.array(columns[6], pa.int64())], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for own, (key_, t, la, lo) in zip(batch.column(batch.schema.get_field_index(key)).to_pylist(), _walked(batch), strict=True):
+                if t is None or la is None or lo is None:
+                    continue
+                if key_ != seen:
                     end()
-                    track, held, at = key_, [], 1
+                    seen, track, held, at = key_, own, [], 1
                 if sums is not None:
                     if haversine_m(sums[1], sums[2], la, lo) < radius_m:
                         sums[3:] = [t, sums[4] + 1, sums[5] + la, sums[6] + lo]
@@ -111,20 +139,19 @@ def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None,
                     leave()
                 held.append((t, la, lo))
                 settle(False)
-            yield pd.DataFrame(found, columns=names)
-            found = []
+            yield rows()
         end()
-        yield pd.DataFrame(found, columns=names)
+        if found:
+            yield rows()
 
-    names = ["key", "start_s", "end_s", "minutes", "lat", "lon", "n"]
-    kind = dict(fixes.dtypes)[key]
-    out = _dealt(fixes, [key], order or [time]).mapInPandas(run, f"key {kind}, start_s double, end_s double, minutes double, lat double, lon double, n long")
-    return out.withColumnRenamed("key", key)
+    names = [key, "start_s", "end_s", "minutes", "lat", "lon", "n"]
+    schema = fixes.select(key, *[F.lit(0.0).alias(c) for c in names[1:6]], F.lit(0).cast("long").alias("n")).schema
+    return _dealt(fixes, [key], time, order or [time]).mapInArrow(run, schema)
 
 
 def split_legs(fixes: DataFrame, days: DataFrame, key: str = "track", time: str = "ts") -> DataFrame:
     """Adds ``leg``: walk up to and including walk_split, road after road_split, afloat between; no split, no such leg."""
-    x = fixes.join(F.broadcast(days.select(F.col(key).alias("_day"), "walk_split", "road_split")), F.col(key) == F.col("_day"), "left").drop("_day")
+    x = fixes.join(days.select(F.col(key).alias("_day"), "walk_split", "road_split"), F.col(key) == F.col("_day"), "left").drop("_day")
     leg = F.when(F.col(time) <= F.col("walk_split"), "walk").when(F.col(time) > F.col("road_split"), "road").otherwise("afloat")
     return x.withColumn("leg", leg).drop("walk_split", "road_split")
 

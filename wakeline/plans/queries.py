@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions import clock, geo, nmea
-from wakeline.operators import graph, match, offset, parse, polygons, quality, report, sequence
+from wakeline.operators import days, graph, match, offset, parse, polygons, quality, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
 from wakeline.session import ensure_checkpoint_dir, table
 from wakeline.sources import tracks
@@ -126,7 +126,7 @@ def nmea_join_quality(spark, d):
 @query(f"{P}, x as (select track, floor(t_s / 86400)::bigint as day, seq from f) select track, day, min(seq) as seq from x group by all")
 def dedupe_ts(spark, d):
     x = plain(spark, d).select("track", F.floor(F.col("t_s") / 86400).alias("day"), "seq")
-    return x.withColumn("n", F.row_number().over(Window.partitionBy("track", "day").orderBy("seq"))).filter("n = 1").drop("n")
+    return parse.first_of(x, ["track", "day"], "seq")
 
 
 # distances, speeds, sums
@@ -174,13 +174,6 @@ def file_summary(spark, d):
     return plain(spark, d).rollup("track").agg(F.count(F.lit(1)).alias("n"), *edge)
 
 
-@query(f"""{P}, s as ({_STEP}), t as (select track, arg_min(lat, seq) < 26.45 as region, sum(case when sog_kn > 0.5 then step_m end) as m, max(sog_kn) as k from s group by track)
- select region, count(*) as tracks, round(coalesce(sum(m), 0) / 1852, 4) as nm, round(max(k), 3) as max_kn from t group by region""")
-def grand_total(spark, d):
-    t = _good_steps(spark, d).groupBy("track").agg((F.min_by("lat", "seq") < 26.45).alias("region"), F.sum(F.when(F.col("sog_kn") > report.MOVING_KN, F.col("step_m"))).alias("m"), F.max("sog_kn").alias("k"))
-    return t.groupBy("region").agg(F.count(F.lit(1)).alias("tracks"), r(F.coalesce(F.sum("m"), F.lit(0.0)) / geo.NM_M, 4, "nm"), r(F.max("k"), 3, "max_kn"))
-
-
 @query(f"{P} select strftime(make_timestamp((t_s*1000000)::bigint) - interval 4 hour, '%Y-%m-%d') as day, count(*) as n, count(distinct track) as tracks from f group by 1")
 def local_day(spark, d):
     return with_time(plain(spark, d)).groupBy(F.date_format(clock.local(F.col("ts")), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track").alias("tracks"))
@@ -240,14 +233,37 @@ def day_legs(spark, d):
     return x.groupBy("track", "leg").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"))
 
 
-_LEGS = CLEAN.replace("g as (select *, row_number() over (partition by track order by rn) as n from f where", f"g0 as (select *, {_LEG} as leg from f), g as (select * exclude (track), track as track0, track::varchar || leg as track, row_number() over (partition by track, leg order by rn) as n from g0 where")
+_REGION = 26.65
+_GOOD_DAY = "g as (select *, row_number() over (partition by track order by rn) as n from f where"
+# The part afloat alone goes through the recursion; what follows it are every good fix of a usable day and the counts of all days.
+_LOADED = CLEAN.replace(_GOOD_DAY, f"""r as (select *, {_LEG} as leg from f where lat < {_REGION}), c as (select track, count(*) filter (where {GOOD_SQL}) as n_good, count(*) filter (where not ({GOOD_SQL})) as dropped from r group by track),
+ u as (select r.* from r join c using (track) where {GOOD_SQL} and n_good >= 2), g as (select *, row_number() over (partition by track order by rn) as n from u where leg = 'afloat' and""") + """,
+ pts as (select track, 'afloat' as leg, t as t_s, la as lat, lo as lon from s where kept union all
+   select track, leg, t_s, lat, lon from (select *, row_number() over (partition by track, leg order by rn) - 1 as i, count(*) over (partition by track, leg) as m from u where leg <> 'afloat') where i % 3 = 0 or i = m - 1),
+ tot as (select track, case when n_good >= 2 then n_good else 0 end as fixes, dropped, coalesce(nm, 0) as nm, coalesce(max_kn, 0) as max_kn from c left join
+   (select track, sum(case when sog_kn > 0.5 then step_m end) / 1852 as nm from s group by track) using (track) left join (select track, max(case when sog_kn > 0.8 then sog_kn end) as max_kn from g group by track) using (track))"""
+
 
+def _loaded(spark, d):
+    return days.load(dense(spark, d), _days(spark, d), below=_REGION)
 
-@query(f"{_LEGS} select track as leg, count(*) filter (where kept) as points, round(coalesce(sum(case when sog_kn > 0.5 then step_m end), 0) / 1852, 6) as nm, round(coalesce(max(case when sog_kn > 0.8 then sog_kn end), 0), 3) as max_kn from s group by track")
+
+@query(f"{_LOADED} select track, leg, t_s, round(lat, 6) as lat, round(lon, 6) as lon from pts")
 def day_points(spark, d):
-    x = sequence.split_legs(quality.keep_good(dense(spark, d)), _days(spark, d), time="t_s")
-    x = x.withColumn("leg", F.concat(F.col("track").cast("string"), F.col("leg")))
-    return sequence.accept(x, ["leg"], "t_s", need_advance=False).groupBy("leg").agg(F.count_if("kept").alias("points"), r(report.gated_nm(), 6, "nm"), r(report.max_kn(), 3, "max_kn"))
+    """The points of every day: thinned by distance afloat, every third ashore."""
+    return _loaded(spark, d)[0].select("track", "leg", "t_s", r("lat"), r("lon"))
+
+
+@query(f"{_LOADED} select track, fixes, dropped, round(nm, 6) as nm, round(max_kn, 3) as max_kn from tot")
+def day_loader(spark, d):
+    """Fixes and rejects of every day, distance and best speed of its part afloat."""
+    return _loaded(spark, d)[1].select("track", "fixes", "dropped", r("nm"), r("max_kn", 3))
+
+
+@query(f"{_LOADED} select count(*) filter (where track % 3 <> 0) as days, round(sum(case when track % 3 <> 0 then nm end), 4) as nm, round(max(case when track % 3 <> 0 then max_kn end), 3) as max_kn, sum(dropped)::bigint as dropped from tot")
+def headline(spark, d):
+    """Distance and best speed of the sailing days, rejects of all."""
+    return days.headline(_loaded(spark, d)[1], F.col("track") % 3 != 0).select("days", r("nm", 4), r("max_kn", 3), "dropped")
 
 
 @query(f"{D} select track, rn from (select track, rn, n, max(n) over (partition by track) as m from g) where (n - 1) % 3 = 0 or n = m")
@@ -257,11 +273,16 @@ def stride_thin(spark, d):
     return x.filter("n % 3 = 0 or n = m - 1").select("track", "rn")
 
 
-@query(f"""{D}, e as (select a.track, a.n, a.t_s, coalesce(min(b.n), any_value(m.m) + 1) as x from g a join (select track, max(n) as m from g group by track) m using (track)
-   left join g b on b.track = a.track and b.n > a.n and {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} >= 90 group by a.track, a.n, a.t_s),
- q as (select e.track, e.n, e.x, (g.t_s - e.t_s) / 60 as minutes, e.t_s as start_s, g.t_s as end_s from e join g on g.track = e.track and g.n = e.x - 1),
+def _stops_sql(g: str) -> str:
+    """CTEs e, q and w: where the run anchored at each row of ``g`` ends, and the chain of anchors from the first."""
+    return f"""e as (select a.track, a.n, a.t_s, coalesce(min(b.n), any_value(m.m) + 1) as x from {g} a join (select track, max(n) as m from {g} group by track) m using (track)
+   left join {g} b on b.track = a.track and b.n > a.n and {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} >= 90 group by a.track, a.n, a.t_s),
+ q as (select e.track, e.n, e.x, (g.t_s - e.t_s) / 60 as minutes, e.t_s as start_s, g.t_s as end_s from e join {g} g on g.track = e.track and g.n = e.x - 1),
  w as (select track, n, x, minutes, start_s, end_s, case when minutes >= 25 then x else n + 1 end as nxt, minutes >= 25 as stop from q where n = 1
-   union all select q.track, q.n, q.x, q.minutes, q.start_s, q.end_s, case when q.minutes >= 25 then q.x else q.n + 1 end, q.minutes >= 25 from w join q on q.track = w.track and q.n = w.nxt)
+   union all select q.track, q.n, q.x, q.minutes, q.start_s, q.end_s, case when q.minutes >= 25 then q.x else q.n + 1 end, q.minutes >= 25 from w join q on q.track = w.track and q.n = w.nxt)"""
+
+
+@query(f"""{D}, {_stops_sql('g')}
  select w.track, round(start_s::double, 3) as start_s, round(end_s::double, 3) as end_s, round(minutes, 6) as minutes, count(*) as n, round(avg(g.lat), 8) as lat, round(avg(g.lon), 8) as lon
  from w join g on g.track = w.track and g.n >= w.n and g.n < w.x where stop group by all""")
 def stops(spark, d):
@@ -269,6 +290,34 @@ def stops(spark, d):
     return x.select("track", r("start_s", 3), r("end_s", 3), r("minutes"), "n", r("lat", 8), r("lon", 8))
 
 
+# reports by track: a region whose border the anchorages cross, so that both sides and both zones are met
+
+_SPLIT = 26.5
+_REPORT = f"""{CLEAN}, k as (select *, row_number() over (partition by track order by t) as m, count(*) over (partition by track) as all_ from s where accepted),
+ h as (select track, m as n, t as t_s, la as lat, lo as lon, sog_kn, step_m from k where all_ >= 2), {_stops_sql('h')},
+ st as (select track, count(*) as stops, sum(minutes) as stop_minutes from w where stop group by track), dr as (select track, count(*) filter (where not ({GOOD_SQL})) as dropped from f group by track),
+ rep as (select track, arg_min(lat, t_s) < {_SPLIT} as in_region, min(t_s) as a, max(t_s) as b, coalesce(sum(case when sog_kn > 0.5 then step_m end), 0) / 1852 as nm, max(sog_kn) as max_kn, coalesce(avg(case when sog_kn > 0.8 then sog_kn end), 0) as avg_kn from h group by track),
+ full_ as (select rep.*, dropped, case when in_region then coalesce(stops, 0) end as stops, case when in_region then coalesce(stop_minutes, 0) end as stop_minutes from rep join dr using (track) left join st using (track))"""
+
+
+def _report(spark, d):
+    return days.track_report(dense(spark, d), below=_SPLIT)
+
+
+@query(f"""{_REPORT} select track, in_region, strftime(make_timestamp(a * 1000000) - to_hours(case when in_region then 4 else 7 end), '%Y-%m-%d %H:%M') as first_local, strftime(make_timestamp(b * 1000000) - to_hours(case when in_region then 4 else 7 end), '%Y-%m-%d %H:%M') as last_local,
+ round((b - a) / 3600, 6) as hours, round(nm, 6) as nm, round(max_kn, 3) as max_kn, round(avg_kn, 6) as avg_kn, dropped, stops, round(stop_minutes, 3)::double as stop_minutes from full_""")
+def track_report(spark, d):
+    """Every track after cleaning: its region, local times, distance under way, speeds, rejects and stops."""
+    x = _report(spark, d)
+    return x.select("track", "in_region", "first_local", "last_local", r("hours"), r("nm"), r("max_kn", 3), r("avg_kn"), "dropped", "stops", r("stop_minutes", 3))
+
+
+@query(f"{_REPORT} select in_region, count(*) as tracks, round(sum(nm), 4) as nm, round(max(max_kn), 3) as max_kn from full_ group by in_region")
+def grand_total(spark, d):
+    """Distance of the tracks that start inside the region, and of the others, over cleaned steps."""
+    return days.region_totals(_report(spark, d)).select("in_region", "tracks", r("nm", 4), r("max_kn", 3))
+
+
 # gaps and windows
 
 
@@ -445,7 +494,7 @@ def turn_radius(spark, d):
     return offset.headings(_good_dense(spark, d), "track", "n").select("track", "n", r("radius", 7))
 
 
-_TAPER = f"""{_BEND}, l as (select *, min(radius) over (partition by track order by n rows between 7 preceding and 7 following) as tight, -0.0015 as d from k),
+_TAPER = f"""{_BEND}, l as (select *, min(radius) over (partition by track order by n rows between 7 preceding and 7 following) as tight, count(*) over (partition by track) as rows_, -0.0015 as d from k),
  m as (select *, case when tight is null then 1 else least(1, tight / 0.003) end as taper from l)"""
 
 
@@ -473,7 +522,7 @@ def _shifted(spark, d):
 
 
 _SHIFT = f"""{_SMOOTH}, z as (select *, smooth * {_GATE.replace("lat", "y")} as scale, coalesce(ux, 0) + coalesce(vx, 0) as tx, coalesce(uy, 0) + coalesce(vy, 0) as ty from s),
- y as (select track, n, x, y, case when sqrt(tx*tx+ty*ty) < 1e-12 then 0 else -ty / sqrt(tx*tx+ty*ty) end as nx_, case when sqrt(tx*tx+ty*ty) < 1e-12 then 0 else tx / sqrt(tx*tx+ty*ty) end as ny_, scale from z)"""
+ y as (select track, n, x, y, case when rows_ < 3 or sqrt(tx*tx+ty*ty) < 1e-12 then 0 else -ty / sqrt(tx*tx+ty*ty) end as nx_, case when rows_ < 3 or sqrt(tx*tx+ty*ty) < 1e-12 then 0 else tx / sqrt(tx*tx+ty*ty) end as ny_, scale from z)"""
 
 
 @query(f"{_SHIFT} select track, n, round(x + nx_ * -0.0015 * scale, 8) as qx, round(y + ny_ * -0.0015 * scale, 8) as qy from y")
@@ -516,13 +565,34 @@ def badge_farthest(spark, d):
     return report.farthest_point(x, "track", "rn", "chart").select("track", "rn", r("lat"), r("lon"), r("dist", 8))
 
 
+# Labelled places that badges keep clear of, (lon, lat): anchorages, the airport, towns and isles.
+AVOID = (
+    (-76.9907, 26.4488), (-76.9849, 26.3568), (-77.0782, 26.5135), (-77.0640, 26.5310), (-76.9594, 26.5407), (-77.0002, 26.3242),
+    (-77.1310, 26.6790), (-77.0030, 26.5930), (-76.9700, 26.4950), (-77.0270, 26.4700), (-76.9830, 26.4400), (-77.1550, 26.4300),
+)
+_AVOID = ", ".join(f"({lon}e0, {lat}e0)" for lon, lat in AVOID)
+
+
+@query(f"""with f as ({DENSE_SQL}), v as (select * from f where track % 3 <> 0), p as (select track, track // 5 as chart, rn, lat, lon, lon * cos(radians(lat)) as x, lat as y, row_number() over (partition by track order by rn) - 1 as i from v),
+ a as (select lo * cos(radians(la)) as x, la as y from (values {_AVOID}) t(lo, la)), own as (select *, i // 3 as k, count(*) over (partition by track) as m from p where i % 3 = 0 and track % 10 <> 1),
+ c as (select own.track, own.rn, own.lat, own.lon, own.k, least(min(sqrt(power(b.x - own.x, 2) + power(b.y - own.y, 2))), (select min(sqrt(power(a.x - own.x, 2) + power(a.y - own.y, 2))) from a)) as dist
+   from own join p b on own.chart = b.chart and own.track <> b.track and b.i % 2 = 0 where own.k % greatest(1, own.m // 400) = 0 group by own.track, own.rn, own.lat, own.lon, own.k, own.x, own.y),
+ z as (select *, row_number() over (partition by track order by round(dist, 9) desc, k) as place from c)
+ select track, rn, round(lat, 6) as lat, round(lon, 6) as lon, round(dist, 8) as dist from z where place = 1 union all select distinct track, null, 26.5585, -77.0836, null from v where track % 10 = 1""")
+def badge_positions(spark, d):
+    """Badges of the sailing days, clear of the other days and of labelled places; one day in ten is placed by hand."""
+    x = dense(spark, d).filter("track % 3 != 0").select("track", "rn", "lat", "lon", F.expr("track div 5").alias("chart"))
+    by_hand = x.filter("track % 10 = 1").select("track", F.lit(26.5585).alias("lat"), F.lit(-77.0836).alias("lon")).distinct()
+    return report.farthest_point(x, "track", "rn", "chart", avoid=AVOID, manual=by_hand).select("track", "rn", r("lat"), r("lon"), r("dist", 8))
+
+
 @query(f"{P} select track, round((min(lon) + max(lon)) / 2, 6) as cx, round((min(lat) + max(lat)) / 2, 6) as cy, round(greatest(max(lon) - min(lon), 0.012) * 1.35, 6) as width, round(greatest(max(lat) - min(lat), 0.012) * 1.35, 6) as height from f group by track having count(*) >= 2")
 def bbox_extent(spark, d):
     return report.extent(plain(spark, d), "track").select("track", r("cx"), r("cy"), r("width"), r("height"))
 
 
 @query(f"""{P}, a as (select distinct round(lat, 3) as v from f), b as (select v, floor(v) as g, round_even((v - floor(v)) * 60, 0) as m from a)
- select v, case when m >= 60 then g + 1 else g end::int || '°' || lpad((case when m >= 60 then 0 else m end)::int::varchar, 2, '0') || '''N' as label from b""")
+ select v, case when m >= 60 then g + 1 else g end::int || '°' || lpad((case when m >= 60 then 0 else m end)::int::varchar, 2, '0') || '\u2032N' as label from b""")
 def dm_label(spark, d):
     x = plain(spark, d).select(F.round("lat", 3).alias("v")).distinct()
     return x.select("v", geo.dm_label("v", "N", "S").alias("label"))
@@ -604,6 +674,18 @@ def route_points(spark, d):
     return way.select((F.col("target.lat") * 1000000000 + F.col("target.lon")).alias("target"), flat.alias("node"), "back")
 
 
+@query(_edges_sql("true") + _REACH.format(rounds=_bellman(24)).replace("(power(a_lat - 26400000, 2) + power(a_lon + 77100000, 2))", hav_sql("a_lat/1e6", "a_lon/1e6", "26.4012", "-77.0991")) + f""", e0_ as (select arg_min(a_lat*1000000000 + a_lon, {hav_sql("a_lat/1e6", "a_lon/1e6", "26.4377", "-77.0613")}) as n from w),
+ back as (select n as node, 0::bigint as back from e0_ where n in (select n from r24) union all
+  select (select min(u.a) from u join r24 p on p.n = u.a join r24 q on q.n = u.b where u.b = node and abs(p.dist + u.w - q.dist) < 1e-6), back + 1 from back where node <> (select a from s0)),
+ way as (select max(back) over () - back + 1 as place, (select any_value(a_lat) from w where a_lat*1000000000 + a_lon = node) / 1e6 as lat, (select any_value(a_lon) from w where a_lat*1000000000 + a_lon = node) / 1e6 as lon from back),
+ all_ as (select * from way union all select 0, 26.4012, -77.0991 from way where place = 1 union all select max(place) + 1, 26.4377, -77.0613 from way having count(*) > 0)
+ select place, round(lat, 6) as lat, round(lon, 6) as lon, (select round(dist, 3) from r24 where n = (select n from e0_)) as metres from all_""")
+def road_route(spark, d):
+    """The way between two positions: both ends, the nodes between them, and the length along the roads."""
+    x = graph.route(graph.edges(_ways(spark, d), graph.WALKABLE), (26.4012, -77.0991), (26.4377, -77.0613))
+    return x.select("place", r("lat"), r("lon"), r("metres", 3))
+
+
 # planar geometry
 
 _BOX = (-77.15, 26.35, -77.0, 26.6)
@@ -671,10 +753,10 @@ def union_legs(spark, d):
     return x.filter("seq % 2 = 0").withColumn("leg", F.lit("early")).unionByName(x.filter("seq % 3 = 0").withColumn("leg", F.lit("late")))
 
 
-@query(f"{P} select distinct track from f where track not in (select track from f where lat > 26.65)")
+@query(f"{P} select distinct track from f where track not in (select track from f where lat > 26.69)")
 def anti_unseen(spark, d):
     x = plain(spark, d)
-    return x.select("track").distinct().join(x.filter("lat > 26.65").select("track").distinct(), "track", "left_anti")
+    return x.select("track").distinct().join(x.filter("lat > 26.69").select("track").distinct(), "track", "left_anti")
 
 
 @query(f"{P} select track, seq from f where track in (select user_id from events where event_type = 'error')")
@@ -689,12 +771,6 @@ def sort_tiebreak(spark, d):
     return plain(spark, d).select("track", "seq", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query(f"{P}, t as (select track, count(*) as n, max(sog_kn) as k, sum(sog_kn) as s from f where track % 3 <> 0 group by track) select count(*) as days, sum(n)::bigint as fixes, round(sum(s), 3) as total, round(max(k), 3) as max_kn from t")
-def headline(spark, d):
-    t = plain(spark, d).filter("track % 3 <> 0").groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.max("sog_kn").alias("k"), F.sum("sog_kn").alias("s"))
-    return t.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("fixes"), r(F.sum("s"), 3, "total"), r(F.max("k"), 3, "max_kn"))
-
-
 @query(f"with f as ({DENSE_SQL}), b as (select floor(lat / 0.005)::bigint as band, track, avg(lon) as lon from f group by all) select a.band, a.track as one, b.track as other from b a join b on a.band = b.band and a.track < b.track and abs(a.lon - b.lon) * {geo.K0} * 111000 < 250")
 def shared_bands(spark, d):
     """Pairs of tracks within 250 m of each other in a band of latitude, met through cells of longitude."""
@@ -739,11 +815,11 @@ def _photos_offshore(spark, d):
     return _photos(spark, d).withColumn("km", geo.offshore_km("plon", F.col("plat") - 5e-5)).filter(F.col("km") > geo.OFFSHORE_KM)
 
 
-@query(f"{_OFF}, {_PHOTOS} select row_number() over (order by taken, photo) as place, photo, taken, round(km, 6) as km from p join o on o.seq = p.photo where km > 0.5 order by place limit 50")
+@query(f"{_OFF}, {_PHOTOS} select p.track, row_number() over (partition by p.track order by taken, photo) as place, photo, taken, round(km, 6) as km from p join o on o.seq = p.photo where km > 0.5")
 def photo_offshore(spark, d):
-    """The first fifty photos taken offshore, in order of their time: a cut that its SQL has; photo_offshore_all has them all."""
-    x = _photos_offshore(spark, d).orderBy("taken", "photo").limit(50)
-    return x.select(F.row_number().over(Window.orderBy("taken", "photo")).cast("long").alias("place"), "photo", "taken", r("km"))
+    """Every photo taken offshore, with its place among its track's."""
+    w = Window.partitionBy("track").orderBy("taken", "photo")
+    return _photos_offshore(spark, d).select("track", F.row_number().over(w).cast("long").alias("place"), "photo", "taken", r("km"))
 
 
 @query(f"{_OFF}, {_PHOTOS} select photo, taken, round(km, 6) as km from p join o on o.seq = p.photo where km > 0.5 order by taken, photo")

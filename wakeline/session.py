@@ -25,10 +25,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session names none.
+
+    On a cluster a folder of one machine would lose what other machines write, so there this raises.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wakeline-")
         sc.setCheckpointDir(found)
     return found
