@@ -1,18 +1,22 @@
 """The track engine: every query against its SQL, and hand-made cases for what SQL cannot show."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import __spark_entry__ as entry
 from tests.compare import difference
 from wakeline.functions import clock, geo, nmea
-from wakeline.operators import graph, match, offset, parse, polygons, quality, sequence
+from wakeline.operators import days, graph, match, offset, parse, polygons, quality, report, sequence
+from wakeline.plans import queries
 from wakeline.plans.registry import ORACLE, QUERIES
 from wakeline.sources import tracks
+from wakeline.streaming import tracks as live
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -229,7 +233,6 @@ def test_clock(spark):
 
 def test_stream_accepts_what_the_batch_does(spark, sf_dir, tmp_path):
     from wakeline.plans.fixtures import dense
-    from wakeline.streaming import tracks as live
 
     good = quality.keep_good(dense(spark, sf_dir)).filter("track < 4").select("track", F.col("t_s").cast("double").alias("t_s"), "lat", "lon", "sog_kn")
     for part in range(3):
@@ -263,3 +266,119 @@ def test_long_groups_stay_rows(spark, sf_dir, tmp_path):
     assert spark.read.text(f"{tmp_path}/gpx/*/*").count() == 3
     got = tracks.read_gpx(spark, f"{tmp_path}/gpx/*/*").orderBy("ts").collect()
     assert [(x.session, round(x.lat, 6)) for x in got] == [("7", round(26 + i / 1000, 6)) for i in range(25)]
+
+
+# nulls, short tracks, and what no table shows
+
+
+def test_null_keys_are_one_track(spark):
+    """Null keys, in a nullable whole-number column too wide for a float, and null times and positions."""
+    big = 9007199254740993
+    rows = [(k, float(t), la, lo, 1.0) for k in (None, big, big + 1) for t, la, lo in SPIKES] + [(None, None, 26.5, -77.0, 1.0), (big, 11.0, None, -77.0, 1.0)]
+    df = spark.createDataFrame(rows, "track long, t_s double, lat double, lon double, sog_kn double")
+    got = sequence.accept(df, ["track"], "t_s").collect()
+    assert len(got) == len(rows) and {r.track for r in got} == {None, big, big + 1}
+    for k in (None, big, big + 1):
+        assert sorted(r.t_s for r in got if r.track == k and not r.accepted and r.t_s not in (None, 11.0)) == [10, 15]
+    assert not any(r.accepted for r in got if r.t_s in (None, 11.0))
+    still = spark.createDataFrame([(k, t * 600.0, 26.5, -77.0) for k in (None, big) for t in range(5)], "track long, t_s double, lat double, lon double")
+    assert {(r.track, r.n, r.minutes) for r in sequence.stops(still, "track", "t_s").collect()} == {(None, 5, 40.0), (big, 5, 40.0)}
+    line = spark.createDataFrame([(k, n, 26.48 + n / 1000, -77.0) for k in (None, big) for n in range(6)], "track long, n long, lat double, lon double")
+    out = offset.trim_folds(offset.shifted(line, "track", "n", F.lit(0.001)), "track", "n").collect()
+    assert sorted(((r.track or 0), r.n) for r in out) == sorted((k, n) for k in (0, big) for n in range(6))
+
+
+def test_windows_with_nulls(spark):
+    """A window comes back once, whatever is null in it."""
+    windows = spark.createDataFrame([("a", 0, 10, None), (None, 0, 10, "x"), ("a", 20, None, "y"), ("a", 0, 10, "z")], "k string, s int, e int, note string")
+    points = spark.createDataFrame([("a", 5), (None, 5), ("a", None)], "k string, t int")
+    got = match.in_interval(windows, points, "s", "e", "t", "k", True, 4.0).collect()
+    assert {((r.k, r.s, r.e, r.note), r.point.t) for r in got if r.point} == {(("a", 0, 10, None), 5), (("a", 0, 10, "z"), 5)} and len(got) == 4
+    assert sorted(str((r.k, r.s, r.e, r.note)) for r in got if not r.point) == sorted(str(x) for x in [(None, 0, 10, "x"), ("a", 20, None, "y")])
+    assert match.in_interval(windows.limit(0), points, "s", "e", "t", "k", True, 4.0).count() == 0 and match.in_interval(windows, points.limit(0), "s", "e", "t", "k", True, 4.0).count() == 4
+
+
+def test_short_tracks_are_not_shifted(spark):
+    """Two points, or three of which two coincide, stay; three points move."""
+    rows = [("two", 1, 26.49, -77.0), ("two", 2, 26.50, -77.0), ("dup", 1, 26.49, -77.0), ("dup", 2, 26.49, -77.0), ("dup", 3, 26.50, -77.0)] + [("three", n, 26.48 + n / 100, -77.0) for n in (1, 2, 3)]
+    got = offset.shifted(spark.createDataFrame(rows, "track string, n long, lat double, lon double"), "track", "n", F.lit(0.001)).collect()
+    assert all((r.x, r.y) == (r.qx, r.qy) for r in got if r.track != "three")
+    assert any(abs(r.x - r.qx) > 5e-4 for r in got if r.track == "three")
+
+
+def test_day_of_one_fix(spark):
+    """A day of fewer than two good fixes has no points and zero totals, but keeps its rejects."""
+    rows = [("a", 0.0, 26.5, -77.0, 3.0, 1, 9, 1.0), ("a", 5.0, 26.5, -77.0, 3.0, 6, 9, 1.0), ("a", 9.0, 45.0, -77.0, 3.0, 6, 9, 1.0)] + [("b", 300.0 * i, 26.5 + i / 1000, -77.0, 3.0, 1, 9, 1.0) for i in range(7)]
+    fixes = spark.createDataFrame(rows, "track string, t_s double, lat double, lon double, sog_kn double, quality int, sats int, hdop double")
+    split = spark.createDataFrame([("b", 600.0, None)], "track string, walk_split double, road_split double")
+    points, totals = days.load(fixes, split)
+    got = {r.track: (r.fixes, r.dropped, r.nm > 0, r.max_kn) for r in totals.collect()}
+    assert got == {"a": (0, 1, False, 0.0), "b": (7, 0, True, 3.0)}
+    assert sorted((r.track, r.leg, r.t_s) for r in points.collect()) == [("b", "afloat", 300.0 * i) for i in (3, 4, 5, 6)] + [("b", "walk", 0.0), ("b", "walk", 600.0)]
+    assert {r.track for r in days.track_report(fixes).collect()} == {"b"}
+
+
+def test_route_without_a_way(spark):
+    way = lambda i, *p: (i, {"highway": "service"}, [{"lat": a, "lon": b} for a, b in p])
+    ways = spark.createDataFrame([way(1, (26.0, -77.0), (26.01, -77.0), (26.02, -77.0)), way(2, (27.0, -77.0), (27.01, -77.0))], "way_id int, tags map<string,string>, points array<struct<lat:double,lon:double>>")
+    g = graph.edges(ways)
+    got = graph.route(g, (25.999, -77.0), (26.021, -77.001)).orderBy("place").collect()
+    assert [(r.place, r.lat) for r in got] == [(0, 25.999), (1, 26.0), (2, 26.01), (3, 26.02), (4, 26.021)]
+    assert all(abs(r.metres - geo.haversine_m(26.0, -77.0, 26.02, -77.0)) < 1e-6 for r in got)
+    assert graph.route(g, (26.0, -77.0), (27.0, -77.0)).count() == 0 and graph.route(g.limit(0), (26.0, -77.0), (27.0, -77.0)).count() == 0
+    same = graph.route(g, (26.0, -77.0), (26.0, -77.0)).orderBy("place").collect()
+    assert [r.place for r in same] == [0, 1, 2] and same[0].metres == 0
+
+
+#: A tracker file whose figures are known; it is not part of this repository.
+GPX = os.environ.get("WAKELINE_TRACKER_GPX", "")
+#: When the receiver was off, local time at four hours behind UTC, and what the tracker shows: fixes, path and net metres, longest hours unwatched.
+NIGHTS = [
+    ("2024-03-23 20:06", "2024-03-24 06:56", 2, 17, 17, 4.0),
+    ("2024-03-24 18:46", "2024-03-25 07:17", 3, 27, 27, 4.0),
+    ("2024-03-25 20:05", "2024-03-26 07:49", 4, 24, 5, 4.0),
+    ("2024-03-26 19:28", "2024-03-27 08:20", 4, 18, 13, 4.0),
+    ("2024-03-27 18:20", "2024-03-28 07:17", 4, 20, 4, 9.0),
+]
+
+
+@pytest.mark.skipif(not GPX, reason="WAKELINE_TRACKER_GPX names no file")
+def test_tracker_file(spark):
+    """The tracker's file: points, gaps, length, and the five nights."""
+    p = tracks.read_gpx(spark, GPX).withColumn("t_s", F.unix_timestamp("ts")).withColumn("all", F.lit(1))
+    w = Window.partitionBy("all").orderBy("t_s")
+    x = report.steps(p, "all", ["t_s"]).withColumn("gap", F.col("t_s") - F.lag("t_s").over(w))
+    r = x.agg(F.count("*").alias("n"), F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 570) & (F.col("gap") < 630)).alias("ten"), F.count_if(F.col("gap") == 600).alias("exact"), F.sum("step_m").alias("m")).first()
+    assert (r.n, r.gaps, r.ten, r.exact, round(r.m / geo.NM_M, 1)) == (150, 149, 116, 84, 81.7)
+    second = lambda t: F.unix_timestamp(F.to_utc_timestamp(F.to_timestamp(t), "-04:00"))
+    off = spark.createDataFrame([(1, i, a, b) for i, (a, b, *_) in enumerate(NIGHTS)], "all int, night int, a string, b string").select("all", "night", second("a").alias("end_s"), second("b").alias("next_s"))
+    seen = match.in_interval(off, p.select("all", "t_s", "lat", "lon"), "end_s", "next_s", "t_s", "all", False, 3600.0)
+    got = queries._night_table(seen.select("night", "end_s", "next_s", "point.t_s", "point.lat", "point.lon"), ["night"]).orderBy("night").collect()
+    assert [(r.fixes, round(r.path_m), round(r.net_m), round(r.blind_h, 1), r.moved) for r in got] == [(*x[2:], False) for x in NIGHTS]
+
+
+def test_hourly(spark, tmp_path):
+    """Event-time hours of a stream, closed once the watermark has passed them; late rows of closed hours are left out."""
+    rows = [("2024-03-23 10:05:00", 2.0), ("2024-03-23 10:55:00", 4.0), ("2024-03-23 11:30:00", 6.0), ("2024-03-23 15:00:00", 1.0), ("2024-03-23 16:10:00", 5.0), ("2024-03-23 10:10:00", 9.0), ("2024-03-23 20:00:00", 1.0)]
+    for i, part in enumerate((rows[:3], rows[3:4], rows[4:5], rows[5:])):
+        spark.createDataFrame(part, "ts string, sog_kn double").select(F.to_timestamp("ts").alias("ts"), "sog_kn").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("ts timestamp, sog_kn double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = live.hourly(stream).writeStream.format("memory").queryName("live_hours").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((str(r.start), r.n, r.mean_kn) for r in spark.table("live_hours").collect()) == [("2024-03-23 10:00:00", 2, 3.0), ("2024-03-23 11:00:00", 1, 6.0), ("2024-03-23 15:00:00", 1, 1.0), ("2024-03-23 16:00:00", 1, 5.0)]
+
+
+def test_idle_tracks_leave_no_state(spark, tmp_path):
+    """With a watermark a track's state goes once it has been silent for long enough, and a later row starts anew."""
+    steps = [[("a", 0, 26.5)], [("a", 60, 26.5005)], [("b", 40_000, 26.5)], [("c", 80_000, 26.5)], [("a", 80_060, 26.9)], [("c", 80_120, 26.5)]]
+    for i, part in enumerate(steps):
+        spark.createDataFrame([(k, 1.7e9 + t, la, -77.0, 3.0) for k, t, la in part], "track string, t_s double, lat double, lon double, sog_kn double").withColumn("ts", F.timestamp_seconds("t_s")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = live.accepted(stream, watermark=("ts", "10 minutes"), idle="2 hours").writeStream.format("memory").queryName("live_idle").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    q.processAllAvailable()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = {(r.track, r.t - 1.7e9): r.step_m for r in spark.table("live_idle").collect()}
+    assert got["a", 60.0] is not None and ("a", 80_060.0) in got and got["a", 80_060.0] is None and kept <= 3

@@ -24,11 +24,17 @@ def clip_lines(segs: DataFrame, west: float, south: float, east: float, north: f
 def split_at_crossings(segs: DataFrame, cell: float) -> DataFrame:
     """(line, seg, ax, ay, bx, by): pieces between crossings and touching ends. ``segs`` has line, seg and ends.
 
-    Segments meet through the grid cells their boxes cover, so only neighbours are compared.
+    Segments meet through the grid cells they pass, and one step around them, so only neighbours are compared: a
+    segment is listed in proportion to its length, and one side of each meeting is listed in its own cells alone.
     """
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-    g = segs.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
-    o = g.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("seg", "ax", "ay", "bx", "by")])
+    steps = F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / (cell / 2)).cast("int")
+    at = lambda a, b: F.floor((F.col(a) + F.col("_i") / F.greatest("_m", F.lit(1)) * (F.col(b) - F.col(a))) / cell).cast("long")
+    own = segs.withColumn("_m", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), "_m")))
+    own = own.select("line", "seg", "ax", "ay", "bx", "by", at("ax", "bx").alias("cx"), at("ay", "by").alias("cy")).distinct()
+    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    g = own.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    g = g.select("line", "seg", "ax", "ay", "bx", "by", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy")).distinct()
+    o = own.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("seg", "ax", "ay", "bx", "by")])
     t, u = crossing(("ax", "ay"), ("bx", "by"), ("o_ax", "o_ay"), ("o_bx", "o_by"))
     tiny = 1e-9
     cuts = g.join(o, ["cx", "cy"]).filter("seg != o_seg").withColumns({"t": t, "u": u})
@@ -52,7 +58,7 @@ def faces(pieces: DataFrame, scale: float = 1e6) -> DataFrame:
     both = one.withColumn("along", F.lit(True)).unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "line").withColumn("along", F.lit(False)))
     both = both.groupBy("a", "b").agg(F.max("along").alias("along"), F.min("line").alias("line"))
     angle = F.atan2((F.col("b.y") - F.col("a.y")).cast("double"), (F.col("b.x") - F.col("a.x")).cast("double"))
-    half = checkpoint(both.withColumn("angle", angle).withColumn("id", F.xxhash64("a", "b")))
+    half = checkpoint(both.withColumn("angle", angle).withColumn("id", F.struct("a", "b")))
     # Around node b, after arriving from a: the half-edge just clockwise of the way back keeps the face on the left.
     w = Window.partitionBy("a").orderBy("angle")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

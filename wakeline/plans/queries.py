@@ -360,15 +360,8 @@ def windows_runtime(spark, d):
 def overnight_watch(spark, d):
     nights = _windows(spark, d).filter("next_s > end_s").select("track", "day", "end_s", "next_s")
     pts = dense(spark, d).select("track", "t_s", "lat", "lon")
-    x = match.in_interval(nights, pts, "end_s", "next_s", "t_s", "track", False, 3600.0).select("track", "day", "end_s", "next_s", "point.t_s", "point.lat", "point.lon")
-    w = Window.partitionBy("track", "day").orderBy("t_s")
-    x = x.withColumns({"step": geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), "ahead": F.coalesce(F.lead("t_s").over(w), F.col("next_s")) - F.col("t_s")})
-    first, last = lambda c: F.min_by(c, "t_s"), lambda c: F.max_by(c, "t_s")
-    g = x.groupBy("track", "day").agg(
-        F.count("t_s").alias("fixes"), r(F.coalesce(F.sum("step"), F.lit(0.0)), 3, "path_m"), F.coalesce(geo.haversine(first("lat"), first("lon"), last("lat"), last("lon")), F.lit(0.0)).alias("net"),
-        (F.greatest(F.coalesce(F.max("ahead"), F.lit(0)), F.coalesce(F.min("t_s"), F.first("next_s")) - F.first("end_s")) / F.lit(3600.0)).alias("blind_h"),
-    )
-    return g.select("track", "day", "fixes", "path_m", r("net", 3, "net_m"), "blind_h", (F.col("net") > 300).alias("moved"))
+    x = match.in_interval(nights, pts, "end_s", "next_s", "t_s", "track", False, 3600.0)
+    return _night_table(x.select("track", "day", "end_s", "next_s", "point.t_s", "point.lat", "point.lon"), ["track", "day"])
 
 
 # matching
@@ -737,7 +730,7 @@ def top5_area(spark, d):
 def polygonize_faces(spark, d):
     """Faces of the lines between regions, on a frame."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    chord = n.filter("k < 12").select(F.col("k").alias("line"), F.lit(0.0).alias("ax"), (F.col("k") * 0.8 + 0.3).alias("ay"), F.lit(10.0).alias("bx"), ((F.col("k") * 7 % 12) * 0.8 + 0.5).alias("by"))
+    chord = n.select(F.col("k").alias("line"), F.lit(0.0).alias("ax"), (F.col("k") * 0.38 + 0.3).alias("ay"), F.lit(10.0).alias("bx"), ((F.col("k") * 7 % 25) * 0.38 + 0.5).alias("by"))
     frame = spark.createDataFrame([(100, 0.0, 0.0, 10.0, 0.0), (101, 10.0, 0.0, 10.0, 10.0), (102, 10.0, 10.0, 0.0, 10.0), (103, 0.0, 10.0, 0.0, 0.0)], "line long, ax double, ay double, bx double, by double")
     segs = chord.unionByName(frame).withColumn("seg", F.col("line"))
     half = polygons.faces(polygons.split_at_crossings(segs, 2.0))
@@ -843,6 +836,115 @@ def stream_clean(spark, d):
     return spark.read.parquet(f"{folder}/out").select("track", r("t", 3), r("step_m", 3), "kept")
 
 
+# corroboration: a voyage is five tracks, each a day of it, against a tracker that reports day and night; all over the loaded points
+
+_DAY_S = 86400
+_VOYAGE = f"""{_LOADED}, pv as (select track // 5 as voyage, track, leg, t_s + {_DAY_S} * (track % 5) as t_s, lat, lon from pts),
+ tk as (select track // 5 as voyage, track * 1000 + rn as probe, 1711195200 + {_DAY_S} * (track % 5) + 900 * rn + track % 61 as t_s, lat + 1e-4 as plat, lon as plon from f where rn % 2 = 1),
+ wi as (select voyage, track, min(t_s) as start_s, max(t_s) as end_s from pv group by all),
+ ni as (select * from (select voyage, row_number() over w as night, end_s, lead(start_s) over w as next_s from wi window w as (partition by voyage order by start_s, end_s)) where next_s is not null)"""
+
+
+def _voyage(spark, d):
+    """Loaded points of every day at its place in the voyage."""
+    t = F.col("t_s") + _DAY_S * (F.col("track") % 5)
+    return _loaded(spark, d)[0].select(F.expr("track div 5").alias("voyage"), "track", "leg", t.alias("t_s"), "lat", "lon")
+
+
+def _reports(spark, d):
+    """A tracker's positions, every half hour and over all of the night, from every other row of a day."""
+    t = F.lit(1711195200) + _DAY_S * (F.col("track") % 5) + 900 * F.col("rn") + F.col("track") % 61
+    return dense(spark, d).filter("rn % 2 = 1").select(F.expr("track div 5").alias("voyage"), (F.col("track") * 1000 + F.col("rn")).alias("probe"), t.alias("t_s"), (F.col("lat") + 1e-4).alias("plat"), F.col("lon").alias("plon"))
+
+
+@query(f"{_VOYAGE} select voyage, track, start_s, end_s, round((end_s - start_s) / 3600, 6) as hours from wi")
+def corroborate_windows(spark, d):
+    """How long each day's recording ran."""
+    x = days.windows(_voyage(spark, d), ["voyage", "track"])
+    return x.select("voyage", "track", "start_s", "end_s", r((F.col("end_s") - F.col("start_s")) / 3600, 6, "hours"))
+
+
+def _night_table(x, keys, lat="lat", lon="lon"):
+    """fixes, path_m, net_m, blind_h and moved of windows (end_s, next_s) joined to their points."""
+    w = Window.partitionBy(*keys).orderBy("t_s")
+    x = x.withColumns({"step": geo.haversine(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon), "ahead": F.coalesce(F.lead("t_s").over(w), F.col("next_s")) - F.col("t_s")})
+    first, last = lambda c: F.min_by(c, "t_s"), lambda c: F.max_by(c, "t_s")
+    g = x.groupBy(*keys).agg(
+        F.count("t_s").alias("fixes"), r(F.coalesce(F.sum("step"), F.lit(0.0)), 3, "path_m"), F.coalesce(geo.haversine(first(lat), first(lon), last(lat), last(lon)), F.lit(0.0)).alias("net"),
+        (F.greatest(F.coalesce(F.max("ahead"), F.lit(0)), F.coalesce(F.min("t_s"), F.first("next_s")) - F.first("end_s")) / F.lit(3600.0)).alias("blind_h"),
+    )
+    return g.select(*keys, "fixes", "path_m", r("net", 3, "net_m"), "blind_h", (F.col("net") > 300).alias("moved"))
+
+
+_NET = hav_sql("arg_min(plat, t_s)", "arg_min(plon, t_s)", "arg_max(plat, t_s)", "arg_max(plon, t_s)")
+
+
+@query(f"""{_VOYAGE}, j as (select ni.*, tk.t_s, plat, plon from ni left join tk on tk.voyage = ni.voyage and tk.t_s > end_s and tk.t_s < next_s),
+ k2 as (select *, {hav_sql('lag(plat) over q', 'lag(plon) over q', 'plat', 'plon')} as step, coalesce(lead(t_s) over q, next_s) - t_s as ahead from j window q as (partition by voyage, night order by t_s))
+ select voyage, night, count(t_s) as fixes, round(coalesce(sum(step), 0), 3) as path_m, round(coalesce({_NET}, 0), 3) as net_m, greatest(coalesce(max(ahead), 0), coalesce(min(t_s), any_value(next_s)) - any_value(end_s)) / 3600e0 as blind_h,
+  coalesce({_NET}, 0) > 300 as moved from k2 group by voyage, night""")
+def corroborate_nights(spark, d):
+    """What the tracker saw between one day's recording and the next."""
+    spans = days.nights(days.windows(_voyage(spark, d), ["voyage", "track"]), "voyage")
+    seen = _reports(spark, d).select("voyage", "t_s", F.col("plat").alias("lat"), F.col("plon").alias("lon"))
+    x = match.in_interval(spans, seen, "end_s", "next_s", "t_s", "voyage", False, 3600.0)
+    return _night_table(x.select("voyage", "night", "end_s", "next_s", "point.t_s", "point.lat", "point.lon"), ["voyage", "night"])
+
+
+_RANKED = "select voyage, len(a) as n, a[len(a) // 2 + 1] as median, a[cast(floor(len(a) * 0.9) as int) + 1] as p90, a[-1] as max from z"
+
+
+@query(f"""{_VOYAGE}, c2 as (select tk.voyage, probe, abs(pv.t_s - tk.t_s) as dt, {hav_sql('plat', 'plon', 'lat', 'lon')} as dist, row_number() over (partition by tk.voyage, probe order by abs(pv.t_s - tk.t_s), pv.t_s) as k2 from tk join pv using (voyage)),
+ z as (select voyage, list_sort(list(round(dist, 6))) as a from c2 where k2 = 1 and dt <= 60 group by voyage) {_RANKED}""")
+def corroborate_moment(spark, d):
+    """How far the two recordings are apart at the same moment, within a minute."""
+    m = match.asof_nearest(_reports(spark, d), _voyage(spark, d), "t_s", 60, "voyage", ["lat", "lon"], "t_s")
+    return match.nearest_rank(m.withColumn("dist", geo.haversine("plat", "plon", "fix.lat", "fix.lon")), F.round("dist", 6), ["voyage"])
+
+
+@query(f"""{_VOYAGE}, t2 as (select voyage, lat as ay, lon * {geo.K0} as ax, lead(lat) over w2 as b_y, lead(lon) over w2 * {geo.K0} as bx from pv window w2 as (partition by voyage order by t_s)),
+ c2 as (select tk.voyage, probe, plon * {geo.K0} as px, plat as py, t2.* exclude (voyage), case when bx = ax and b_y = ay then 0 else greatest(0, least(1, ((plon * {geo.K0} - ax) * (bx - ax) + (plat - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) end as u2 from tk join t2 using (voyage) where bx is not null),
+ m2 as (select voyage, probe, min(sqrt(power(px - ax - u2 * (bx - ax), 2) + power(py - ay - u2 * (b_y - ay), 2))) * 111000 as dist from c2 group by all),
+ z as (select voyage, list_sort(list(round(dist, 4))) as a, count(*) filter (where dist < 50) as within from m2 group by voyage) {_RANKED.replace('select voyage,', 'select voyage, within,')}""")
+def corroborate_path(spark, d):
+    """How far the tracker's positions are from the one line through all days' points, whatever their times."""
+    pts = _voyage(spark, d).select("voyage", "t_s", (F.col("lon") * geo.K0).alias("x"), F.col("lat").alias("y"))
+    probes = _reports(spark, d).select("voyage", F.struct("voyage", "probe").alias("id"), (F.col("plon") * geo.K0).alias("x"), F.col("plat").alias("y"))
+    x = match.nearest_segment(probes, match.segments(pts, "voyage", ["t_s"]), "voyage", "id", 0.005).select("id.voyage", (F.col("dist") * geo.M_PER_DEG).alias("dist"))
+    near = x.groupBy("voyage").agg(F.count_if(F.col("dist") < 50).alias("within"))
+    return match.nearest_rank(x, F.round("dist", 4), ["voyage"]).join(near, "voyage").select("voyage", "within", "n", "median", "p90", "max")
+
+
+_BEYOND = f"""bs as (select i, ax * {geo.K0} as ax, ay, bx * {geo.K0} as bx, b_y from (values {_SEGS}) v(i, ax, ay, bx, b_y)),
+ cs as (select voyage, track, t_s, lon * {geo.K0} as px, lat as py, bs.*, greatest(0, least(1, ((lon * {geo.K0} - ax) * (bx - ax) + (lat - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) as u2 from pv, bs where leg = 'afloat'),
+ es as (select voyage, track, t_s, i, power(px - (ax + u2 * (bx - ax)), 2) + power(py - (ay + u2 * (b_y - ay)), 2) as d2, (bx - ax) * (py - ay) - (b_y - ay) * (px - ax) as cr from cs),
+ os as (select voyage, track, t_s, case when cr > 0 then 1 else -1 end * sqrt(d2) * 111.0 as km from (select *, row_number() over (partition by track, t_s order by d2, i) as k2 from es) where k2 = 1),
+ xs as (select voyage, track, min(t_s) as a, max(t_s) as b, max(km) as km from os where km > 0.5 group by all)"""
+
+
+@query(f"{_VOYAGE}, {_BEYOND} select xs.voyage, track, a as first_s, b as last_s, round(km, 6) as max_km, count(tk.probe) as seen from xs left join tk on tk.voyage = xs.voyage and tk.t_s >= a and tk.t_s <= b group by all")
+def corroborate_offshore(spark, d):
+    """Days that went beyond the barrier: from when to when, how far, and how many of the tracker's positions fall into that span."""
+    out = _voyage(spark, d).filter("leg = 'afloat'").withColumn("km", geo.offshore_km("lon", "lat")).filter(F.col("km") > geo.OFFSHORE_KM)
+    spans = out.groupBy("voyage", "track").agg(F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s"), r(F.max("km"), 6, "max_km"))
+    x = match.in_interval(spans, _reports(spark, d).select("voyage", "t_s", "probe"), "first_s", "last_s", "t_s", "voyage", True, 86400.0)
+    return x.groupBy("voyage", "track", "first_s", "last_s", "max_km").agg(F.count("point.probe").alias("seen"))
+
+
+@query(f"""{_VOYAGE}, ph as (select voyage, track, t_s + track % 97 as t_s, lat + 5e-5 as plat, lon as plon from pv where leg <> 'road'),
+ c2 as (select ph.voyage, ph.track, ph.t_s as at, abs(pv.t_s - ph.t_s) as dt, {hav_sql('plat', 'plon', 'pv.lat', 'pv.lon')} as dist, row_number() over (partition by ph.voyage, ph.track, ph.t_s order by abs(pv.t_s - ph.t_s), pv.t_s) as k2 from ph join pv using (voyage)),
+ z as (select voyage, list_sort(list(round(dist, 6))) as a from c2 where k2 = 1 and dt <= 90 group by voyage), lo as (select voyage, count(*) as located from ph group by voyage)
+ select voyage, located, coalesce(len(a), 0)::bigint as matched, a[len(a) // 2 + 1] as median, a[cast(floor(len(a) * 0.9) as int) + 1] as p90 from lo left join z using (voyage)""")
+def corroborate_photos(spark, d):
+    """Photos of every voyage against its loaded points, within ninety seconds."""
+    v = _voyage(spark, d)
+    p = v.filter("leg != 'road'").select("voyage", "track", (F.col("t_s") + F.col("track") % 97).alias("t_s"), (F.col("lat") + 5e-5).alias("plat"), F.col("lon").alias("plon"))
+    m = match.asof_nearest(p, v, "t_s", 90, "voyage", ["lat", "lon"], "t_s")
+    q = match.nearest_rank(m, F.round(geo.haversine("plat", "plon", "fix.lat", "fix.lon"), 6), ["voyage"])
+    n = p.groupBy("voyage").agg(F.count(F.lit(1)).alias("located"))
+    return n.join(q, "voyage", "left").select("voyage", "located", F.coalesce("n", F.lit(0)).cast("long").alias("matched"), "median", "p90")
+
+
 # files: written to the shared folder and read back
 
 

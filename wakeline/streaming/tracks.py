@@ -17,15 +17,21 @@ STATE = "t double, lat double, lon double, keep_lat double, keep_lon double, met
 OUT = "track {kind}, t double, lat double, lon double, step_m double, kept boolean, nm double"
 
 
-def accepted(fixes: DataFrame, key: str = "track", time: str = "t_s", watermark: tuple[str, str] | None = None) -> DataFrame:
+def accepted(fixes: DataFrame, key: str = "track", time: str = "t_s", watermark: tuple[str, str] | None = None, idle: str = "12 hours") -> DataFrame:
     """Accepted rows of a stream of fixes with step_m, kept and the track's gated distance so far.
 
     State is six numbers a track. Within a micro-batch rows are taken in order of time; a row that comes in a later
-    batch than a newer one does not advance and is rejected, as in the batch operator.
+    batch than a newer one does not advance and is rejected, as in the batch operator. With a ``watermark``
+    (a timestamp column and its delay) a track that has been silent for ``idle`` of event time is forgotten, so state
+    stays in proportion to the tracks under way, and its next row starts it anew; without one every track is kept.
     """
+    silence = int(pd.Timedelta(idle).total_seconds() * 1000)
     kind = dict(fixes.dtypes)[key]
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = list(state.get) if state.exists else None
         rows = []
         for t, la, lo, kn in pd.concat(pdfs).sort_values("t")[["t", "lat", "lon", "sog_kn"]].itertuples(index=False):
@@ -44,12 +50,16 @@ def accepted(fixes: DataFrame, key: str = "track", time: str = "t_s", watermark:
             rows.append((*k, t, la, lo, d, kept, now[5] / NM_M))
         if now is not None:
             state.update(tuple(float(x) for x in now))
+            if watermark:
+                state.setTimeoutTimestamp(max(int(now[0] * 1000), state.getCurrentWatermarkMs()) + silence)
         yield pd.DataFrame(rows, columns=["track", "t", "lat", "lon", "step_m", "kept", "nm"])
 
     if watermark:
         fixes = fixes.withWatermark(*watermark)
-    rows = fixes.select(F.col(key).alias("track"), F.col(time).cast("double").alias("t"), "lat", "lon", "sog_kn")
-    return rows.groupBy("track").applyInPandasWithState(step, OUT.format(kind=kind), STATE, "append", GroupStateTimeout.NoTimeout)
+    event = [F.col(watermark[0]).alias("_ts")] if watermark else []
+    rows = fixes.select(F.col(key).alias("track"), F.col(time).cast("double").alias("t"), "lat", "lon", "sog_kn", *event)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return rows.groupBy("track").applyInPandasWithState(step, OUT.format(kind=kind), STATE, "append", timeout)
 
 
 def hourly(fixes: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
