@@ -1,7 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, BPE encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; a run writes each result as
-Parquet and reads it again as the next stage's documents.
+Parquet and reads it again as the next stage's documents. All but the last return the columns of
+documents as they came, further ones of any name included.
+
+Null texts count as empty: the quality rules reject them, and no later stage meets one in a run. Taken
+for itself, a later stage leaves a null text null, and the last gives it no ids. Repeated rows are judged
+alike; near-dedup leaves one of them. Rows with a null id are judged like any other. Empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -15,34 +21,28 @@ from wakeline.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from wakeline.llm.queries import vocabulary
 from wakeline.session import ensure_checkpoint_dir, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 #: SimHash and token ids have no counterpart in SQL; tests compare run() with a plain version.
 ORACLE_SQL: str | None = None
 
 
-def _documents(df: DataFrame) -> DataFrame:
-    return df.select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _documents(quality_rules.keep_rows(docs))
+    return quality_rules.keep_rows(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from all but one; texts and their lengths change."""
-    return _documents(line_dedup.keep_lines(docs))
+    return line_dedup.keep_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return _documents(simhash.drop_near_copies(docs))
+    """One document of each near-duplicate group stays, by operator 6's own rule of four words and four bits: the one with the smallest id."""
+    return simhash.drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and lengths meet their target weights."""
-    return _documents(mixing.sample_rows(docs))
+    return mixing.sample_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
