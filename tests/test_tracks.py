@@ -331,7 +331,7 @@ def test_route_without_a_way(spark):
 
 
 #: A tracker file whose figures are known; it is not part of this repository.
-GPX = os.environ.get("WAKELINE_TRACKER_GPX", "")
+TRACKER = os.environ.get("WAKELINE_TRACKER_GPX", "")
 #: When the receiver was off, local time at four hours behind UTC, and what the tracker shows: fixes, path and net metres, longest hours unwatched.
 NIGHTS = [
     ("2024-03-23 20:06", "2024-03-24 06:56", 2, 17, 17, 4.0),
@@ -342,10 +342,10 @@ NIGHTS = [
 ]
 
 
-@pytest.mark.skipif(not GPX, reason="WAKELINE_TRACKER_GPX names no file")
+@pytest.mark.skipif(not TRACKER, reason="WAKELINE_TRACKER_GPX names no file")
 def test_tracker_file(spark):
     """The tracker's file: points, gaps, length, and the five nights."""
-    p = tracks.read_gpx(spark, GPX).withColumn("t_s", F.unix_timestamp("ts")).withColumn("all", F.lit(1))
+    p = tracks.read_gpx(spark, TRACKER).withColumn("t_s", F.unix_timestamp("ts")).withColumn("all", F.lit(1))
     w = Window.partitionBy("all").orderBy("t_s")
     x = report.steps(p, "all", ["t_s"]).withColumn("gap", F.col("t_s") - F.lag("t_s").over(w))
     r = x.agg(F.count("*").alias("n"), F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 570) & (F.col("gap") < 630)).alias("ten"), F.count_if(F.col("gap") == 600).alias("exact"), F.sum("step_m").alias("m")).first()
