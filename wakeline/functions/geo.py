@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Results depend on them to the last digit.
@@ -63,15 +63,27 @@ def offshore_km(lon, lat, barrier=BARRIER) -> Column:
     d2, side = [], []
     for (a_lon, ay), (b_lon, by) in zip(barrier, barrier[1:]):
         ax, dx, dy = a_lon * K0, (b_lon - a_lon) * K0, by - ay
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) * (1 / (dx * dx + dy * dy))))
-        ex, ey = x - (ax + t * dx), y - (ay + t * dy)
-        d2.append(ex * ex + ey * ey)
-        side.append(F.when(dx * (y - ay) - dy * (x - ax) > 0, 1.0).otherwise(-1.0))
+        len2 = dx * dx + dy * dy
+        # Off the line squared, plus what lies before or beyond the segment along it; every part is named once to keep the code small.
+        off = dx * (y - ay) - dy * (x - ax)
+        beyond = F.greatest(F.abs(((x - ax) * dx + (y - ay) * dy) * (1 / len2) - 0.5) - 0.5, F.lit(0.0))
+        d2.append(F.pow(off, F.lit(2.0)) * (1 / len2) + F.pow(beyond, F.lit(2.0)) * len2)
+        side.append(F.when(off > 0, 1.0).otherwise(-1.0))
     # Unrolled over constants, all in generated code; the array is one subexpression, so it is made once.
     each = F.array(*d2)
     return F.get(F.array(*side), F.array_position(each, F.array_min(each)).cast("int") - 1) * F.sqrt(F.array_min(each)) * KM_PER_DEG
 
 
+def with_offshore_km(rows: DataFrame, lon="lon", lat="lat", name: str = "km") -> DataFrame:
+    """``rows`` plus their offshore distance, for use in filters and sums.
+
+    Generated rows keep what is above them from being merged into what is below: the position's own expressions and the
+    distance are evaluated once a row, however often either is mentioned, and the generated code stays small.
+    """
+    at = rows.select("*", F.inline(F.array(F.struct(col(lon).alias("_lon"), col(lat).alias("_lat")))))
+    return at.select(*rows.columns, F.inline(F.array(F.struct(offshore_km("_lon", "_lat").alias(name)))))
+
+
 def corridor_gate(lat) -> Column:
     """1 inside the corridor, 0 outside, linear across its margins."""
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))

@@ -433,7 +433,7 @@ _OFF = f"""{P}, b as (select i, ax * {geo.K0} as ax, ay, bx * {geo.K0} as bx, b_
 
 
 def _offshore(spark, d):
-    return plain(spark, d).select("track", "seq", "t_s", geo.offshore_km("lon", "lat").alias("km"))
+    return geo.with_offshore_km(plain(spark, d)).select("track", "seq", "t_s", "km")
 
 
 @query(f"{_OFF} select track, seq, round(km, 6) as km from o")
@@ -805,7 +805,7 @@ def photo_match(spark, d):
 
 
 def _photos_offshore(spark, d):
-    return _photos(spark, d).withColumn("km", geo.offshore_km("plon", F.col("plat") - 5e-5)).filter(F.col("km") > geo.OFFSHORE_KM)
+    return geo.with_offshore_km(_photos(spark, d), "plon", F.col("plat") - 5e-5).filter(F.col("km") > geo.OFFSHORE_KM)
 
 
 @query(f"{_OFF}, {_PHOTOS} select p.track, row_number() over (partition by p.track order by taken, photo) as place, photo, taken, round(km, 6) as km from p join o on o.seq = p.photo where km > 0.5")
@@ -925,7 +925,7 @@ _BEYOND = f"""bs as (select i, ax * {geo.K0} as ax, ay, bx * {geo.K0} as bx, b_y
 @query(f"{_VOYAGE}, {_BEYOND} select xs.voyage, track, a as first_s, b as last_s, round(km, 6) as max_km, count(tk.probe) as seen from xs left join tk on tk.voyage = xs.voyage and tk.t_s >= a and tk.t_s <= b group by all")
 def corroborate_offshore(spark, d):
     """Days that went beyond the barrier: from when to when, how far, and how many of the tracker's positions fall into that span."""
-    out = _voyage(spark, d).filter("leg = 'afloat'").withColumn("km", geo.offshore_km("lon", "lat")).filter(F.col("km") > geo.OFFSHORE_KM)
+    out = geo.with_offshore_km(_voyage(spark, d).filter("leg = 'afloat'")).filter(F.col("km") > geo.OFFSHORE_KM)
     spans = out.groupBy("voyage", "track").agg(F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s"), r(F.max("km"), 6, "max_km"))
     x = match.in_interval(spans, _reports(spark, d).select("voyage", "t_s", "probe"), "first_s", "last_s", "t_s", "voyage", True, 86400.0)
     return x.groupBy("voyage", "track", "first_s", "last_s", "max_km").agg(F.count("point.probe").alias("seen"))
