@@ -13,11 +13,11 @@ from wakeline.functions.geo import to_segment
 from wakeline.session import checkpoint
 
 
-def asof_nearest(probes: DataFrame, fixes: DataFrame, time: str, tolerance_s: float, by: str, values: list[str], seq: str) -> DataFrame:
+def asof_nearest(probes: DataFrame, fixes: DataFrame, time: str, tolerance_s: float, by: str, values: list[str], seq: str, keep_all: bool = False) -> DataFrame:
     """Probes within ``tolerance_s`` of a fix of the same ``by``, with that fix as struct ``fix`` and ``dt`` in seconds.
 
     ``time`` is in seconds on both sides. The nearest fix wins, the earlier on ties, the lowest ``seq`` among equal
-    times. Probes without one are left out. Both sides are dealt by (by, time bucket); a fix stands
+    times. Probes without one are left out, or have a null ``fix`` and ``dt`` if ``keep_all``. Both sides are dealt by (by, time bucket); a fix stands
     in its own bucket and its neighbours, so a window over one bucket sees all that can match, and neither
     pairs nor whole tracks are formed.
     """
@@ -36,7 +36,22 @@ def asof_nearest(probes: DataFrame, fixes: DataFrame, time: str, tolerance_s: fl
     take = F.when(F.col("_n").isNull() | (gap("_p") <= gap("_n")), F.col("_p")).otherwise(F.col("_n"))
     x = x.withColumn("fix", F.when(F.col("_p").isNull(), F.col("_n")).otherwise(take))
     x = x.withColumn("dt", F.abs(F.col("fix.t") - F.col(time)))
-    return x.filter(F.col("dt") <= tolerance_s).select("_row.*", "fix", "dt")
+    near = F.col("dt") <= tolerance_s
+    if keep_all:
+        return x.select("_row.*", F.when(near, F.col("fix")).alias("fix"), F.when(near, F.col("dt")).alias("dt"))
+    return x.filter(near).select("_row.*", "fix", "dt")
+
+
+def placed_by_time(photos: DataFrame, fixes: DataFrame, time: str, tolerance_s: float, by: str, seq: str, plat: str = "plat", plon: str = "plon") -> DataFrame:
+    """All columns of ``photos``, ``placed``, lat, lon: ``own`` where a photo has a position, ``track`` where a fix is near enough in time, else null.
+
+    ``fixes`` have ``by``, ``time``, ``seq``, lat and lon. Half a position counts as none. Every photo comes back once,
+    those with a null key or time included; only photos without a position are matched.
+    """
+    has = F.col(plat).isNotNull() & F.col(plon).isNotNull()
+    own = photos.filter(has).select(*photos.columns, F.lit("own").alias("placed"), F.col(plat).alias("lat"), F.col(plon).alias("lon"))
+    found = asof_nearest(photos.filter(~has), fixes, time, tolerance_s, by, ["lat", "lon"], seq, keep_all=True)
+    return own.unionByName(found.select(*photos.columns, F.when(F.col("fix").isNotNull(), "track").alias("placed"), F.col("fix.lat").alias("lat"), F.col("fix.lon").alias("lon")))
 
 
 def segments(points: DataFrame, key: str, order: list[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -368,12 +368,12 @@ def overnight_watch(spark, d):
 
 
 def _tracker(spark, d):
-    """Every tenth dense row, some seconds later and a little away."""
-    x = dense(spark, d).filter("rn % 10 = 0")
+    """A second recording of every dense row, some seconds later and a little away."""
+    x = dense(spark, d)
     return x.select("track", F.col("rn").alias("probe"), (F.col("t_s") + (F.col("rn") * 7 + F.col("track")) % 121).alias("t_s"), (F.col("lat") + 1e-4).alias("plat"), F.col("lon").alias("plon"))
 
 
-_ASOF = f"""with f as ({DENSE_SQL}), p as (select track, rn as probe, t_s + (rn * 7 + track) % 121 as t_s, lat + 1e-4 as plat, lon as plon from f where rn % 10 = 0),
+_ASOF = f"""with f as ({DENSE_SQL}), p as (select track, rn as probe, t_s + (rn * 7 + track) % 121 as t_s, lat + 1e-4 as plat, lon as plon from f),
  c as (select p.track, p.probe, abs(f.t_s - p.t_s) as dt, f.rn, f.lat, f.lon, plat, plon, row_number() over (partition by p.track, p.probe order by abs(f.t_s - p.t_s), f.t_s, f.rn) as k from p join f using (track)),
  m as (select *, {hav_sql('plat', 'plon', 'lat', 'lon')} as dist from c where k = 1)"""
 
@@ -401,7 +401,7 @@ def asof_percentiles(spark, d):
 
 
 _PATH = f"""{D}, t as (select track, n, lat as ay, lon * {geo.K0} as ax, lead(lat) over w as b_y, lead(lon) over w * {geo.K0} as bx from g window w as (partition by track order by n)),
- p as (select track, rn as probe, (lat + ((rn * 31) % 17) * 1e-3) as py, lon * {geo.K0} as px from f where rn % 4 = 0),
+ p as (select track, rn as probe, (lat + ((rn * 31) % 17) * 1e-3) as py, lon * {geo.K0} as px from f),
  c as (select p.track, probe, n, px, py, ax, ay, bx, b_y, case when bx = ax and b_y = ay then 0 else greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) end as u from p join t using (track) where bx is not null),
  m as (select track, probe, min(sqrt(power(px - ax - u * (bx - ax), 2) + power(py - ay - u * (b_y - ay), 2))) * 111000 as dist from c group by all)"""
 
@@ -409,7 +409,7 @@ _PATH = f"""{D}, t as (select track, n, lat as ay, lon * {geo.K0} as ax, lead(la
 def _path(spark, d):
     pts = quality.keep_good(dense(spark, d)).select("track", "rn", (F.col("lon") * geo.K0).alias("x"), F.col("lat").alias("y"))
     segs = match.segments(pts, "track", ["rn"])
-    probes = dense(spark, d).filter("rn % 4 = 0").select("track", F.col("rn").alias("probe"), (F.col("lon") * geo.K0).alias("x"), (F.col("lat") + ((F.col("rn") * 31) % 17) * 1e-3).alias("y"), F.struct("track", "rn").alias("id"))
+    probes = dense(spark, d).select("track", F.col("rn").alias("probe"), (F.col("lon") * geo.K0).alias("x"), (F.col("lat") + ((F.col("rn") * 31) % 17) * 1e-3).alias("y"), F.struct("track", "rn").alias("id"))
     return match.nearest_segment(probes, segs, "track", "id", 0.005).select("id.track", F.col("id.rn").alias("probe"), (F.col("dist") * geo.M_PER_DEG).alias("dist"))
 
 
@@ -453,9 +453,9 @@ def offshore_excursion(spark, d):
     return _excursions(spark, d).select("track", r("a", 3, "first_s"), r("b", 3, "last_s"), r((F.col("b") - F.col("a")) / 60, 3, "minutes"), r("km", 6, "max_km"))
 
 
-@query(f"{_OFF}, {_EXC} select x.track, count(f.seq) as seen from x left join f on f.track = x.track and f.seq % 3 = 0 and f.t_s >= a and f.t_s <= b group by x.track")
+@query(f"{_OFF}, {_EXC} select x.track, count(f.seq) as seen from x left join f on f.track = x.track and f.t_s >= a and f.t_s <= b group by x.track")
 def excursion_seen(spark, d):
-    pts = plain(spark, d).filter("seq % 3 = 0").select("track", "t_s", "seq")
+    pts = plain(spark, d).select("track", "t_s", "seq")
     x = match.in_interval(_excursions(spark, d).select("track", "a", "b"), pts, "a", "b", "t_s", "track", True, 86400.0)
     return x.groupBy("track").agg(F.count("point.seq").alias("seen"))
 
@@ -602,10 +602,10 @@ def tick_table(spark, d):
 
 
 def _ways(spark, d):
-    """One way a nation, to the next nation and on to a farther one; every seventh is a footway."""
+    """One way a nation, to the next nation and on to a farther one: footways, service and residential roads."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
     at = lambda k: F.struct((26.4 + (k % 5) * 0.01).alias("lat"), (-77.1 + F.floor(k / 5) * 0.01).alias("lon"))
-    tags = F.create_map(F.lit("highway"), F.when(F.col("k") % 7 == 0, "footway").otherwise("service"))
+    tags = F.create_map(F.lit("highway"), F.when(F.col("k") % 7 == 0, "footway").when(F.col("k") % 3 == 1, "service").otherwise("residential"))
     return n.select(F.col("k").alias("way_id"), tags.alias("tags"), F.array(at(F.col("k")), at((F.col("k") + 1) % 25), at((F.col("k") * 3 + 2) % 25)).alias("points"))
 
 
@@ -650,20 +650,21 @@ def shortest_path(spark, d):
 
 @query(_edges_sql("k % 3 = 1 and k % 7 <> 0") + _REACH.format(rounds=_bellman(24)) + "select distinct a as node from u where a not in (select n from r24)")
 def unreachable(spark, d):
-    g = graph.edges(_ways(spark, d).filter("way_id % 3 = 1"))
+    """Nodes of the service roads that no chain of service roads leads to."""
+    g = graph.edges(_ways(spark, d), ("service",))
     x = graph.distances(g, graph.nearest_node(g, 26.4, -77.1))
     return g.select(F.col("src").alias("node")).distinct().join(x, "node", "left_anti").select((F.col("node.lat") * 1000000000 + F.col("node.lon")).alias("node"))
 
 
-@query(_edges_sql("true") + _REACH.format(rounds=_bellman(24)) + """, t as (select n from r24 where n % 7 = 3),
+@query(_edges_sql("true") + _REACH.format(rounds=_bellman(24)) + """, t as (select n from r24),
  back as (select n as target, n as node, 0::bigint as back from t union all
   select target, (select min(u.a) from u join r24 p on p.n = u.a join r24 q on q.n = u.b where u.b = node and abs(p.dist + u.w - q.dist) < 1e-6), back + 1 from back where node <> (select a from s0))
  select target, node, back from back""")
 def route_points(spark, d):
-    """The nodes on the way to every seventh node."""
+    """The nodes on the way to every node."""
     x = _reached(spark, d, graph.WALKABLE)
     flat = F.col("node.lat") * 1000000000 + F.col("node.lon")
-    way = graph.routes(x, x.filter(F.pmod(flat, F.lit(7)) == 3).select("node"))
+    way = graph.routes(x, x.select("node"))
     return way.select((F.col("target.lat") * 1000000000 + F.col("target.lon")).alias("target"), flat.alias("node"), "back")
 
 
@@ -740,10 +741,11 @@ def polygonize_faces(spark, d):
 # sets, orders
 
 
-@query(f"{P} select track, seq, 'early' as leg from f where seq % 2 = 0 union all select track, seq, 'late' from f where seq % 3 = 0")
+@query(f"{P} select track, seq, 'north' as leg from f where lat > 26.45 union all select track, seq, 'east' from f where lon > -77.08")
 def union_legs(spark, d):
-    x = plain(spark, d).select("track", "seq")
-    return x.filter("seq % 2 = 0").withColumn("leg", F.lit("early")).unionByName(x.filter("seq % 3 = 0").withColumn("leg", F.lit("late")))
+    """Two legs that share the fixes north-east of a point."""
+    x = plain(spark, d)
+    return x.filter("lat > 26.45").select("track", "seq", F.lit("north").alias("leg")).unionByName(x.filter("lon > -77.08").select("track", "seq", F.lit("east").alias("leg")))
 
 
 @query(f"{P} select distinct track from f where track not in (select track from f where lat > 26.69)")
@@ -779,12 +781,12 @@ def shared_bands(spark, d):
 
 
 def _photos(spark, d):
-    x = with_time(plain(spark, d)).filter("seq % 9 = 0")
+    x = with_time(plain(spark, d))
     taken = F.date_format(clock.local(F.timestamp_seconds(F.floor("t_s"))), "yyyy:MM:dd HH:mm:ss")
     return x.select("track", F.col("seq").alias("photo"), taken.alias("taken"), (F.col("lat") + 5e-5).alias("plat"), F.col("lon").alias("plon"))
 
 
-_PHOTOS = "p as (select track, seq as photo, strftime(make_timestamp((floor(t_s)*1000000)::bigint) - interval 4 hour, '%Y:%m:%d %H:%M:%S') as taken, floor(t_s)::bigint as t_s, lat + 5e-5 as plat, lon as plon from f where seq % 9 = 0)"
+_PHOTOS = "p as (select track, seq as photo, strftime(make_timestamp((floor(t_s)*1000000)::bigint) - interval 4 hour, '%Y:%m:%d %H:%M:%S') as taken, floor(t_s)::bigint as t_s, lat + 5e-5 as plat, lon as plon from f)"
 
 
 @query(f"{P}, {_PHOTOS} select photo, taken, t_s from p")
@@ -821,6 +823,17 @@ def photo_offshore_all(spark, d):
     return _photos_offshore(spark, d).select("photo", "taken", r("km")).orderBy("taken", "photo")
 
 
+@query(f"""{P}, p as (select track, seq as photo, floor(t_s)::bigint + seq % 181 as t_s, case when quality <> 2 then lat + 5e-5 end as plat, case when quality <> 2 then lon end as plon from f),
+ c as (select photo, plat, plon, f.lat, f.lon, abs(f.t_s - p.t_s) as dt, row_number() over (partition by photo order by abs(f.t_s - p.t_s), f.t_s, seq) as k from p join f using (track))
+ select photo, case when plat is not null then 'own' when dt <= 90 then 'track' end as placed, round(case when plat is not null then plat when dt <= 90 then lat end, 6) as lat, round(case when plat is not null then plon when dt <= 90 then lon end, 6) as lon from c where k = 1""")
+def photo_placed(spark, d):
+    """Photos of cameras with and without a receiver: the latter are placed by their time on the track."""
+    x = with_time(plain(spark, d))
+    own = lambda c: F.when(F.col("quality") != 2, c)
+    p = x.select("track", F.col("seq").alias("photo"), (F.floor("t_s") + F.col("seq") % 181).cast("double").alias("t_s"), own(F.col("lat") + 5e-5).alias("plat"), own(F.col("lon")).alias("plon"))
+    return match.placed_by_time(p, plain(spark, d), "t_s", 90, "track", "seq", "plat", "plon").select("photo", "placed", r("lat"), r("lon"))
+
+
 # the same on a stream
 
 
@@ -840,7 +853,7 @@ def stream_clean(spark, d):
 
 _DAY_S = 86400
 _VOYAGE = f"""{_LOADED}, pv as (select track // 5 as voyage, track, leg, t_s + {_DAY_S} * (track % 5) as t_s, lat, lon from pts),
- tk as (select track // 5 as voyage, track * 1000 + rn as probe, 1711195200 + {_DAY_S} * (track % 5) + 900 * rn + track % 61 as t_s, lat + 1e-4 as plat, lon as plon from f where rn % 2 = 1),
+ tk as (select track // 5 as voyage, track * 1000 + rn as probe, 1711195200 + {_DAY_S} * (track % 5) + 900 * rn + track % 61 as t_s, lat + 1e-4 as plat, lon as plon from f),
  wi as (select voyage, track, min(t_s) as start_s, max(t_s) as end_s from pv group by all),
  ni as (select * from (select voyage, row_number() over w as night, end_s, lead(start_s) over w as next_s from wi window w as (partition by voyage order by start_s, end_s)) where next_s is not null)"""
 
@@ -852,9 +865,9 @@ def _voyage(spark, d):
 
 
 def _reports(spark, d):
-    """A tracker's positions, every half hour and over all of the night, from every other row of a day."""
+    """A tracker's positions, every quarter of an hour and over all of the night."""
     t = F.lit(1711195200) + _DAY_S * (F.col("track") % 5) + 900 * F.col("rn") + F.col("track") % 61
-    return dense(spark, d).filter("rn % 2 = 1").select(F.expr("track div 5").alias("voyage"), (F.col("track") * 1000 + F.col("rn")).alias("probe"), t.alias("t_s"), (F.col("lat") + 1e-4).alias("plat"), F.col("lon").alias("plon"))
+    return dense(spark, d).select(F.expr("track div 5").alias("voyage"), (F.col("track") * 1000 + F.col("rn")).alias("probe"), t.alias("t_s"), (F.col("lat") + 1e-4).alias("plat"), F.col("lon").alias("plon"))
 
 
 @query(f"{_VOYAGE} select voyage, track, start_s, end_s, round((end_s - start_s) / 3600, 6) as hours from wi")
@@ -948,14 +961,14 @@ def corroborate_photos(spark, d):
 # files: written to the shared folder and read back
 
 
-@query(f"""with f as ({DENSE_SQL}), p as (select track, t_s, round(lat, 6) as lat, round(lon, 6) as lon, t_s - lag(t_s) over (partition by track order by t_s) as gap from f where rn % 5 <> 2)
+@query(f"""with f as ({DENSE_SQL}), s as (select track, t_s + 300 * (rn // 4) as t_s, lat, lon from f), p as (select track, t_s, round(lat, 6) as lat, round(lon, 6) as lon, t_s - lag(t_s) over (partition by track order by t_s) as gap from s)
  select track::varchar as session, count(*) as points, count(gap) as gaps, count(*) filter (where gap / 60e0 > 9.5 and gap / 60e0 < 10.5) as ten_minutes, round(max(gap) / 60e0, 6) as longest_min, round(min(lat), 6) as south, round(max(lat), 6) as north from p group by track""")
 def gpx_cadence(spark, d):
-    """Tracker files of one track each, in pieces of bounded size: points, gaps, gaps of about ten minutes."""
+    """Tracker files, long tracks in pieces of bounded size: points, gaps, gaps of about ten minutes (every fourth is one)."""
     folder = f"{ensure_checkpoint_dir(spark)}/gpx-{uuid.uuid4().hex}"
-    p = with_time(dense(spark, d).filter("rn % 5 != 2"))
+    p = with_time(dense(spark, d).withColumn("t_s", F.expr("t_s + 300 * (rn div 4)")))
     tracks.write_gpx(p, folder)
-    g = tracks.read_gpx(spark, f"{folder}/*/*").withColumn("t", F.unix_timestamp("ts"))
+    g = tracks.read_gpx(spark, folder).withColumn("t", F.unix_timestamp("ts"))
     g = g.withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("session").orderBy("t", "lat", "lon"))) / F.lit(60.0))
     return g.groupBy("session").agg(
         F.count(F.lit(1)).alias("points"), F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 9.5) & (F.col("gap") < 10.5)).alias("ten_minutes"), r(F.max("gap"), 6, "longest_min"), r(F.min("lat"), 6, "south"), r(F.max("lat"), 6, "north")

@@ -24,7 +24,8 @@ def write_tracks(fixes: DataFrame, path: str) -> None:
     text = {"lat": 6, "lon": 6, "sog_kn": 2, "cog_deg": 1, "hdop": 1}
     cols = [nmea.fixed(F.col(c), text[c]).alias(c) if c in text else F.col(c) for c in ("lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")]
     out = fixes.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), *cols, "track")
-    out.write.mode("overwrite").option("header", True).partitionBy("track").csv(path)
+    # Rows of a track meet before writing, so a track is one file, or a few where it is large.
+    out.hint("rebalance", F.col("track")).write.mode("overwrite").option("header", True).partitionBy("track").csv(path)
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +33,21 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("track", clock.iso(F.col("utc")).alias("ts"), "lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")
 
 
-def write_gpx(fixes: DataFrame, path: str, piece: int = 10_000) -> None:
-    """GPX text of (track, t_s, ts, lat, lon), one folder a track; a track is as many files, each one trk of its name, as hold ``piece`` points each.
+def write_gpx(fixes: DataFrame, path: str, piece: int = 10_000, per_file: int = 50_000) -> None:
+    """GPX files of (track, t_s, ts, lat, lon): about ``per_file`` points each, a track as many trk of its name as hold ``piece`` points each.
 
-    A file has one root only: the XML reader stops after the first.
+    The number of files follows from the number of points, not of tracks; a file is read by one task, so it stays small.
     """
     point = F.format_string('<trkpt lat="%s" lon="%s"><ele>1</ele><time>%s</time></trkpt>', nmea.fixed(F.col("lat"), 6), nmea.fixed(F.col("lon"), 6), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     place = F.row_number().over(Window.partitionBy("track").orderBy("t_s"))
     rows = fixes.select("track", "t_s", point.alias("x"), F.floor((place - 1) / piece).alias("piece_n"))
     trk = rows.groupBy("track", "piece_n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_s", "x"))), lambda v: v["x"]), "").alias("x"))
-    trk.select(F.concat(F.lit("<trk><name>"), F.col("track").cast("string"), F.lit("</name><trkseg>"), "x", F.lit("</trkseg></trk>")).alias("value"), "track", "piece_n").write.partitionBy("track", "piece_n").text(path)
+    name = F.coalesce(F.col("track").cast("string"), F.lit(""))
+    files = fixes.count() // per_file + 1
+    body = trk.select(F.pmod(F.xxhash64("track", "piece_n"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("part"), F.concat(F.lit("<trk><name>"), name, F.lit("</name><trkseg>"), "x", F.lit("</trkseg></trk>")).alias("value"))
+    ends = fixes.sparkSession.range(files).select(F.col("id").cast("int").alias("file"), F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("<gpx>").alias("value")), F.struct(F.lit(2).alias("part"), F.lit("</gpx>").alias("value")))).alias("e"))
+    both = body.unionByName(ends.select("file", "e.*"))
+    both.repartitionById(files, "file").sortWithinPartitions("file", "part").select("value").write.text(path)
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
