@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 import __spark_entry__ as entry
 from tests.compare import difference
 from wakeline.functions import clock, geo, nmea
-from wakeline.operators import days, graph, match, offset, parse, polygons, quality, report, sequence
+from wakeline.operators import days, graph, land, match, offset, parse, polygons, quality, report, sequence
 from wakeline.plans import queries
 from wakeline.plans.registry import ORACLE, QUERIES
 from wakeline.sources import tracks
@@ -185,6 +185,45 @@ def test_faces_of_a_cut_square(spark):
     assert sorted((round(x.area, 6), round(x.cx, 6), x.land) for x in t) == [(4.0, 0.5, True), (12.0, 2.5, False)]
 
 
+def _coast(spark, lines):
+    rows = [(k, 1000 * k + i, *map(float, a), *map(float, b)) for k, line in enumerate(lines) for i, (a, b) in enumerate(zip(line, line[1:]))]
+    return spark.createDataFrame(rows, "line long, seg long, ax double, ay double, bx double, by double")
+
+
+def _square(x, y, side, left=True):
+    c = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    return c if left else c[::-1]
+
+
+def test_land_polygons(spark):
+    """A shore across the box, an island, a lake with an islet in it, and two land faces that a line of land on both sides parts."""
+    shore = [(-1, 3), (11, 3)][::-1]  # land to the left of going west: below
+    lines = [shore, _square(2, 5, 4), _square(3, 6, 2, left=False), _square(3.5, 6.5, 1), _square(8, 8, 1), [(4, -1), (4, 3)]]
+    made = land.land_polygons(_coast(spark, lines), 0.0, 0.0, 10.0, 10.0, 1.0)
+    rings = made.collect()
+    areas: dict = {}
+    for r in rings:
+        areas.setdefault((tuple(map(tuple, r.polygon)), tuple(map(tuple, r.ring)), r.hole), []).append(r)
+    found = sorted((k[2], round(sum(r.ax * r.by - r.bx * r.ay for r in v) / 2, 6)) for k, v in areas.items())
+    # The shore is nearer to the middle of both faces than the line between them, so both are land, and one.
+    assert found == [(False, 1.0), (False, 1.0), (False, 16.0), (False, 30.0), (True, -4.0)]
+    for v in areas.values():
+        v.sort(key=lambda r: r.place)
+        assert [r.place for r in v] == list(range(len(v)))
+        assert all((a.bx, a.by) == (b.ax, b.ay) for a, b in zip(v, v[1:] + v[:1]))
+    table = sorted((round(r.area, 6), r.n_holes) for r in land.land_table(made).collect())
+    assert table == [(1.0, 0), (1.0, 0), (12.0, 1), (30.0, 0)]
+
+
+def test_land_ties_and_box_without_shore(spark):
+    """The middle of the right square is as near to the left one's edge, whose seg is lower and which it lies right of: water. A box without a line raises."""
+    both = _coast(spark, [_square(2, 2, 3), _square(5, 2, 3)])
+    got = land.land_table(land.land_polygons(both, 0.0, 0.0, 10.0, 10.0, 1.0)).collect()
+    assert [(round(r.area, 6), r.n_holes) for r in got] == [(9.0, 0)]
+    with pytest.raises(ValueError):
+        land.land_polygons(both, 20.0, 20.0, 30.0, 30.0, 1.0)
+
+
 def test_nearest_segment_far_away(spark):
     rng = random.Random(9)
     line = [("p", i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(30)]

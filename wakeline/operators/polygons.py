@@ -47,11 +47,12 @@ def split_at_crossings(segs: DataFrame, cell: float) -> DataFrame:
     return parts.select("line", "seg", place("t", "ax", "bx").alias("ax"), place("t", "ay", "by").alias("ay"), place("t2", "ax", "bx").alias("bx"), place("t2", "ay", "by").alias("by"))
 
 
-def faces(pieces: DataFrame, scale: float = 1e6) -> DataFrame:
+def faces(pieces: DataFrame, scale: float = 1e6, order: bool = False) -> DataFrame:
     """(face, a, b, ax, ay, bx, by, along): half-edges with their face on the left.
 
     Node keys are coordinates in millionths; ``along`` is true for a half-edge that runs as its line does.
-    Dangling pieces lie in one face on both sides; the unbounded face has negative area.
+    Dangling pieces lie in one face on both sides; the unbounded face has negative area. With ``order``, ``place`` counts
+    the half-edges of a ring from 0, the one with the least ends, in the order in which they follow each other.
     """
     node = lambda x, y: F.struct(micro(x).alias("x"), micro(y).alias("y"))
     one = pieces.select(node("ax", "ay").alias("a"), node("bx", "by").alias("b"), "line").filter("a != b").groupBy("a", "b").agg(F.min("line").alias("line"))
@@ -64,7 +65,8 @@ def faces(pieces: DataFrame, scale: float = 1e6) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = half.select("a", "b", F.coalesce(F.lag("id").over(w), F.last("id").over(whole)).alias("next"))
     follow = half.join(turn.select(F.col("a").alias("b"), F.col("b").alias("a"), "next"), ["a", "b"])
-    ring = checkpoint(follow.select("id", "next", F.least("id", "next").alias("least")))
+    follow = checkpoint(follow.select("id", "next"))
+    ring = follow.withColumn("least", F.least("id", "next"))
     while True:
         far = ring.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"))
         new = checkpoint(ring.join(far, "next").select("id", F.col("next2").alias("next"), F.least("least", "least2").alias("now"), "least"))
@@ -73,8 +75,20 @@ def faces(pieces: DataFrame, scale: float = 1e6) -> DataFrame:
         if not moved:
             break
     out = half.join(ring.select("id", F.col("least").alias("face")), "id")
+    if order:
+        out = out.join(_places(follow.join(ring.select("id", F.col("least").alias("face")), "id")), "id")
     deg = lambda c: (F.col(c) / scale)
-    return out.select("face", "line", "along", deg("a.x").alias("ax"), deg("a.y").alias("ay"), deg("b.x").alias("bx"), deg("b.y").alias("by"))
+    return out.select("face", "line", "along", deg("a.x").alias("ax"), deg("a.y").alias("ay"), deg("b.x").alias("bx"), deg("b.y").alias("by"), *(["place"] if order else []))
+
+
+def _places(ring: DataFrame) -> DataFrame:
+    """(id, place) of half-edges (id, next, face): steps to the ring's end, by doubling from the edge before its first."""
+    now = checkpoint(ring.select("id", F.when(F.col("next") != F.col("face"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("face"), 1).otherwise(0).cast("long").alias("left"), "face"))
+    while not now.filter("next is not null").isEmpty():
+        far = now.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
+        now = checkpoint(now.join(far, "next", "left").select("id", F.col("next2").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), "face"))
+    size = now.groupBy("face").agg(F.max("left").alias("most"))
+    return now.join(size, "face").select("id", (F.col("most") - F.col("left")).alias("place"))
 
 
 def face_table(half: DataFrame, coast: Column) -> DataFrame:
