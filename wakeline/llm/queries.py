@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import ann, bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
+from wakeline.llm import ann, bpe, byte_bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
 from wakeline.session import ensure_checkpoint_dir, table
 
 
@@ -113,6 +113,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, {"doc_id": F.col("doc_id")}, F.col("text"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -124,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
+    "op11_byte_bpe": op11_byte_bpe,
     "mixing_margins": mixing_margins,
     "quality_ablation": quality_ablation,
     "training_order_tokens": training_order_tokens,
