@@ -255,3 +255,43 @@ ev as (select r, sum(coalesce(v, 0)) as evidence from t left join llr using (key
 z as (select doc_id, host, path, evidence, site_rate, 1 / (1 + exp(-(ln(site_rate / (1 - site_rate)) + evidence))) as score from y join ev using (r) join pp using (host, path))
 select doc_id, host, path, round(evidence, 8) as evidence, round(site_rate, 9) as site_rate, round(score, 8) as score, score >= 0.5 as kept from z"""
     )
+
+
+def merkle_manifest(levels: int = 6, over: int = 5) -> str:
+    """Trees of 16 over at most 16 ** levels documents a source and 16 ** over sources, level by level."""
+    size = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fields = " || ".join(size(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    # CRC-32 bit by bit, reflected polynomial.
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+    def tree(name: str, height: int) -> str:
+        """name0 (g, i, d, n) -> name1 ... , each with the siblings left (l) and right (r) of a node."""
+        out = ""
+        for k in range(height):
+            run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            out += f""", {name}s{k} AS (SELECT g, i, n, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})
+            , {name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (max(n) + 15) // 16 AS n
+                FROM {name}{k} GROUP BY g, i // 16)"""
+        return out
+
+    steps = [(f"a{k}", f"JOIN as{k} a{k} ON a{k}.g = q.g AND a{k}.i = q.i // {16**k}") for k in range(levels)]
+    steps += [(f"b{k}", f"JOIN bs{k} b{k} ON b{k}.i = o.i // {16**k}") for k in range(over)]
+    joins = [j for _, j in steps]
+    folds = "".join(f", f{k + 1} AS (SELECT *, CASE WHEN n{k} > 1 THEN sha256(l{k} || f{k} || r{k}) ELSE f{k} END AS f{k + 1} FROM {f'f{k}' if k else 'met'})" for k in range(len(steps)))
+    sides = " || ".join(f"l{k} || r{k}" for k in range(len(steps)))
+    last = f"f{len(steps)}"
+    return f"""
+    WITH rows AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, sha256({fields} || {size('text')}) AS d,
+            CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({fields} || {size(low)}) END AS t FROM documents)
+    , q0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows)
+    , a0 AS (SELECT g, i, d, n FROM q0) {tree('a', levels)}
+    , subs AS (SELECT g AS s, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM a{levels})
+    , b0 AS (SELECT '' AS g, i, d, n FROM subs) {tree('b', over)}
+    , met AS (SELECT q.doc_id, q.d AS leaf, o.d AS subroot, coalesce(q.t, q.d) AS f0, {', '.join(f'{a}.l AS l{k}, {a}.r AS r{k}, {a}.n AS n{k}' for k, (a, _) in enumerate(steps))}
+        FROM q0 q {' '.join(joins[:levels])} JOIN subs o ON o.s = q.g {' '.join(joins[levels:])})
+    {folds}
+    SELECT doc_id, leaf, subroot, (SELECT d FROM b{over}) AS root, sha256({sides}) AS proof_sha256, {last} AS folded_root, {last} = (SELECT d FROM b{over}) AS verified FROM {last}
+    """

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import ann, bpe, byte_bpe, classifier, line_dedup, mixing, oracles, quality_rules, secrets, simhash, slots, urls
+from wakeline.llm import ann, bpe, byte_bpe, classifier, line_dedup, manifest, mixing, oracles, quality_rules, secrets, simhash, slots, urls
 from wakeline.session import ensure_checkpoint_dir, table
 
 
@@ -126,6 +126,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -138,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "mixing_margins": mixing_margins,
     "quality_ablation": quality_ablation,
     "training_order_tokens": training_order_tokens,
@@ -150,6 +155,7 @@ ORACLE: dict[str, str] = {
     "op5_url_filter": oracles.URL_FILTER,
     "op8_quality_rules": oracles.quality_rules(),
     "op9_secret_scan": oracles.secret_scan(),
+    "op13_merkle_manifest": oracles.merkle_manifest(),
     "mixing_margins": oracles.mixing_margins(),
     "quality_ablation": oracles.quality_ablation(),
 }
