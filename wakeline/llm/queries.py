@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import ann, bpe, byte_bpe, classifier, line_dedup, manifest, mixing, oracles, quality_rules, secrets, simhash, slots, urls
+from wakeline.llm import ann, bpe, byte_bpe, classifier, line_dedup, manifest, mixing, oracles, quality_rules, secrets, simhash, slots, urls, whitening
 from wakeline.session import ensure_checkpoint_dir, table
 
 
@@ -126,6 +126,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
     "mixing_margins": mixing_margins,
     "quality_ablation": quality_ablation,
