@@ -565,6 +565,40 @@ def test_recall_without_structure(spark):
     assert recall(np.array([x for _, x in rows], dtype=np.float64), ann.neighbours(v, asked())) >= 0.9
 
 
+def test_extreme_components(spark):
+    """1e200, 1e-200 and mixed vectors among ordinary ones, against brute force in scaled numbers."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(120, 4))
+    x[3], x[20], x[40], x[60], x[61] = [1e200, 0, 0, 1], [1e-200, 0, 0, 0], [1e200, -1e200, 1e-200, 1], [-1e300, 1e300, 0, 1e300], [5e-324, 0, 0, 0]
+    x[80] = [1e-160, -1e-160, 0, 1e-170]
+    got = {}
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for r in ann.neighbours(rows, F.pmod("_id", F.lit(20)) == 0, exact=True).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(got) == [0, 20, 40, 60, 80, 100]
+
+    def product(a, b):
+        exact = sum(Fraction(p) * Fraction(q) for p, q in zip(a, b))
+        try:
+            return float(exact)
+        except OverflowError:
+            return math.inf if exact > 0 else -math.inf
+
+    for q, found in got.items():
+        assert sorted(found) == list(range(1, 21))
+        scores = {i: product(x[q], x[i]) for i in range(120) if i != q}
+        best = sorted(scores.values(), reverse=True)[:20]
+        for k, want in enumerate(best, 1):
+            i, s = found[k]
+            assert s == pytest.approx(want, rel=1e-9, abs=1e-300) and s == pytest.approx(scores[i], rel=1e-9, abs=1e-300)
+        assert all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for a, b in ((found[k], found[k + 1]) for k in range(1, 20)))
+    for odd in (1e200, 1e-200):
+        few = spark.createDataFrame([(i, v) for i, v in enumerate([[odd, 0.0], [odd, odd], *x[4:24, :2].tolist()])], "vec_id long, embedding array<double>")
+        assert ann.neighbours(few, F.col("_id") < 2).count() == 40
+
+
 def test_lists_and_parts_without_readers(spark, monkeypatch):
     """One query over many lists, bundles of a few postings, parts of a list, blocks of queries: nothing is lost and nothing crashes."""
     monkeypatch.setattr(ann, "PART", 40)

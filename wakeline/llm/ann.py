@@ -47,21 +47,27 @@ PART, QUERY_PART = 8192, 8192
 
 @dataclass
 class Lists:
-    """Unit centroids (lifted), their neighbour graph, the length all vectors are lifted to, and the two ratios."""
+    """Unit centroids (lifted), their neighbour graph, the length all vectors are lifted to, and the two ratios.
+
+    ``scale``, a power of two, brings the largest component near one first, so that no square overflows or vanishes.
+    """
 
     centroids: np.ndarray
     length: float
     graph: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.int64))
     closure: float = 1.0
     prune: float = 1.5
+    scale: float = 1.0
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors as directions: one more coordinate brings all to the same length."""
+        x = x * self.scale
         rest = np.sqrt(np.maximum(0.0, self.length**2 - (x * x).sum(1)))
         return np.column_stack([x, rest]) / self.length
 
     def aim(self, q: np.ndarray) -> np.ndarray:
         """Queries as directions: the direction alone decides which products are largest."""
+        q = np.ldexp(q, -_exponents(q)[:, None])
         return np.column_stack([q / np.sqrt((q * q).sum(1))[:, None], np.zeros(len(q))])
 
     def post(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +120,21 @@ def _angle(cos: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cos, -1.0, 1.0))
 
 
+def _exponents(x: np.ndarray) -> np.ndarray:
+    """The power of two just above each row's largest component."""
+    return np.frexp(np.abs(x).max(1, initial=0.0))[1]
+
+
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products; those beyond a double's range come out infinite or zero, never as the difference of two such."""
+    a, b = _exponents(q), _exponents(v)
+    if not len(a) or not len(b) or (a.max() + b.max() < 1000 and a.min() + b.min() > -900):
+        return q @ v.T
+    near_one = np.ldexp(q, -a[:, None]) @ np.ldexp(v, -b[:, None]).T
+    with np.errstate(over="ignore", under="ignore"):
+        return np.ldexp(near_one, a[:, None] + b[None, :])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
@@ -184,10 +205,13 @@ def fit(known: DataFrame, per_list: int = PER_LIST, numbers: int = SAMPLE_NUMBER
 
     Lists and sample grow with the vectors up to that bound; beyond it lists grow in length instead.
     """
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    n, length, dim = known.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("x"))).first()
+    largest = F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double"))))
+    n, top, dim = known.agg(F.count(F.lit(1)), F.max(largest), F.max(F.size("x"))).first()
     if not n:
         return None
+    scale = 2.0 ** -int(np.clip(np.frexp(top)[1], -1000, 1023))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v.cast("double") * scale) * (v.cast("double") * scale)))
+    length = known.agg(F.max(norm)).first()[0]
     size = max(1, numbers // dim)
     # Hashes are uniform: those below a limit are a sample of about the wanted size, without sorting all vectors.
     share = min(1.0, 1.05 * size / n)
@@ -195,7 +219,7 @@ def fit(known: DataFrame, per_list: int = PER_LIST, numbers: int = SAMPLE_NUMBER
     order = np.lexsort((some["h2"].to_numpy(), some["h1"].to_numpy()))[:size]
     if not len(order):
         order, some = np.arange(1), known.select("h1", "h2", "x").limit(1).toArrow()
-    lists = Lists(np.empty((0, 0)), float(length) * (1 + 1e-12))
+    lists = Lists(np.empty((0, 0)), float(length) * (1 + 1e-12), scale=scale)
     plain = _matrix(some["x"])[order]
     x = lists.lift(plain)
     wanted = int(max(1, min(-(-n // per_list), len(x) // LEAST_SAMPLE)))
@@ -224,7 +248,7 @@ def _fit_ratios(lists: Lists, plain: np.ndarray, x: np.ndarray) -> None:
     needed = []
     for at in range(0, len(probes), 64):
         own = probes[at : at + 64]
-        score = plain[own] @ plain.T
+        score = lists.aim(plain[own])[:, :-1] @ (plain * lists.scale).T
         score[np.arange(len(own)), own] = -np.inf
         near = np.argpartition(-score, k - 1, axis=1)[:, :k]
         posted, apart = lists.post(x[near.ravel()])
@@ -267,7 +291,7 @@ def _reads(wanted: DataFrame, shared, bundle_of: np.ndarray, exact: bool) -> Dat
                 # Lists stand in the order of their bundles, so a row's lists of one bundle are neighbours.
                 row, each = np.nonzero(np.ones((len(x), len(lists.centroids)), bool) if exact else np.isfinite(lists.search(x)))
                 bundle = bundle_of[each]
-                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])]))
+                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])])[: len(row)])
                 of = pa.ListArray.from_arrays(pa.array([*starts, len(row)], pa.int32()), pa.array(each, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(bundle[starts]), of, *batch.take(pa.array(row[starts])).columns], names=["bundle", "lists", *batch.schema.names])
 
@@ -341,12 +365,14 @@ def _read_part(k: int):
             wanted, row = wanted[order], row[order]
             lo, hi = np.searchsorted(wanted, names), np.searchsorted(wanted, names, "right")
             score = np.full((len(q), len(v)), -np.inf)
+            read = np.zeros(score.shape, bool)
             for a, b, i, j in zip(lo, hi, starts, ends):
                 if a < b:
-                    score[row[a:b], i:j] = q[row[a:b]] @ v[i:j].T
+                    score[row[a:b], i:j] = products(q[row[a:b]], v[i:j])
+                    read[row[a:b], i:j] = True
             m = min(COPIES * (k + 1), len(v))  # a vector may stand in that many lists of a bundle
             least = np.partition(score, len(v) - m, axis=1)[:, len(v) - m]
-            near, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            near, col = np.nonzero((score >= least[:, None]) & read)
             n = n_ids[col]
             each = np.repeat(at_id[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found = _best(np.repeat(near, n), flat[each], np.repeat(score[near, col], n), k + 1)
@@ -386,7 +412,8 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
 
     Ids are whole numbers; ``is_query`` is a condition on ``_id``. Vectors that are null, zero, of null or
     non-finite components, without an id or of another than the commonest dimension take no part. Ties go to
-    the smaller id; a query never finds its own id. Repeated rows count once, and so does an id with several
+    the smaller id; a query never finds its own id. Components of any finite size take part: a product beyond a
+    double's range counts as infinite (or zero), and such products tie. Repeated rows count once, and so does an id with several
     vectors, at its best score; as a query, such an id is answered for each. ``exact`` reads all
     lists, for measuring recall. Empty tables give no rows. Other columns take no part.
     """
