@@ -104,7 +104,10 @@ def nearest_rank(values: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """n, median, p90 and max per group, each the sorted value at index floor(n * q): no interpolation.
 
     One sort within groups by (group, value), with the rank taken by a window; no group is collected into an array.
+    Without groups see ``overall_rank``.
     """
+    if not by:
+        return overall_rank(values, value)
     x = values.select(*by, value.alias("_v")).filter("_v is not null")
     w = Window.partitionBy(*by)
     x = x.withColumns({"_r": F.row_number().over(w.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(w)})
@@ -112,6 +115,30 @@ def nearest_rank(values: DataFrame, value: Column, by: list[str]) -> DataFrame:
     return x.groupBy(*by).agg(F.max("_n").alias("n"), at(F.floor(F.col("_n") / 2)).alias("median"), at(F.floor(F.col("_n") * F.lit(0.9))).alias("p90"), F.max("_v").alias("max"))
 
 
+def overall_rank(values: DataFrame, value: Column) -> DataFrame:
+    """n, median, p90 and max over all rows by exact selection: nowhere do all values meet in a task.
+
+    Equal values are counted before any shuffle and the distinct ones dealt by range; the ranges' counts, one number
+    each, tell which ranges hold the wanted indexes, and only those are ranked. Nulls take no part; without values all is null and n is 0.
+    """
+    spark = values.sparkSession
+    x = values.select(value.alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    x = x.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_v")
+    x = checkpoint(x.withColumn("_p", F.spark_partition_id()))
+    counts = sorted((r["_p"], r["n"]) for r in x.groupBy("_p").agg(F.sum("_n").alias("n")).collect())  # one row a range
+    n = sum(c for _, c in counts)
+    at = {"median": n // 2, "p90": int(n * 0.9), "max": n - 1}
+    start, starts = 0, {}
+    for p, c in counts:
+        starts[p] = start
+        start += c
+    holds = {name: max((p for p, s in starts.items() if s <= i), default=-1) for name, i in at.items()}
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = x.filter(F.col("_p").isin(*holds.values())).withColumn("_upto", upto)
+    picked = [F.min(F.when((F.col("_p") == p) & (F.col("_upto") + starts.get(p, 0) > at[name]), F.col("_v"))).alias(name) for name, p in holds.items()]
+    return ranked.agg(F.lit(n).cast("long").alias("n"), *picked)
+
+
 def in_interval(windows: DataFrame, points: DataFrame, start: str, end: str, time: str, by: str, closed: bool, width_s: float) -> DataFrame:
     """Windows left-joined to the points of the same ``by`` inside them, ends included if ``closed``.
 

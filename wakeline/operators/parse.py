@@ -16,49 +16,49 @@ def _number(x, kind: str, default):
 
 
 def _sentences(lines: DataFrame, *kinds: str) -> DataFrame:
-    """file, pos, kind and the fields ``f`` of the valid sentences of the named kinds; the name is looked at before the checksum is."""
+    """file, pos, kind, hhmmss and the parsed fields of the valid sentences of the named kinds; the name is looked at before the checksum is.
+
+    Fields are cut once and numbers read once: each step is a row of a generator, into which later expressions are not inlined.
+    """
     kind = F.substr(F.col("line"), F.lit(2), F.lit(5))
     x = lines.filter(F.col("line").startswith("$") & kind.isin(*kinds)).filter(nmea.checksum_ok(F.col("line")))
-    return x.select("file", "pos", kind.alias("kind"), nmea.fields(F.col("line")).alias("f"))
-
-
-def _field(i: int):
-    return F.get("f", F.lit(i))
-
-
-def _position():
-    """The position of a row's fields as a struct, null where it is none."""
-    f = _field
+    x = x.select("file", "pos", kind.alias("kind"), F.inline(F.array(F.struct(nmea.fields(F.col("line")).alias("f")))))
+    f = lambda i: F.get("f", F.lit(i))
+    rmc = F.col("kind") == "GPRMC"
+    ts, lat, lon = nmea.timestamp(f(1), f(9)), nmea.degrees(f(3), f(4)), nmea.degrees(f(5), f(6))
     sog, bad_sog = _number(f(7), "double", 0.0)
     cog, bad_cog = _number(f(8), "double", None)
-    ts, lat, lon = nmea.timestamp(f(1), f(9)), nmea.degrees(f(3), f(4)), nmea.degrees(f(5), f(6))
-    usable = (F.col("kind") == "GPRMC") & (F.size("f") >= 10) & (f(2) == "A") & (F.length(f(1)) >= 6) & (F.length(f(9)) == 6)
-    usable = usable & ts.isNotNull() & lat.isNotNull() & lon.isNotNull() & ~(bad_sog | bad_cog)
-    return F.when(usable, F.struct(ts.alias("ts"), lat.alias("lat"), lon.alias("lon"), sog.alias("sog_kn"), cog.alias("cog_deg")))
-
-
-def _quality():
-    """The quality of a row's fields as a struct, null where it is none."""
-    f = _field
     sats, bad_sats = _number(f(7), "int", 0)
     hdop, bad_hdop = _number(f(8), "double", 99.0)
-    quality = f(6).try_cast("int")
-    usable = (F.col("kind") == "GPGGA") & (F.size("f") >= 9) & (f(1) != "") & (f(6) != "") & quality.isNotNull() & ~(bad_sats | bad_hdop)
-    return F.when(usable, F.struct(quality.alias("quality"), sats.alias("sats"), hdop.alias("hdop")))
+    shape = (F.size("f") >= 10) & (f(2) == "A") & (F.length(f(1)) >= 6) & (F.length(f(9)) == 6) & ~(bad_sog | bad_cog)
+    quality_shape = (F.size("f") >= 9) & (f(1) != "") & (f(6) != "") & ~(bad_sats | bad_hdop)
+    parsed = F.struct(
+        F.substr(f(1), F.lit(1), F.lit(6)).alias("hhmmss"), F.when(rmc, shape).otherwise(quality_shape).alias("shape"),
+        *[F.when(rmc, c).alias(n) for n, c in {"ts": ts, "lat": lat, "lon": lon, "sog_kn": sog, "cog_deg": cog}.items()],
+        *[F.when(~rmc, c).alias(n) for n, c in {"quality": f(6).try_cast("int"), "sats": sats, "hdop": hdop}.items()],
+    )
+    return x.select("file", "pos", "kind", F.inline(F.array(parsed))).filter("shape")
 
 
-def _second():
-    return F.substr(_field(1), F.lit(1), F.lit(6)).alias("hhmmss")
+def _position():
+    """The position of a parsed row as a struct, null where it is none."""
+    usable = (F.col("kind") == "GPRMC") & F.col("ts").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return F.when(usable, F.struct("ts", "lat", "lon", "sog_kn", "cog_deg"))
+
+
+def _quality():
+    """The quality of a parsed row as a struct, null where it is none."""
+    return F.when((F.col("kind") == "GPGGA") & F.col("quality").isNotNull(), F.struct("quality", "sats", "hdop"))
 
 
 def positions(lines: DataFrame) -> DataFrame:
     """Valid ``$GPRMC`` rows: file, pos, hhmmss, ts, lat, lon, sog_kn, cog_deg."""
-    return _sentences(lines, "GPRMC").select("file", "pos", _second(), _position().alias("p")).filter("p is not null").select("file", "pos", "hhmmss", "p.*")
+    return _sentences(lines, "GPRMC").select("file", "pos", "hhmmss", _position().alias("p")).filter("p is not null").select("file", "pos", "hhmmss", "p.*")
 
 
 def qualities(lines: DataFrame) -> DataFrame:
     """The last valid ``$GPGGA`` of each file and second of day: file, hhmmss, quality, sats, hdop."""
-    x = _sentences(lines, "GPGGA").select("file", "pos", _second(), _quality().alias("q")).filter("q is not null")
+    x = _sentences(lines, "GPGGA").select("file", "pos", "hhmmss", _quality().alias("q")).filter("q is not null")
     return x.groupBy("file", "hhmmss").agg(F.max_by("q", "pos").alias("q")).select("file", "hhmmss", "q.*")
 
 
@@ -69,7 +69,7 @@ def fixes(lines: DataFrame) -> DataFrame:
     filter rejects later. ``lines`` has file, pos (orders a file's lines) and line. Lines are read once: both
     kinds are dealt by file and second, where the last quality meets the positions.
     """
-    x = _sentences(lines, "GPRMC", "GPGGA").select("file", "pos", _second(), _position().alias("p"), _quality().alias("q")).filter("p is not null or q is not null")
+    x = _sentences(lines, "GPRMC", "GPGGA").select("file", "pos", "hhmmss", _position().alias("p"), _quality().alias("q")).filter("p is not null or q is not null")
     same = Window.partitionBy("file", "hhmmss")
     x = x.withColumn("q", F.max_by("q", F.when(F.col("q").isNotNull(), F.col("pos"))).over(same)).filter("p is not null")
     # Equal times are equal seconds of day, so this needs no other dealing.

@@ -21,6 +21,25 @@ def clip_lines(segs: DataFrame, west: float, south: float, east: float, north: f
     return x.select("line", "c.*")
 
 
+def clip_ways(segs: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """(line, part, pos, x, y): the vertices, in direction, of the parts of each way inside the box, parts counted from 1.
+
+    ``segs`` has line, seg (counts a way's segments without gaps) and ends. A way that leaves the box and comes back is
+    as many parts; one that only touches it has none. A segment goes on with the part before it if it is the next one
+    and starts inside, so at a vertex that is in the box.
+    """
+    x = segs.withColumn("c", clip("ax", "ay", "bx", "by", west, south, east, north)).filter("c is not null")
+    way = Window.partitionBy("line").orderBy("seg")
+    on = (F.lag("seg").over(way) == F.col("seg") - 1) & (F.col("c.ax") == F.col("ax")) & (F.col("c.ay") == F.col("ay"))
+    x = x.withColumn("first", ~F.coalesce(on, F.lit(False)))
+    x = x.withColumn("part", F.sum(F.col("first").cast("long")).over(way))
+    start = F.when(F.col("first"), F.struct(F.col("c.ax").alias("x"), F.col("c.ay").alias("y")))
+    end = F.struct(F.col("c.bx").alias("x"), F.col("c.by").alias("y"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy("line", "part").orderBy("seg")))
+    v = x.select("line", "part", "_at", F.posexplode(F.array(start, end)).alias("_i", "v")).filter("v is not null")
+    return v.select("line", "part", (F.col("_at") - 1 + F.col("_i")).cast("long").alias("pos"), "v.x", "v.y")
+
+
 def split_at_crossings(segs: DataFrame, cell: float) -> DataFrame:
     """(line, seg, ax, ay, bx, by): pieces between crossings and touching ends. ``segs`` has line, seg and ends.
 

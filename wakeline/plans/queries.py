@@ -400,6 +400,13 @@ def asof_percentiles(spark, d):
     return match.nearest_rank(_asof(spark, d, 90), F.round("dist", 6), ["track"])
 
 
+@query(f"""{_ASOF}, z as (select list_sort(list(round(dist, 6))) as a from m where dt <= 90)
+ select len(a) as n, a[len(a) // 2 + 1] as median, a[cast(floor(len(a) * 0.9) as int) + 1] as p90, a[-1] as max from z""")
+def asof_overall(spark, d):
+    """Median, p90 and maximum over all matches of all tracks."""
+    return match.nearest_rank(_asof(spark, d, 90), F.round("dist", 6), [])
+
+
 _PATH = f"""{D}, t as (select track, n, lat as ay, lon * {geo.K0} as ax, lead(lat) over w as b_y, lead(lon) over w * {geo.K0} as bx from g window w as (partition by track order by n)),
  p as (select track, rn as probe, (lat + ((rn * 31) % 17) * 1e-3) as py, lon * {geo.K0} as px from f),
  c as (select p.track, probe, n, px, py, ax, ay, bx, b_y, case when bx = ax and b_y = ay then 0 else greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) end as u from p join t using (track) where bx is not null),
@@ -704,6 +711,19 @@ def clip_bbox(spark, d):
     return c.groupBy("line").agg(F.count(F.lit(1)).alias("parts"), r(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6, "length"))
 
 
+@query(f"""{_CLIP.replace("lead(lon) over w as bx,", "row_number() over w as n, lead(lon) over w as bx,").replace("select line, ax, ay, bx - ax", "select line, n, ax, ay, bx - ax")},
+ i as (select *, lag(n) over w is distinct from n - 1 or lo > 0 as first from l where lo < hi and not outside window w as (partition by line order by n)),
+ g as (select *, sum(case when first then 1 else 0 end) over (partition by line order by n) as part from i)
+ select line, part::bigint as part, count(*) + 1 as points, round(arg_min(ax + lo * dx, n), 9) as x0, round(arg_min(ay + lo * dy, n), 9) as y0, round(arg_max(ax + hi * dx, n), 9) as x1, round(arg_max(ay + hi * dy, n), 9) as y1 from g group by line, part""")
+def clip_parts(spark, d):
+    """Ways cut to a box as lines: every part's number of vertices and its ends, in the way's direction."""
+    w = Window.partitionBy("track").orderBy("t_s", "seq")
+    x = plain(spark, d).select(F.col("track").alias("line"), F.row_number().over(w).alias("seg"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(w).alias("bx"), F.lead("lat").over(w).alias("by"))
+    v = polygons.clip_ways(x.filter("bx is not null"), *_BOX)
+    end = lambda f, c, name: r(f(c, "pos"), 9, name)
+    return v.groupBy("line", "part").agg(F.count(F.lit(1)).alias("points"), end(F.min_by, "x", "x0"), end(F.min_by, "y", "y0"), end(F.max_by, "x", "x1"), end(F.max_by, "y", "y1"))
+
+
 @query(f"{P}, s as (select track, seq, lat, lon, lead(lon) over w as bx, lead(lat) over w as b_y, lag(lon) over w as ax, lag(lat) over w as ay from f window w as (partition by track order by t_s, seq)) select track, seq, (bx - ax) * (lat - ay) - (b_y - ay) * (lon - ax) > 1e-9 as land from s where ax is not null and bx is not null")
 def land_side(spark, d):
     w = Window.partitionBy("track").orderBy("t_s", "seq")

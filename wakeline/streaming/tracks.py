@@ -21,7 +21,7 @@ def accepted(fixes: DataFrame, key: str = "track", time: str = "t_s", watermark:
     """Accepted rows of a stream of fixes with step_m, kept and the track's gated distance so far.
 
     State is six numbers a track. Within a micro-batch rows are taken in order of time; a row that comes in a later
-    batch than a newer one does not advance and is rejected, as in the batch operator. With a ``watermark``
+    batch than a newer one does not advance and is rejected, as in the batch operator; so is one without a time or a position. With a ``watermark``
     (a timestamp column and its delay) a track that has been silent for ``idle`` of event time is forgotten, so state
     stays in proportion to the tracks under way, and its next row starts it anew; without one every track is kept.
     """
@@ -35,6 +35,8 @@ def accepted(fixes: DataFrame, key: str = "track", time: str = "t_s", watermark:
         now = list(state.get) if state.exists else None
         rows = []
         for t, la, lo, kn in pd.concat(pdfs).sort_values("t")[["t", "lat", "lon", "sog_kn"]].itertuples(index=False):
+            if t != t or la != la or lo != lo:
+                continue  # without a time or a position: rejected, as in the batch operator
             if now is None:
                 now = [t, la, lo, la, lo, 0.0]
                 rows.append((*k, t, la, lo, None, True, 0.0))
