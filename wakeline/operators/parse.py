@@ -58,8 +58,12 @@ def positions(lines: DataFrame) -> DataFrame:
 
 def qualities(lines: DataFrame) -> DataFrame:
     """The last valid ``$GPGGA`` of each file and second of day: file, hhmmss, quality, sats, hdop."""
-    x = _sentences(lines, "GPGGA").select("file", "pos", "hhmmss", _quality().alias("q")).filter("q is not null")
-    return x.groupBy("file", "hhmmss").agg(F.max_by("q", "pos").alias("q")).select("file", "hhmmss", "q.*")
+    return quality_rows(lines).groupBy("file", "hhmmss").agg(F.max_by("q", "pos").alias("q")).select("file", "hhmmss", "q.*")
+
+
+def quality_rows(lines: DataFrame) -> DataFrame:
+    """Every valid ``$GPGGA``: file, pos, hhmmss, q (quality, sats, hdop)."""
+    return _sentences(lines, "GPGGA").select("file", "pos", "hhmmss", _quality().alias("q")).filter("q is not null")
 
 
 def fixes(lines: DataFrame) -> DataFrame:

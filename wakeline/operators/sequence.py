@@ -76,47 +76,67 @@ def strided(rows: DataFrame, keys: list[str], order: list[str], step: int = 3) -
     return x.filter((F.col("_i") % step == 0) | (F.col("_i") == F.col("_m") - 1)).drop("_i", "_m")
 
 
+class StopWalk:
+    """One track's search for stops: rows go in by time, stops (start, end, minutes, lat, lon, n) come out.
+
+    From an anchor the run goes on while rows lie within the radius of it; a run of the least time is a stop and the
+    next anchor is the row after it, else the next row is. ``held`` are the rows of the undecided run, the first its
+    anchor, of which the first ``at`` are known to lie within; a run that is long enough already is down to ``sums``: the
+    anchor's time and place, the last time, the number of rows and the sums of their places.
+    """
+
+    def __init__(self, radius_m: float = STOP_M, min_minutes: float = STOP_MIN, held: list | None = None, at: int = 1, sums: list[float] | None = None) -> None:
+        self.radius_m, self.min_minutes = radius_m, min_minutes
+        self.held, self.at, self.sums = held or [], at, sums
+
+    def push(self, t: float, la: float, lo: float) -> list[tuple]:
+        found = []
+        if (s := self.sums) is not None:
+            if haversine_m(s[1], s[2], la, lo) < self.radius_m:
+                s[3:] = [t, s[4] + 1, s[5] + la, s[6] + lo]
+                return found
+            found.append(self._leave())
+        self.held.append((t, la, lo))
+        return found + self._settle(False)
+
+    def end(self) -> list[tuple]:
+        found = [self._leave()] if self.sums is not None else []
+        return found + self._settle(True)
+
+    def _leave(self) -> tuple:
+        s, self.sums = self.sums, None
+        return s[0], s[3], (s[3] - s[0]) / 60, s[5] / s[4], s[6] / s[4], int(s[4])
+
+    def _settle(self, done: bool) -> list[tuple]:
+        found = []
+        while self.held:
+            held, a = self.held, self.held[0]
+            while self.at < len(held) and haversine_m(a[1], a[2], held[self.at][1], held[self.at][2]) < self.radius_m:
+                self.at += 1
+            at = self.at
+            long = (held[at - 1][0] - a[0]) / 60 >= self.min_minutes
+            if at == len(held) and not done and not long:
+                break
+            self.at = 1
+            if not long:
+                self.held = held[1:]
+                continue
+            self.sums = [*a, held[at - 1][0], at, sum(p[1] for p in held[:at]), sum(p[2] for p in held[:at])]
+            self.held = held[at:]
+            if not self.held and not done:
+                break
+            found.append(self._leave())
+        return found
+
+
 def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None, radius_m: float = STOP_M, min_minutes: float = STOP_MIN) -> DataFrame:
-    """key, start_s, end_s, minutes, lat, lon, n of stationary runs: greedy, anchored, not overlapping.
+    """key, start_s, end_s, minutes, lat, lon, n of stationary runs: greedy, anchored, not overlapping (see StopWalk).
 
-    From an anchor the run goes on while rows lie within ``radius_m`` of it; a run of ``min_minutes``
-    is a stop and the next anchor is the row after it, else the next row is. Only rows of the
-    undecided run are held: one that is long enough already is down to its sums. Null keys are a track like any other;
-    rows without a time or a position take no part.
+    Only rows of the undecided run are held. Null keys are a track like any other; rows without a time or a position take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        track, held, at, found, kind, seen = None, [], 1, [], None, None
-        sums: list[float] | None = None  # anchor t, la, lo, last t, n, sum la, sum lo of a run that is a stop already
-
-        def leave() -> None:
-            nonlocal sums
-            found.append((track, sums[0], sums[3], (sums[3] - sums[0]) / 60, sums[5] / sums[4], sums[6] / sums[4], sums[4]))
-            sums = None
-
-        def settle(done: bool) -> None:
-            nonlocal held, at, sums
-            while held:
-                a = held[0]
-                while at < len(held) and haversine_m(a[1], a[2], held[at][1], held[at][2]) < radius_m:
-                    at += 1
-                long = (held[at - 1][0] - a[0]) / 60 >= min_minutes
-                if at == len(held) and not done and not long:
-                    return
-                if long:
-                    sums = [*a, held[at - 1][0], at, sum(p[1] for p in held[:at]), sum(p[2] for p in held[:at])]
-                    held, at = held[at:], 1
-                    if held or done:
-                        leave()
-                    else:
-                        return
-                else:
-                    held, at = held[1:], 1
-
-        def end() -> None:
-            if sums is not None:
-                leave()
-            settle(True)
+        walk, found, track, kind, seen = StopWalk(radius_m, min_minutes), [], None, None, None
 
         def rows() -> pa.RecordBatch:
             nonlocal found
@@ -130,17 +150,11 @@ def stops(fixes: DataFrame, key: str, time: str, order: list[str] | None = None,
                 if t is None or la is None or lo is None:
                     continue
                 if key_ != seen:
-                    end()
-                    seen, track, held, at = key_, own, [], 1
-                if sums is not None:
-                    if haversine_m(sums[1], sums[2], la, lo) < radius_m:
-                        sums[3:] = [t, sums[4] + 1, sums[5] + la, sums[6] + lo]
-                        continue
-                    leave()
-                held.append((t, la, lo))
-                settle(False)
+                    found += [(track, *s) for s in walk.end()]
+                    seen, track, walk = key_, own, StopWalk(radius_m, min_minutes)
+                found += [(track, *s) for s in walk.push(t, la, lo)]
             yield rows()
-        end()
+        found += [(track, *s) for s in walk.end()]
         if found:
             yield rows()
 

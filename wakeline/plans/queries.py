@@ -14,6 +14,7 @@ from wakeline.operators import days, graph, match, offset, parse, polygons, qual
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
 from wakeline.session import ensure_checkpoint_dir, table
 from wakeline.sources import tracks
+from wakeline.streaming import sentences, stops as live_stops
 from wakeline.streaming import tracks as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,7 @@ def rounded_csv_filter(spark, d):
 _DM = "cast({deg} as bigint)"
 
 
-def _sentences(spark, d):
+def _sentences(spark, d, *more):
     """Two sentences per fix: position, then quality; every tenth quality sentence is followed by a later one that overrides it."""
     x = plain(spark, d).withColumn("when", F.timestamp_seconds(F.floor("t_s")))
     dm = lambda v, w: F.concat(F.lpad(F.floor(F.abs(v)).cast("int").cast("string"), w, "0"), F.lpad(nmea.fixed((F.abs(v) - F.floor(F.abs(v))) * 60, 4), 7, "0"))
@@ -80,9 +81,9 @@ def _sentences(spark, d):
     rmc = F.concat(F.lit("GPRMC,"), time, F.lit(".000,A,"), at, F.lit(","), nmea.fixed(F.col("sog_kn"), 2), F.lit(",,"), F.date_format("when", "ddMMyy"), F.lit(",,"))
     gga = lambda q: F.concat(F.lit("GPGGA,"), time, F.lit(".000,"), at, F.lit(","), q.cast("string"), F.lit(","), F.lpad(F.col("sats").cast("string"), 2, "0"), F.lit(","), nmea.fixed(F.col("hdop"), 2), F.lit(",3.0,M,,M,,"))
     lines = F.array(F.struct(F.lit(0).alias("i"), rmc.alias("b")), F.struct(F.lit(1).alias("i"), gga(F.col("quality")).alias("b")), F.when(F.col("seq") % 10 == 0, F.struct(F.lit(2).alias("i"), gga(F.lit(6)).alias("b"))))
-    x = x.select(F.col("track").cast("string").alias("file"), (F.col("seq") * 4).alias("at"), F.explode(F.array_compact(lines)).alias("s"))
+    x = x.select(*more, F.col("track").cast("string").alias("file"), (F.col("seq") * 4).alias("at"), F.explode(F.array_compact(lines)).alias("s"))
     sum_ = F.lpad(F.hex(nmea.checksum(F.col("s.b")).cast("long")), 2, "0")
-    return x.select("file", (F.col("at") + F.col("s.i")).alias("pos"), F.concat(F.lit("$"), F.col("s.b"), F.lit("*"), sum_).alias("line"))
+    return x.select(*more, "file", (F.col("at") + F.col("s.i")).alias("pos"), F.concat(F.lit("$"), F.col("s.b"), F.lit("*"), sum_).alias("line"))
 
 
 def _dm_sql(v: str, w: int) -> str:
@@ -869,6 +870,57 @@ def stream_clean(spark, d):
     return spark.read.parquet(f"{folder}/out").select("track", r("t", 3), r("step_m", 3), "kept")
 
 
+def _replayed(spark, rows, time: str, last, parts: int = 3):
+    """``rows`` as a stream of files in order of ``time``, one a micro-batch; ``last`` is a later row that lets watermarks pass the others."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    cuts = rows.select(F.unix_micros(time).alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    part = F.least(F.floor((F.unix_micros(time) - F.lit(cuts["a"])) / F.lit(max(1, (cuts["b"] or 0) - (cuts["a"] or 0))) * parts), F.lit(parts - 1))
+    for k in range(parts):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    after = F.timestamp_micros(F.lit((cuts["b"] or 0) + 3 * 86_400_000_000))
+    for k in range(2):
+        last(after).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+def _run(spark, stream, folder: str):
+    """Runs a stream until it has caught up and reads what it wrote."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(f"""{P}, x as (select track::varchar as file, seq, floor(t_s)::bigint as t, case when seq % 10 = 0 then 6 else quality end as q, sats, hdop from f)
+ select file as track, t, arg_max(q, seq) as quality, arg_max(sats, seq) as sats, round(arg_max(printf('%.2f', hdop)::double, seq), 2) as hdop from x group by all""")
+def stream_nmea_join(spark, d):
+    """Position and quality sentences as two streams, joined by file and second; files replayed in order of time."""
+    lines = _sentences(spark, d, "when").withColumnRenamed("when", "received")
+    marks = ["GPRMC,{}.000,A,2600.0000,N,07700.0000,W,1.00,,{},,", "GPGGA,{}.000,2600.0000,N,07700.0000,W,1,08,1.00,3.0,M,,M,,"]
+
+    def last(after):
+        body = F.array(*[F.format_string(m.replace("{}", "%s"), F.date_format(after, "HHmmss"), F.date_format(after, "ddMMyy")) for m in marks])
+        x = spark.range(1).select(after.alias("received"), F.explode(body).alias("b"))
+        return x.select("received", F.lit("end").alias("file"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("$"), "b", F.lit("*"), F.lpad(F.hex(nmea.checksum(F.col("b")).cast("long")), 2, "0")).alias("line")).coalesce(1)
+
+    stream, folder = _replayed(spark, lines, "received", last)
+    out = _run(spark, sentences.join_quality(sentences.positions(stream), sentences.qualities(stream)), folder)
+    return out.filter("track != 'end'").select("track", F.unix_timestamp("ts").alias("t"), "quality", "sats", r("hdop", 2))
+
+
+@query(ORACLE["stops"])
+def stream_stops(spark, d):
+    """Stops of a stream of fixes, replayed in order of time; a timer closes what is silent."""
+    good = with_time(quality.keep_good(dense(spark, d))).select("track", "ts", "lat", "lon")
+    last = lambda after: spark.range(1).select(F.lit(-1).cast("long").alias("track"), after.alias("ts"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")).coalesce(1)
+    stream, folder = _replayed(spark, good, "ts", last)
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_stops.STORE)
+    try:
+        x = _run(spark, live_stops.stops(stream), folder)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return x.select("track", r("start_s", 3), r("end_s", 3), r("minutes"), "n", r("lat", 8), r("lon", 8))
+
+
 # corroboration: a voyage is five tracks, each a day of it, against a tracker that reports day and night; all over the loaded points
 
 _DAY_S = 86400
