@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.geo import NM_M, haversine
+from wakeline.session import checkpoint
 
 # Gates of distance and of moving speed, in knots.
 MOVING_KN, AVERAGE_KN = 0.5, 0.8
@@ -46,7 +47,7 @@ def farthest_point(points: DataFrame, key: str, order: str, chart: str, mine: in
     At most ``candidates`` evenly spaced points of a track are held against every second point of the chart's
     other tracks, and against the places ``avoid`` ((lon, lat), a short fixed list). A track named in ``manual``
     (key, lat, lon) takes that position, with neither order nor distance. A track alone on its chart has none.
-    Charts meet by equality; the minimum is taken in part before the shuffle.
+    Candidates go down a grid of the chart with bounds (see ``nearest_other``) instead of meeting all its points.
     """
     w = Window.partitionBy(key).orderBy(order)
     p = points.select(chart, key, order, "lat", "lon", (F.row_number().over(w) - 1).alias("i"), (F.col("lon") * F.cos(F.radians("lat"))).alias("x"), F.col("lat").alias("y"))
@@ -55,13 +56,54 @@ def farthest_point(points: DataFrame, key: str, order: str, chart: str, mine: in
     own = own.filter(F.col("k") % F.greatest(F.lit(1), F.floor(F.col("m") / candidates)) == 0)
     if manual is not None:
         own = own.join(manual.select(key), key, "left_anti")
-    rest = p.filter(F.col("i") % others == 0).select(chart, F.col(key).alias("_key"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = own.join(rest, chart).filter(F.col(key) != F.col("_key")).groupBy(key, order, "lat", "lon", "k").agg(F.min(F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"))).alias("dist"))
-    if avoid:
-        x, y = F.col("lon") * F.cos(F.radians("lat")), F.col("lat")
-        d = d.withColumn("dist", F.least("dist", *[F.hypot(x - lon * math.cos(math.radians(lat)), y - lat) for lon, lat in avoid]))
+    kept_off = [F.hypot(F.col("x") - lon * math.cos(math.radians(lat)), F.col("y") - lat) for lon, lat in avoid]
+    own = own.withColumn("most", F.least(*kept_off, F.lit(float("inf"))) if kept_off else F.lit(float("inf")))
+    rest = p.filter(F.col("i") % others == 0).select(chart, key, "x", "y")
+    d = nearest_other(own.select(chart, key, order, "lat", "lon", "k", "x", "y", "most"), rest, key, chart).groupBy(key, order, "lat", "lon", "k").agg(F.min("dist").alias("dist"))
     best = d.groupBy(key).agg(F.max_by(F.struct(order, "lat", "lon", "dist"), F.struct(F.round("dist", 9), -F.col("k"))).alias("b")).select(key, "b.*")
     if manual is not None:
         none = {c: F.lit(None).cast(t) for c, t in best.dtypes if c not in (key, "lat", "lon")}
         best = best.unionByName(manual.select(key, "lat", "lon").withColumns(none))
     return best
+
+
+#: A grid's cells are parted SPLIT by SPLIT from one level to the next, down to about LEAF places a cell; DEEPEST levels at most.
+SPLIT, LEAF, DEEPEST = 4, 8, 8
+#: Distances that differ by less are told apart by the exact ones alone.
+CLOSE = 1e-8
+
+
+def nearest_other(own: DataFrame, rest: DataFrame, key: str, chart: str) -> DataFrame:
+    """``own`` with ``dist``, the distance to a point of ``rest`` of another track of the chart, or ``most`` if less; the least one a row counts.
+
+    ``own`` has chart, key, k, x, y and ``most``. Only rows that can be their track's farthest are answered, each with
+    the points that can be its nearest. A cell of the chart's grid bounds the distance to what it holds from below by
+    its square, and from above by one point in it of each of two tracks. Level by level cells beyond the least upper bound go,
+    then rows whose own upper bound lies below another row's lower bound of the same track. Points at one place are one.
+    """
+    at = rest.groupBy(chart, F.col("x").alias("ox"), F.col("y").alias("oy")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    box = at.groupBy(chart).agg(F.min("ox").alias("x0"), F.min("oy").alias("y0"), F.greatest(F.max("ox") - F.min("ox"), F.max("oy") - F.min("oy"), F.lit(1e-9)).alias("size"), F.count(F.lit(1)).alias("_n"))
+    at, box = checkpoint(at), checkpoint(box)
+    most = box.agg(F.max("_n")).first()[0] or 1
+    levels = min(DEEPEST, max(1, math.ceil(math.log(max(1.0, most / LEAF), SPLIT**2))))
+    at = at.join(box.drop("_n"), chart)
+    place = lambda c, c0, level: F.least(F.floor((F.col(c) - F.col(c0)) / F.col("size") * SPLIT**level), F.lit(SPLIT**level - 1)).cast("long")
+    one = Window.partitionBy(key, "k")
+    pairs = own.withColumn("upper", F.col("most"))
+    cols = [*own.columns, "upper", "cx", "cy"]
+    for level in range(1, levels + 1):
+        own_key = [chart] if level == 1 else [chart, "px", "py"]
+        cells = at.groupBy(chart, place("ox", "x0", level).alias("cx"), place("oy", "y0", level).alias("cy")).agg(F.first("x0").alias("x0"), F.first("y0").alias("y0"), F.first("size").alias("size"), F.min_by(F.struct("lo", "ox", "oy"), "lo").alias("a"), F.max_by(F.struct("hi", "ox", "oy"), "hi").alias("b"))
+        cells = cells.withColumns({"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)})
+        met = (pairs if level == 1 else pairs.withColumnsRenamed({"cx": "px", "cy": "py"})).join(cells, own_key).filter((F.col("a.lo") != F.col(key)) | (F.col("b.hi") != F.col(key)))
+        side = F.col("size") / SPLIT**level
+        off = lambda v, c0, c: F.greatest(F.lit(0.0), F.col(c0) + F.col(c) * side - F.col(v), F.col(v) - F.col(c0) - (F.col(c) + 1) * side)  # noqa: E731, B023
+        reach = lambda rep, name: F.when(F.col(f"{rep}.{name}") != F.col(key), F.hypot(F.col(f"{rep}.ox") - F.col("x"), F.col(f"{rep}.oy") - F.col("y")))
+        met = met.withColumns({"lower": F.hypot(off("x", "x0", "cx"), off("y", "y0", "cy")), "upper": F.least("upper", reach("a", "lo"), reach("b", "hi"))})
+        met = met.withColumns({"upper": F.min("upper").over(one), "nearest": F.min("lower").over(one)}).withColumn("least", F.least("most", "nearest"))
+        met = met.filter((F.col("lower") <= F.col("upper") + CLOSE) | (F.col("lower") == F.col("nearest")))  # one cell stays where ``most`` decides
+        met = met.withColumn("beaten", F.max(F.least("least", "upper")).over(Window.partitionBy(key))).filter(F.col("upper") >= F.col("beaten") - CLOSE)
+        pairs = checkpoint(met.select(*cols))
+    points = at.select(chart, place("ox", "x0", levels).alias("cx"), place("oy", "y0", levels).alias("cy"), "ox", "oy", "lo", "hi")
+    found = pairs.join(points, [chart, "cx", "cy"]).filter((F.col("lo") != F.col(key)) | (F.col("hi") != F.col(key)))
+    return found.withColumn("dist", F.least("most", F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")))).select(*own.columns, "dist")
