@@ -1,7 +1,11 @@
-"""Road graphs: edges from ways, nearest nodes, shortest paths by relaxation."""
+"""Road graphs: edges from ways, nearest nodes, shortest paths by relaxation or region by region."""
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +65,112 @@ def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000, tar
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
+#: Nodes of a region, about.
+PER_REGION = 20_000
+LABELS = "part long, node long, dist double, prev long"
+
+
+def _flat(node):
+    """A node (lat, lon in millionths) as one number."""
+    return F.col(f"{node}.lat") * 1_000_000_000 + F.col(f"{node}.lon")
+
+
+def _curve(node):
+    """A node's place on a curve that keeps neighbours together: the bits of latitude and longitude in turn."""
+
+    def spread(c):
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    half = lambda c, least: F.shiftright((F.col(f"{node}.{c}") + least).cast("long"), 1)  # noqa: E731  31 bits at most
+    return F.shiftleft(spread(half("lat", 90_000_000)), 1).bitwiseOR(spread(half("lon", 180_000_000)))
+
+
+def _settle(key: tuple, rows: pa.Table, edges: pa.Table) -> pa.Table:
+    """A region's labels, the new ones among them, and its edges -> improved labels, and labels for nodes of other regions."""
+    part = key[0].as_py()
+    order = np.argsort(edges["src"].to_numpy(), kind="stable")
+    src, dst, w, to = (edges[c].to_numpy()[order] for c in ("src", "dst", "w", "to"))
+    names, starts = np.unique(src, return_index=True)
+    at = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(src)], strict=True), strict=True))
+    dst, w, to = dst.tolist(), w.tolist(), to.tolist()
+    label, fresh = {}, []
+    for node, dist, prev, new in zip(*(rows[c].to_pylist() for c in ("node", "dist", "prev", "new")), strict=True):
+        if new:
+            fresh.append((dist, prev, node))
+        else:
+            label[node] = dist, prev
+    improved, sent, queue = set(), {}, []
+    never = (float("inf"), 0)
+    for dist, prev, node in fresh:
+        if (dist, prev) < label.get(node, never):
+            if dist < label.get(node, never)[0]:
+                heapq.heappush(queue, (dist, node))
+            label[node] = dist, prev
+            improved.add(node)
+    while queue:
+        dist, node = heapq.heappop(queue)
+        if dist > label[node][0]:
+            continue  # stale
+        i, j = at.get(node, (0, 0))
+        for k in range(i, j):
+            far, other = dist + w[k], dst[k]
+            known = label if to[k] == part else sent
+            old = known.get(other, never)
+            if far < old[0] or (far == old[0] and node < old[1] and w[k] > 0):
+                known[other] = far, node
+                if known is label:
+                    improved.add(other)
+                    if far < old[0]:
+                        heapq.heappush(queue, (far, other))
+    targets = dict(zip(dst, to, strict=True))
+    out = [(part, n, *label[n]) for n in improved] + [(targets[n], n, *v) for n, v in sent.items()]
+    columns = [*zip(*out, strict=True)] or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    return pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([True] * len(improved) + [False] * len(sent))], names=["part", "node", "dist", "prev", "own"])
+
+
+def regional_distances(graph: DataFrame, starts: DataFrame, target: DataFrame | None = None, per_region: int = PER_REGION, max_rounds: int = 10_000) -> DataFrame:
+    """(node, dist, prev) as ``distances`` gives them, for road graphs of any size: rounds follow from regions, not from hops.
+
+    Nodes are (lat, lon) in millionths, dealt by range along a curve that keeps neighbours together, about ``per_region`` a
+    region. A round runs a priority queue inside every region that has new labels, from those alone, and hands labels
+    of nodes beyond its border to their regions; regions without news rest. Equal distances keep the smaller
+    predecessor. With a ``target`` (node) labels that are no nearer than it are not handed on.
+    """
+    best = checkpoint(graph.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    ends = best.select(F.col("src").alias("n")).unionByName(best.select(F.col("dst").alias("n"))).distinct()
+    first = starts.select(F.struct(F.col("node.lat").cast("long").alias("lat"), F.col("node.lon").cast("long").alias("lon")).alias("n"))
+    nodes = checkpoint(ends.select(F.struct(F.col("n.lat").cast("long").alias("lat"), F.col("n.lon").cast("long").alias("lon")).alias("n")).unionByName(first).distinct())
+    regions = max(1, -(-nodes.count() // per_region))
+    nodes = nodes.select(_flat("n").alias("node"), _curve("n").alias("_z"), "n").repartitionByRange(regions, "_z")
+    nodes = checkpoint(nodes.select("node", "n", F.spark_partition_id().cast("long").alias("part")))
+    place = nodes.select("node", "part")
+    edges = best.select(_flat("src").alias("src"), _flat("dst").alias("dst"), "w")
+    edges = checkpoint(edges.join(place.withColumnRenamed("node", "src"), "src").join(place.select(F.col("node").alias("dst"), F.col("part").alias("to")), "dst").select(F.col("part").alias("region"), "src", "dst", "w", "to"))
+    inbox = checkpoint(starts.select(_flat("node").alias("node")).distinct().join(place, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
+    goal = None if target is None else checkpoint(target.select(_flat("node").alias("node")).distinct())
+    known = inbox.limit(0)
+    for _ in range(max_rounds):
+        if inbox.isEmpty():
+            back = nodes.select("node", "n")
+            out = known.join(back, "node").select(F.col("n").alias("node"), "dist", "prev").join(back.select(F.col("node").alias("prev"), F.col("n").alias("_p")), "prev")
+            return out.select("node", "dist", F.col("_p").alias("prev"))
+        active = inbox.select("part").distinct()
+        rows = known.join(active, "part", "left_semi").withColumn("new", F.lit(False)).unionByName(inbox.withColumn("new", F.lit(True)))
+        out = checkpoint(rows.groupBy("part").cogroup(edges.join(active.withColumnRenamed("part", "region"), "region", "left_semi").groupBy("region")).applyInArrow(_settle, f"{LABELS}, own boolean"))
+        better = out.filter("own").drop("own")
+        known = checkpoint(known.join(better.select("node"), "node", "left_anti").select(*better.columns).unionByName(better))
+        news = out.filter("not own").groupBy("part", "node").agg(F.min(F.struct("dist", "prev")).alias("s"))
+        old = known.select("node", F.struct("dist", "prev").alias("_old"))
+        news = news.join(old, "node", "left").filter("_old is null or s < _old").select("part", "node", "s.dist", "s.prev")
+        if goal is not None and (there := known.join(goal, "node").agg(F.max("dist")).first()[0]) is not None:
+            news = news.filter(F.col("dist") <= there)
+        inbox = checkpoint(news)
+    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+
+
 def routes(reached: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, node, back): every node on the way to each of ``targets`` (node), ``back`` steps before it.
 

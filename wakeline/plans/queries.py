@@ -656,6 +656,39 @@ def shortest_path(spark, d):
     return x.select((F.col("node.lat") * 1000000000 + F.col("node.lon")).alias("node"), r("dist", 3))
 
 
+# a street grid whose side grows with the events: an event is a crossing, with streets east and, mostly, north
+
+_GRID = f"""with recursive s as (select greatest(2, floor(sqrt(count(*)))::bigint) as side from events), c as (select event_id as k, event_type, event_id % side as i, event_id // side as j, side from events, s where event_id // side < side),
+ pl as (select *, 26000000 + 900 * i + (k * 7919) % 300 as la, -77000000 + 900 * j + (k * 104729) % 300 as lo from c),
+ g as (select a.k as ka, b.k as kb, a.la, a.lo, b.la as lb, b.lo as ob from pl a join pl b on (b.k = a.k + 1 and b.j = a.j) or (b.k = a.k + a.side and (a.event_type <> 'purchase' or a.i = 0))),
+ e as (select *, {hav_sql('la / 1e6', 'lo / 1e6', 'lb / 1e6', 'ob / 1e6')} as w from g), u as (select la * 1000000000 + lo as a, lb * 1000000000 + ob as b, w from e union all select lb * 1000000000 + ob, la * 1000000000 + lo, w from e)"""
+
+
+def _grid(spark, d):
+    """(src, dst, w) of the street grid, through ways of two points."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    # One row on the right: the side of the grid.
+    side = e.agg(F.greatest(F.lit(2), F.floor(F.sqrt(F.count(F.lit(1))))).cast("long").alias("side"))
+    c = e.crossJoin(F.broadcast(side)).select("event_id", "event_type", F.expr("event_id % side").alias("i"), F.expr("event_id div side").alias("j"), "side").filter("j < side")
+    at = F.struct(((26_000_000 + 900 * F.col("i") + F.col("event_id") * 7919 % 300) / 1e6).alias("lat"), ((-77_000_000 + 900 * F.col("j") + F.col("event_id") * 104729 % 300) / 1e6).alias("lon"))
+    c = c.select("event_id", "event_type", "i", "j", "side", at.alias("at"))
+    ends = c.select(F.col("event_id").alias("to"), F.col("at").alias("far"))
+    north = F.when((F.col("event_type") != "purchase") | (F.col("i") == 0), F.col("event_id") + F.col("side"))
+    east = F.when(F.col("i") + 1 < F.col("side"), F.col("event_id") + 1)
+    met = c.select("event_id", "at", F.explode(F.array_compact(F.array(east, north))).alias("to")).join(ends, "to")
+    return graph.edges(met.select(F.create_map(F.lit("highway"), F.lit("residential")).alias("tags"), F.array("at", "far").alias("points")))
+
+
+@query(_GRID + """, s0 as (select la * 1000000000 + lo as a from pl where k = 0),
+ t(n, dist) using key (n) as (select a, 0.0::double from s0 union select b, min(t.dist + u.w) from t join u on t.n = u.a left join recurring.t r on r.n = u.b where r.dist is null or t.dist + u.w < r.dist group by b)
+ select n as node, round(dist, 2) as dist from t""")
+def road_distances(spark, d):
+    """Distances from the first crossing of a street grid to every other, region by region."""
+    first = spark.createDataFrame([((26_000_000, -77_000_000),)], "node struct<lat:bigint,lon:bigint>")
+    x = graph.regional_distances(_grid(spark, d), first)
+    return x.select((F.col("node.lat") * 1000000000 + F.col("node.lon")).alias("node"), r("dist", 2))
+
+
 @query(_edges_sql("k % 3 = 1 and k % 7 <> 0") + _REACH.format(rounds=_bellman(24)) + "select distinct a as node from u where a not in (select n from r24)")
 def unreachable(spark, d):
     """Nodes of the service roads that no chain of service roads leads to."""
