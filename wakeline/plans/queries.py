@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions import clock, geo, nmea
-from wakeline.operators import days, graph, match, offset, parse, polygons, quality, report, sequence
+from wakeline.operators import days, graph, match, offset, parse, polygons, quality, raster, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
 from wakeline.session import ensure_checkpoint_dir, table
 from wakeline.sources import tracks
+from wakeline.store import stored
 from wakeline.streaming import sentences, stops as live_stops
 from wakeline.streaming import tracks as live
 
@@ -536,6 +537,27 @@ def trim_loops(spark, d):
     return offset.trim_folds(_shifted(spark, d), "track", "n").select("track", "n", r(F.col("x") / geo.K0, 8, "lon"), r("y", 8, "lat"))
 
 
+_CELL = 0.0037
+
+
+def _drawn_sql(name: str, x: str, y: str) -> str:
+    """CTE of the cells that the lines through (x, y) of ``drawn`` pass."""
+    return f"""{name}s as (select * from (select track, {x} as ax, {y} as ay, lead({x}) over w as bx, lead({y}) over w as b_y from drawn window w as (partition by track order by n)) where bx is not null),
+ {name}c as (select *, unnest(range(floor(least(ax, bx) / {_CELL})::bigint, floor(greatest(ax, bx) / {_CELL})::bigint + 1)) as cx from {name}s),
+ {name}y as (select track, cx, case when bx = ax then ay else ay + (greatest(least(ax, bx), cx * {_CELL}) - ax) / (bx - ax) * (b_y - ay) end as lo, case when bx = ax then b_y else ay + (least(greatest(ax, bx), (cx + 1) * {_CELL}) - ax) / (bx - ax) * (b_y - ay) end as hi from {name}c),
+ {name} as (select distinct track, cx, unnest(range(floor(least(lo, hi) / {_CELL})::bigint, floor(greatest(lo, hi) / {_CELL})::bigint + 1)) as cy from {name}y)"""
+
+
+@query(f"""{_SHIFT}, drawn as (select track, n, x, y, x + nx_ * (-0.0015 * scale) as qx, y + ny_ * (-0.0015 * scale) as qy from y), {_drawn_sql('before', 'x', 'y')}, {_drawn_sql('after', 'qx', 'qy')},
+ d as (select track, cx, cy, 1 as s from (select * from before except select * from after) union all select track, cx, cy, 2 from (select * from after except select * from before))
+ select track, floor(cx / 64)::bigint as tx, floor(cy / 64)::bigint as ty, count(*) filter (where s = 1) as removed, count(*) filter (where s = 2) as added from d group by all""")
+def render_difference(spark, d):
+    """Tracks drawn with and without the corridor's offset: the cells of each tile that change."""
+    q = _shifted(spark, d)
+    drawn = lambda x, y: raster.cells(raster.segments(q, ["track"], "n", x, y), ["track"], _CELL)
+    return raster.difference(drawn("x", "y"), drawn("qx", "qy"), ["track"])
+
+
 _CROSS = f"""{D}, t as (select track, n, lon as ax, lat as ay, lead(lon) over w as bx, lead(lat) over w as b_y from g window w as (partition by track order by n)),
  c as (select a.track, a.n as i, b.n as j, a.ax, a.ay, a.bx - a.ax as rx, a.b_y - a.ay as ry, b.ax as qx, b.ay as qy, b.bx - b.ax as sx, b.b_y - b.ay as sy from t a join t b on a.track = b.track and b.n >= a.n + 2 and b.n < a.n + 80 where a.bx is not null and b.bx is not null),
  e as (select *, rx * sy - ry * sx as den from c), x as (select track, i, j, ((qx - ax) * sy - (qy - ay) * sx) / den as t, ((qx - ax) * ry - (qy - ay) * rx) / den as u from e where den <> 0)"""
@@ -721,6 +743,15 @@ def road_route(spark, d):
     return x.select("place", r("lat"), r("lon"), r("metres", 3))
 
 
+@query(ORACLE["road_route"])
+def road_route_stored(spark, d):
+    """The same way from the result store: made once for its ends and the version of the table, then read."""
+    ends = (26.4012, -77.0991), (26.4377, -77.0613)
+    make = lambda: graph.route(graph.edges(_ways(spark, d), graph.WALKABLE), *ends)
+    x = stored(spark, f"{ensure_checkpoint_dir(spark)}/results", "route", {"ends": ends, "profile": "walk"}, [f"{d}/nation.parquet"], make)
+    return x.select("place", r("lat"), r("lon"), r("metres", 3))
+
+
 # planar geometry
 
 _BOX = (-77.15, 26.35, -77.0, 26.6)
