@@ -268,7 +268,8 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "la
     hit = F.crc32(named["id"].cast("string").cast("binary")) % TAMPER == 0
     grp = F.when(F.col(group_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group_col).cast("string")))
     rows = docs.select(named["id"].alias("id"), grp.alias("grp"), leaf([F.col(f) for f in fields]).alias("digest"), F.when(hit, changed).alias("tampered"))
-    leaves, edges = numbered(rows, ["id", "digest"])
+    # Written before they are dealt by range, whose sampling would hash all texts once more.
+    leaves, edges = numbered(checkpoint(rows), ["id", "digest"])
     runs, roots = forest(leaves, edges)
     roots = checkpoint(roots)
     # The tree over the groups, by the same means: their roots are its leaves.
