@@ -125,11 +125,13 @@ def _exponents(x: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(x).max(1, initial=0.0))[1]
 
 
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products; those beyond a double's range come out infinite or zero, never as the difference of two such."""
-    a, b = _exponents(q), _exponents(v)
-    if not len(a) or not len(b) or (a.max() + b.max() < 1000 and a.min() + b.min() > -900):
-        return q @ v.T
+def ordinary(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no product of rows with these exponents leaves a double's range."""
+    return bool(a.max(initial=0) + b.max(initial=0) < 1000 and a.min(initial=0) + b.min(initial=0) > -900)
+
+
+def scaled_products(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows with exponents a and b; those beyond a double's range come out infinite or zero, never as the difference of two such."""
     near_one = np.ldexp(q, -a[:, None]) @ np.ldexp(v, -b[:, None]).T
     with np.errstate(over="ignore", under="ignore"):
         return np.ldexp(near_one, a[:, None] + b[None, :])
@@ -349,6 +351,7 @@ def _read_part(k: int):
             return FOUND.empty_table()
         postings = postings.sort_by("list")
         v, of_list = _matrix(postings["x"]), postings["list"].to_numpy()
+        ev = _exponents(v)
         names, starts = np.unique(of_list, return_index=True)
         ends = [*starts[1:], len(of_list)]
         held = postings["ids"].combine_chunks()
@@ -358,6 +361,8 @@ def _read_part(k: int):
         for at in range(0, queries.num_rows, step):
             block = queries.slice(at, step)
             q = _matrix(block["x"])
+            eq = _exponents(q)
+            plain = ordinary(eq, ev)
             reads = block["lists"].combine_chunks()
             wanted = reads.flatten().to_numpy()
             row = np.repeat(np.arange(len(q)), reads.value_lengths().to_numpy())
@@ -365,14 +370,17 @@ def _read_part(k: int):
             wanted, row = wanted[order], row[order]
             lo, hi = np.searchsorted(wanted, names), np.searchsorted(wanted, names, "right")
             score = np.full((len(q), len(v)), -np.inf)
-            read = np.zeros(score.shape, bool)
+            read = None if plain else np.zeros(score.shape, bool)
             for a, b, i, j in zip(lo, hi, starts, ends):
                 if a < b:
-                    score[row[a:b], i:j] = products(q[row[a:b]], v[i:j])
-                    read[row[a:b], i:j] = True
+                    if plain:
+                        score[row[a:b], i:j] = q[row[a:b]] @ v[i:j].T
+                    else:
+                        score[row[a:b], i:j] = scaled_products(q[row[a:b]], v[i:j], eq[row[a:b]], ev[i:j])
+                        read[row[a:b], i:j] = True
             m = min(COPIES * (k + 1), len(v))  # a vector may stand in that many lists of a bundle
             least = np.partition(score, len(v) - m, axis=1)[:, len(v) - m]
-            near, col = np.nonzero((score >= least[:, None]) & read)
+            near, col = np.nonzero((score >= least[:, None]) & (np.isfinite(score) if plain else read))
             n = n_ids[col]
             each = np.repeat(at_id[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found = _best(np.repeat(near, n), flat[each], np.repeat(score[near, col], n), k + 1)
