@@ -78,9 +78,11 @@ def _sentences(spark, d, *more):
     x = plain(spark, d).withColumn("when", F.timestamp_seconds(F.floor("t_s")))
     dm = lambda v, w: F.concat(F.lpad(F.floor(F.abs(v)).cast("int").cast("string"), w, "0"), F.lpad(nmea.fixed((F.abs(v) - F.floor(F.abs(v))) * 60, 4), 7, "0"))
     at = F.concat(dm(F.col("lat"), 2), F.lit(",N,"), dm(F.col("lon"), 3), F.lit(",W"))
-    time = F.date_format("when", "HHmmss")
+    # Behind a generator, so that the texts are made once a fix and not once a sentence and mention.
+    x = x.select("*", F.inline(F.array(F.struct(at.alias("_place"), F.date_format("when", "HHmmss").alias("_time"), nmea.fixed(F.col("hdop"), 2).alias("_hdop")))))
+    at, time = F.col("_place"), F.col("_time")
     rmc = F.concat(F.lit("GPRMC,"), time, F.lit(".000,A,"), at, F.lit(","), nmea.fixed(F.col("sog_kn"), 2), F.lit(",,"), F.date_format("when", "ddMMyy"), F.lit(",,"))
-    gga = lambda q: F.concat(F.lit("GPGGA,"), time, F.lit(".000,"), at, F.lit(","), q.cast("string"), F.lit(","), F.lpad(F.col("sats").cast("string"), 2, "0"), F.lit(","), nmea.fixed(F.col("hdop"), 2), F.lit(",3.0,M,,M,,"))
+    gga = lambda q: F.concat(F.lit("GPGGA,"), time, F.lit(".000,"), at, F.lit(","), q.cast("string"), F.lit(","), F.lpad(F.col("sats").cast("string"), 2, "0"), F.lit(","), F.col("_hdop"), F.lit(",3.0,M,,M,,"))
     lines = F.array(F.struct(F.lit(0).alias("i"), rmc.alias("b")), F.struct(F.lit(1).alias("i"), gga(F.col("quality")).alias("b")), F.when(F.col("seq") % 10 == 0, F.struct(F.lit(2).alias("i"), gga(F.lit(6)).alias("b"))))
     x = x.select(*more, F.col("track").cast("string").alias("file"), (F.col("seq") * 4).alias("at"), F.explode(F.array_compact(lines)).alias("s"))
     sum_ = F.lpad(F.hex(nmea.checksum(F.col("s.b")).cast("long")), 2, "0")
