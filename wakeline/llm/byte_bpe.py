@@ -159,7 +159,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keys: dict[str
     covers every character. Null text is empty and gives no ids and no bytes; repeated rows are encoded
     each for itself; texts and pieces of any length are encoded whole. Other columns of ``docs``, whatever
     their names, take no part. Empty tables give no rows. Letters and digits are those of the ``regex``
-    package's Unicode version; of all code points five stand otherwise in the library's.
+    package's Unicode version, which may know code points that the library's does not yet.
     """
     spark: SparkSession = docs.sparkSession
     with open(vocabulary, "rb") as f:
