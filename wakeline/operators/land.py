@@ -7,15 +7,13 @@ through bands of latitude; land faces dissolve by dropping the edges between the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.geo import clip
 from wakeline.operators import match, polygons
-from wakeline.session import checkpoint, ensure_checkpoint_dir
+from wakeline.session import checkpoint, written
 
 #: The line number of the frame's edges.
 FRAME = (1 << 63) - 1
@@ -29,13 +27,6 @@ def _frame(spark, west: float, south: float, east: float, north: float) -> DataF
     return spark.createDataFrame(rows, "line long, seg long, ax double, ay double, bx double, by double")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table of the shared folder: unlike a checkpoint it carries no inferred conditions, which slow down planning here."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/land-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def ring_parents(half: DataFrame, band: float) -> DataFrame:
     """(face, area, parent): the signed area of every ring, and for rings of negative area the face around them.
 
@@ -43,7 +34,7 @@ def ring_parents(half: DataFrame, band: float) -> DataFrame:
     bands of height ``band`` they pass, and one corner of each ring meets the edges of its band.
     """
     w = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
-    rings = _written(half.groupBy("face").agg((F.sum(w) / 2).alias("area"), F.min(F.struct("ax", "ay")).alias("p")))
+    rings = written(half.groupBy("face").agg((F.sum(w) / 2).alias("area"), F.min(F.struct("ax", "ay")).alias("p")))
     inner = rings.filter("area <= 1e-12").select(F.col("face").alias("ring"), F.col("p.ax").alias("px"), F.col("p.ay").alias("py"), F.floor(F.col("p.ay") / band).cast("long").alias("_b"))
     # An edge going down has what is right of it to its left: its ring is the one seen from there.
     down = half.filter("by < ay").withColumn("_b", F.explode(F.sequence(F.floor(F.col("by") / band).cast("long"), F.floor(F.col("ay") / band).cast("long"))))
@@ -52,10 +43,10 @@ def ring_parents(half: DataFrame, band: float) -> DataFrame:
     seen = inner.join(down, "_b").filter((F.col("by") <= F.col("py")) & (F.col("py") < F.col("ay"))).withColumns({"_x": at, "_s": slope}).filter("_x < px")
     hit = seen.groupBy("ring").agg(F.max(F.struct("_x", "_s", "face")).alias("h")).select("ring", F.col("h.face").alias("to"))
     own = rings.filter("area > 1e-12").select(F.col("face").alias("ring"), F.col("face").alias("to"))
-    now = _written(inner.select("ring").join(hit, "ring", "left").unionByName(own))
+    now = written(inner.select("ring").join(hit, "ring", "left").unionByName(own))
     while True:  # rings seen beside a ring: on to what that one sees, twice as far each time
         on = now.select(F.col("ring").alias("to"), F.col("to").alias("to2"))
-        new = _written(now.join(on, "to", "left").select("ring", F.col("to2").alias("to"), (~F.col("to").eqNullSafe(F.col("to2"))).alias("moved")))
+        new = written(now.join(on, "to", "left").select("ring", F.col("to2").alias("to"), (~F.col("to").eqNullSafe(F.col("to2"))).alias("moved")))
         moved = new.filter("moved").limit(1).count()
         now = new.select("ring", "to")
         if not moved:
@@ -120,13 +111,20 @@ def faces_of(coast: DataFrame, west: float, south: float, east: float, north: fl
     if near.isEmpty():
         raise ValueError("no coastline in the box")
     pieces = polygons.split_at_crossings(near.unionByName(_frame(coast.sparkSession, west, south, east, north)), cell)
-    half = _written(polygons.faces(pieces))
+    half = written(polygons.faces(pieces))
     parents = checkpoint(ring_parents(half, cell))
-    half = _written(half.join(parents.select("face", F.col("parent").alias("own")), "face"))
+    half = written(half.join(parents.select("face", F.col("parent").alias("own")), "face"))
     inside = half.filter("own is not null").select(F.col("own").alias("face"), "ax", "ay", "bx", "by")
     land = left_of_nearest(checkpoint(inner_points(inside)), near, cell)
     areas = parents.filter("parent is not null").groupBy(F.col("parent").alias("face")).agg(F.sum("area").alias("area"))
-    return half, _written(areas.join(land, "face", "left").withColumn("land", F.coalesce("land", F.lit(False))))
+    return half, written(areas.join(land, "face", "left").withColumn("land", F.coalesce("land", F.lit(False))))
+
+
+def traced(edges: DataFrame, cell: float) -> DataFrame:
+    """polygon, ring, hole, place, ax, ay, bx, by of boundary edges (ax, ay, bx, by) that have the inside on their left."""
+    rings = written(polygons.faces(edges.withColumn("line", F.lit(1).cast("long")), order=True).filter("along"))
+    every = ring_parents(rings, cell).select("face", F.col("parent").alias("polygon"), (F.col("area") < 0).alias("hole"))
+    return written(rings.join(every, "face").select("polygon", F.col("face").alias("ring"), "hole", "place", "ax", "ay", "bx", "by"))
 
 
 def land_polygons(coast: DataFrame, west: float, south: float, east: float, north: float, cell: float) -> DataFrame:
@@ -138,12 +136,10 @@ def land_polygons(coast: DataFrame, west: float, south: float, east: float, nort
     """
     half, found = faces_of(coast, west, south, east, north, cell)
     x = half.join(found.select(F.col("face").alias("own"), "land"), "own", "left").withColumn("land", F.coalesce("land", F.lit(False)))
-    x = _written(x.select("ax", "ay", "bx", "by", "land"))
+    x = written(x.select("ax", "ay", "bx", "by", "land"))
     other = x.filter("land").select(F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    edge = x.filter("land").join(other, ["ax", "ay", "bx", "by"], "left_anti").select(F.lit(1).cast("long").alias("line"), "ax", "ay", "bx", "by")
-    rings = _written(polygons.faces(edge, order=True).filter("along"))
-    every = ring_parents(rings, cell).select("face", F.col("parent").alias("polygon"), (F.col("area") < 0).alias("hole"))
-    return _written(rings.join(every, "face").select("polygon", F.col("face").alias("ring"), "hole", "place", "ax", "ay", "bx", "by"))
+    edge = x.filter("land").join(other, ["ax", "ay", "bx", "by"], "left_anti").select("ax", "ay", "bx", "by")
+    return traced(edge, cell)
 
 
 def land_table(rings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the tables ``<folder>/<name>.parquet``."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder: unlike a checkpoint it carries no inferred conditions, which slow down the planning of many rounds."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
