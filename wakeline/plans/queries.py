@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions import clock, geo, nmea
-from wakeline.operators import days, graph, match, offset, parse, polygons, quality, raster, report, sequence
+from wakeline.operators import buffer, days, graph, match, offset, parse, polygons, quality, raster, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
 from wakeline.session import ensure_checkpoint_dir, table
 from wakeline.sources import tracks
@@ -825,6 +825,35 @@ def polygonize_faces(spark, d):
     return polygons.face_table(half, F.col("line") < 100).select(r("area", 6), r("cx", 5), r("cy", 5), "land")
 
 
+# An island a track on a lattice, boxes of whole units; with 2.4 units around it, neighbours merge or not. No lattice
+# distance lies between the radius of a round join's inner circle and 2.4, so plain distances tell the same points.
+_SHOAL = 2.4
+_ISLES = """with i as (select distinct user_id as track from events), b as (select track, track % 50 * 7 + track * 3 % 5 as x0, track // 50 * 7 + track * 11 % 4 as y0, 1 + track % 4 as w, 1 + track * 7 % 3 as h from i),
+ g as (select track, track % 50 * 7 + dx as px, track // 50 * 7 + dy as py from i, unnest(range(7)) a(dx), unnest(range(7)) c(dy))"""
+
+
+def _isles(spark, d):
+    t = table(spark, d, "events").select(F.col("user_id").alias("track")).distinct()
+    x0, y0 = F.expr("track % 50 * 7 + track * 3 % 5"), F.expr("track div 50 * 7 + track * 11 % 4")
+    x1, y1 = x0 + F.expr("1 + track % 4"), y0 + F.expr("1 + track * 7 % 3")
+    corners = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    v = t.select("track", F.posexplode(corners).alias("place", "v"))
+    return t, v.select(F.col("track").alias("ring"), "place", F.col("v.x").alias("ax"), F.col("v.y").alias("ay"))
+
+
+@query(f"""{_ISLES}, near as (select g.track, px, py, min(power(greatest(x0 - px, 0, px - x0 - w), 2) + power(greatest(y0 - py, 0, py - y0 - h), 2)) as d2 from g join i on true join b on b.track = i.track
+  where i.track // 50 between g.track // 50 - 2 and g.track // 50 + 2 and i.track % 50 between g.track % 50 - 2 and g.track % 50 + 2 group by all)
+ select track, px, py, d2 < {_SHOAL * _SHOAL} as inside from near""")
+def shoal_cover(spark, d):
+    """Which lattice points the shallows around the islands cover: islands widened, merged, and asked point by point."""
+    t, isles = _isles(spark, d)
+    shoal = buffer.buffered(isles, _SHOAL, 7.0)
+    side = F.sequence(F.lit(0), F.lit(6))
+    g = t.select("track", F.expr("track % 50 * 7").alias("x"), F.expr("track div 50 * 7").alias("y")).withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
+    p = g.select(F.struct("track", "dx", "dy").alias("id"), (F.col("x") + F.col("dx")).cast("double").alias("x"), (F.col("y") + F.col("dy")).cast("double").alias("y"))
+    return buffer.covered(p, shoal, 7.0).select("id.track", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), "inside")
+
+
 # sets, orders
 
 
