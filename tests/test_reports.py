@@ -64,3 +64,23 @@ def test_candidates_meet_few_points(spark):
 
 def test_empty(spark):
     assert report.farthest_point(spark.createDataFrame([], SCHEMA), "track", "rn", "chart").count() == 0
+
+
+def test_page_fit_and_neatline(spark):
+    box = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 1.0), (2, 0.0, 0.0, 1.0, 2.0)], "k long, cx double, cy double, width double, height double")
+    fit = {r["k"]: r for r in report.fitted(box, 1.5, 2.0).collect()}
+    assert (fit[1]["width"], fit[1]["height"]) == (2.0, 1.5) and (fit[1]["west"], fit[1]["north"]) == (-1.0, 0.75)
+    assert fit[2]["height"] == 2.0 and fit[2]["width"] == pytest.approx(8 / 3)
+    frame = spark.createDataFrame([(1, -77.1, -77.0, 26.41, 26.52), (2, 1.0, 1.0, None, 2.0)], "k long, west double, east double, south double, north double")
+    labels = {(r["axis"], r["minute"]): r["label"] for r in report.neatline_labels(frame, "k").collect()}
+    assert labels == {("lon", -4625): "77°05′W", ("lat", 1590): "26°30′N"}  # 26°25' lies within 0.012 degrees of its corner
+    bands = sorted((r["axis"], r["minute"], round(r["start"], 4), round(r["end"], 4)) for r in report.neatline_bands(frame, "k").collect())
+    assert bands[0] == ("lat", 1584, 26.41, 26.4167) and [b[1] for b in bands if b[0] == "lon"] == [-4626, -4624, -4622]
+    assert bands[[b[0] for b in bands].index("lon")][2:] == (-77.1, -77.0833)
+
+
+def test_cameras_and_slow_share(spark):
+    photos = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 2.0), ("b", None, None), (None, 1.0, 1.0)], "camera string, lat double, lon double")
+    assert sorted(map(str, ((r["camera"], r["images"], r["located"], r["placed_by"]) for r in report.camera_table(photos).collect()))) == sorted(map(str, [("a", 2, 1, "position"), ("b", 1, 0, "time"), (None, 1, 1, "position")]))
+    fixes = spark.createDataFrame([(1, 0.4), (1, 0.5), (1, None), (2, 0.0)], "k long, sog_kn double")
+    assert {(r["k"], r["n"], r["slow"], r["share"]) for r in report.slow_share(fixes, "k").collect()} == {(1, 2, 1, 0.5), (2, 1, 1, 1.0)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wakeline.functions.geo import NM_M, haversine
+from wakeline.functions.geo import NM_M, dm_label, haversine
 from wakeline.session import checkpoint
 
 # Gates of distance and of moving speed, in knots.
@@ -41,6 +41,50 @@ def extent(fixes: DataFrame, key: str, margin: float = 1.35, least: float = 0.01
     return box.select(key, mid("lon").alias("cx"), mid("lat").alias("cy"), size("lon").alias("width"), size("lat").alias("height"))
 
 
+def fitted(boxes: DataFrame, ratio: float, aspect: float) -> DataFrame:
+    """``boxes`` (cx, cy, width, height) widened or heightened to a page's ``ratio`` (height by width, in inches), plus west, east, south, north.
+
+    A degree of longitude is drawn 1 / ``aspect`` as wide as one of latitude is high. A box is never made smaller.
+    """
+    low = F.col("height") / (F.col("width") / aspect) < ratio
+    x = boxes.withColumns({"height": F.when(low, F.col("width") / aspect * ratio).otherwise(F.col("height")), "width": F.when(low, F.col("width")).otherwise(F.col("height") / ratio * aspect)})
+    half = lambda c, s, sign: F.col(c) + sign * F.col(s) / 2
+    return x.withColumns({"west": half("cx", "width", -1), "east": half("cx", "width", 1), "south": half("cy", "height", -1), "north": half("cy", "height", 1)})
+
+
+def _axes(boxes: DataFrame, key: str) -> DataFrame:
+    side = lambda name, lo, hi: F.struct(F.lit(name).alias("axis"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    return boxes.select(key, F.explode(F.array(side("lon", "west", "east"), side("lat", "south", "north"))).alias("s")).select(key, "s.*").filter("hi > lo")
+
+
+def neatline_bands(boxes: DataFrame, key: str) -> DataFrame:
+    """key, axis, minute, start, end: the inked stretches of a chart's frame, every even minute, cut at the frame's corners."""
+    x = _axes(boxes, key).withColumn("minute", F.explode(F.sequence(F.floor(F.col("lo") * 60), F.ceil(F.col("hi") * 60) - 1))).filter(F.pmod("minute", F.lit(2)) == 0)
+    x = x.select(key, "axis", "minute", F.greatest(F.col("minute") / 60, "lo").alias("start"), F.least((F.col("minute") + 1) / 60, "hi").alias("end"))
+    return x.filter("end > start")
+
+
+def neatline_labels(boxes: DataFrame, key: str, every: int = 5, corner: float = 0.012) -> DataFrame:
+    """key, axis, minute, at, label: every ``every`` th minute of a chart's frame, none nearer than ``corner`` degrees to a corner."""
+    x = _axes(boxes, key).withColumns({"first": F.ceil(F.col("lo") * 60), "last": F.floor(F.col("hi") * 60)}).filter("first <= last")
+    x = x.withColumn("minute", F.explode(F.sequence("first", "last"))).withColumn("at", F.col("minute") / 60)
+    x = x.filter((F.pmod("minute", F.lit(every)) == 0) & (F.col("at") - F.col("lo") >= corner) & (F.col("hi") - F.col("at") >= corner))
+    return x.select(key, "axis", "minute", "at", F.when(F.col("axis") == "lon", dm_label("at", "E", "W")).otherwise(dm_label("at", "N", "S")).alias("label"))
+
+
+def camera_table(photos: DataFrame, camera: str = "camera") -> DataFrame:
+    """camera, images, located, placed_by: photos with a position of their own, and how a camera's photos are placed, by it or by time. Null is a camera too."""
+    located = F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    x = photos.groupBy(camera).agg(F.count(F.lit(1)).alias("images"), located.alias("located"))
+    return x.withColumn("placed_by", F.when(F.col("located") > 0, "position").otherwise("time"))
+
+
+def slow_share(fixes: DataFrame, key: str, below: float = MOVING_KN) -> DataFrame:
+    """key, n, slow, share: fixes of each key that have a speed, and those of them slower than ``below`` knots."""
+    x = fixes.filter(F.col("sog_kn").isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sog_kn") < below).alias("slow"))
+    return x.withColumn("share", F.col("slow") / F.col("n"))
+
+
 def farthest_point(points: DataFrame, key: str, order: str, chart: str, mine: int = 3, others: int = 2, candidates: int = 400, avoid=(), manual: DataFrame | None = None) -> DataFrame:
     """Per track the point farthest from the other tracks of its ``chart``, the first on ties: key, order, lat, lon, dist (degrees).
 

@@ -534,6 +534,17 @@ def offset_points(spark, d):
     return _shifted(spark, d).select("track", "n", r("qx", 8), r("qy", 8))
 
 
+_AFLOAT_POINTS = f"with ld as ({_LOADED} select track, t_s, lat, lon from pts where leg = 'afloat'), g as (select *, row_number() over (partition by track order by t_s) as n from ld)"
+
+
+@query(f"{_SHIFT.replace(D, _AFLOAT_POINTS)} select track, n, round(x + nx_ * -0.0015 * scale, 8) as qx, round(y + ny_ * -0.0015 * scale, 8) as qy from y")
+def offset_day_points(spark, d):
+    """The shifted line over what the day loader keeps of each day afloat."""
+    w = Window.partitionBy("track").orderBy("t_s")
+    x = _loaded(spark, d)[0].filter("leg = 'afloat'").withColumn("n", F.row_number().over(w).cast("long"))
+    return offset.shifted(x, "track", "n", F.lit(-0.0015)).select("track", "n", r("qx", 8), r("qy", 8))
+
+
 @query()
 def trim_loops(spark, d):
     return offset.trim_folds(_shifted(spark, d), "track", "n").select("track", "n", r(F.col("x") / geo.K0, 8, "lon"), r("y", 8, "lat"))
@@ -630,6 +641,69 @@ def tick_table(spark, d):
     return m.select("track", "minute", (F.pmod("minute", F.lit(2)) == 0).alias("inked"), (F.pmod("minute", F.lit(5)) == 0).alias("labelled"))
 
 
+# The same badges over the days' loaded points afloat; the candidates' table has another name, since the loader's SQL has one like it.
+_AFLOAT = _LOADED + ", v as (select track, t_s as rn, lat, lon from pts where leg = 'afloat' and track % 3 <> 0), p as (" + ORACLE["badge_positions"].split(", p as (", 1)[1].replace("c as (select own", "badge as (select own").replace("from c)", "from badge)")
+
+
+@query(_AFLOAT)
+def badge_day_points(spark, d):
+    """Badges of the sailing days over what the day loader keeps of them afloat; ``rn`` is the second."""
+    x = _loaded(spark, d)[0].filter("leg = 'afloat' and track % 3 != 0").select("track", F.col("t_s").alias("rn"), "lat", "lon", F.expr("track div 5").alias("chart"))
+    by_hand = x.filter("track % 10 = 1").select("track", F.lit(26.5585).alias("lat"), F.lit(-77.0836).alias("lon")).distinct()
+    return report.farthest_point(x, "track", "rn", "chart", avoid=AVOID, manual=by_hand).select("track", "rn", r("lat"), r("lon"), r("dist", 8))
+
+
+# The frame of days ashore (centre, size), the page's aspect there, and seven charts side by side on it.
+_ASHORE, _ASPECT = (-77.0618, 26.5305, 0.047), 1 / geo.K0
+_RATIO = 0.134 * 24 / ((0.87 - 0.06) / 7 * 18)
+_PAGE = _LOADED + f""", bx as (select track, count(*) as n, min(lon) as a, max(lon) as b, min(lat) as c, max(lat) as e from pts group by track having count(*) >= 2),
+ q as (select track, case when track % 3 = 0 then {_ASHORE[0]}e0 else (a + b) / 2 end as cx, case when track % 3 = 0 then {_ASHORE[1]}e0 else (c + e) / 2 end as cy,
+  case when track % 3 = 0 then {_ASHORE[2]}e0 else greatest(b - a, 0.012e0) * 1.35e0 end as w, case when track % 3 = 0 then {_ASHORE[2]}e0 else greatest(e - c, 0.012e0) * 1.35e0 end as h from bx),
+ pg as (select track, cx, cy, case when h / (w / {_ASPECT}e0) < {_RATIO}e0 then w else h / {_RATIO}e0 * {_ASPECT}e0 end as width, case when h / (w / {_ASPECT}e0) < {_RATIO}e0 then w / {_ASPECT}e0 * {_RATIO}e0 else h end as height from q),
+ ax as (select track, 'lon' as axis, cx - width / 2 as lo, cx + width / 2 as hi from pg union all select track, 'lat', cy - height / 2, cy + height / 2 from pg)"""
+
+
+def _pages(spark, d):
+    """The frame of every loaded day's chart: around its points, or the fixed one for days ashore (one track in three), fitted to the page."""
+    box = report.extent(_loaded(spark, d)[0], "track")
+    ashore = F.col("track") % 3 == 0
+    fixed = dict(zip(("cx", "cy", "width", "height"), (*_ASHORE, _ASHORE[2])))
+    return report.fitted(box.withColumns({c: F.when(ashore, F.lit(v)).otherwise(F.col(c)) for c, v in fixed.items()}), _RATIO, _ASPECT)
+
+
+@query(f"{_PAGE} select track, round(cx, 6) as cx, round(cy, 6) as cy, round(width, 6) as width, round(height, 6) as height from pg")
+def page_extent(spark, d):
+    return _pages(spark, d).select("track", r("cx"), r("cy"), r("width"), r("height"))
+
+
+@query(f"{_PAGE}, m as (select *, unnest(range(floor(lo * 60)::bigint, ceil(hi * 60)::bigint)) as minute from ax) select track, axis, minute, round(greatest(minute / 60, lo), 6) as start, round(least((minute + 1) / 60, hi), 6) as stop from m where minute % 2 = 0 and least((minute + 1) / 60, hi) > greatest(minute / 60, lo)")
+def neatline_bands(spark, d):
+    return report.neatline_bands(_pages(spark, d), "track").select("track", "axis", "minute", r("start"), r("end", 6, "stop"))
+
+
+@query(f"""{_PAGE}, m as (select *, unnest(range(ceil(lo * 60)::bigint, floor(hi * 60)::bigint + 1)) as minute from ax)
+ select track, axis, minute, (abs(minute) // 60) || '°' || lpad((abs(minute) % 60)::varchar, 2, '0') || '\u2032' || case when axis = 'lon' then 'W' else 'N' end as label from m
+ where minute % 5 = 0 and minute / 60 - lo >= 0.012 and hi - minute / 60 >= 0.012""")
+def neatline_labels(spark, d):
+    return report.neatline_labels(_pages(spark, d), "track").select("track", "axis", "minute", "label")
+
+
+_CAMERA = "case when sats % 4 = 0 then 'action' when sats % 4 = 1 then 'drone' when quality = 6 then 'compact' else 'phone' end"
+
+
+@query(f"{P} select {_CAMERA} as camera, count(*) as images, count(*) filter (where sats % 4 in (1, 2) and hdop <= 4) as located, case when count(*) filter (where sats % 4 in (1, 2) and hdop <= 4) > 0 then 'position' else 'time' end as placed_by from f group by 1")
+def photo_cameras(spark, d):
+    own = F.expr("sats % 4 in (1, 2) and hdop <= 4")
+    x = plain(spark, d).select(F.expr(_CAMERA).alias("camera"), F.when(own, F.col("lat")).alias("lat"), F.when(own, F.col("lon")).alias("lon"))
+    return report.camera_table(x)
+
+
+@query(f"{_OFF} select o.track, count(*) as n, count(*) filter (where sog_kn < 0.5) as slow, round(count(*) filter (where sog_kn < 0.5) / count(*), 6) as share from o join f using (seq) where km > 0.5 group by o.track")
+def offshore_slow_share(spark, d):
+    x = geo.with_offshore_km(plain(spark, d)).filter(F.col("km") > geo.OFFSHORE_KM)
+    return report.slow_share(x, "track").select("track", "n", "slow", r("share"))
+
+
 # roads: a ring of nations with chords, whole-number weights
 
 
