@@ -355,6 +355,22 @@ def test_short_tracks_are_not_shifted(spark):
     assert any(abs(r.x - r.qx) > 5e-4 for r in got if r.track == "three")
 
 
+def test_radius_of_nearly_straight_bends(spark):
+    """Lengths are plain square roots: their last bit decides the angle, and with it the radius, of a nearly straight bend."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        u, v, far, bend = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(0.5, 2), rng.choice((0, 1e-8, 1e-6))
+        rows += [(k, n, 26.5 + y * 1e-2, -77.0 + x * 1e-2) for n, (x, y) in enumerate([(0.0, 0.0), (u, v), (u + far * u - bend * v, v + far * v + bend * u)])]
+    got = {r.track: r.radius for r in offset.headings(spark.createDataFrame(rows, "track long, n long, lat double, lon double"), "track", "n").filter("n = 1").collect()}
+    for k in range(400):
+        (ax, ay), (bx, by), (cx, cy) = [(lon * geo.K0, lat) for _, _, lat, lon in rows[3 * k : 3 * k + 3]]
+        (px, py), (qx, qy) = (bx - ax, by - ay), (cx - bx, cy - by)
+        p, q = math.sqrt(px * px + py * py), math.sqrt(qx * qx + qy * qy)
+        turn = math.acos(max(-1.0, min(1.0, qx / q * (px / p) + qy / q * (py / p))))
+        assert got[k] == (pytest.approx((p + q) / 2 / turn, rel=1e-12) if turn > 1e-9 else None), k
+
+
 def test_day_of_one_fix(spark):
     """A day of fewer than two good fixes has no points and zero totals, but keeps its rejects."""
     rows = [("a", 0.0, 26.5, -77.0, 3.0, 1, 9, 1.0), ("a", 5.0, 26.5, -77.0, 3.0, 6, 9, 1.0), ("a", 9.0, 45.0, -77.0, 3.0, 6, 9, 1.0)] + [("b", 300.0 * i, 26.5 + i / 1000, -77.0, 3.0, 1, 9, 1.0) for i in range(7)]

@@ -23,7 +23,8 @@ def headings(points: DataFrame, key: str, order: str) -> DataFrame:
     p = p.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)})
     p = p.filter("nx is null or nx != x or ny != y")  # a segment without length goes, the last point stays
     p = p.withColumns({"sx": F.lead("x").over(w) - F.col("x"), "sy": F.lead("y").over(w) - F.col("y")})
-    p = p.withColumn("len", F.hypot("sx", "sy")).withColumns({"ux": F.col("sx") / F.col("len"), "uy": F.col("sy") / F.col("len")})
+    # Not hypot: arc cosines near 1 show its last bit in the radius.
+    p = p.withColumn("len", F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))).withColumns({"ux": F.col("sx") / F.col("len"), "uy": F.col("sy") / F.col("len")})
     p = p.withColumns({"vx": F.lag("ux").over(w), "vy": F.lag("uy").over(w), "before": F.lag("len").over(w)})
     turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy"))))
     p = p.withColumn("turn", turn)
