@@ -2,11 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import buffer, land
+from wakeline.operators import buffer, land, polygons
 
 EDGES = "ring long, place long, ax double, ay double, bx double, by double"
 NGON = 0.5 * 32 * math.sin(2 * math.pi / 32)  # area of a round join's whole circle, of radius 1
@@ -82,3 +83,15 @@ def test_odd_rings(spark):
     nowhere = spark.createDataFrame([(1, None, 0.5), (2, float("nan"), 0.5), (3, 0.5, 0.5)], "id long, x double, y double")
     assert {r["id"]: r["inside"] for r in buffer.covered(nowhere, twice, 0.5).collect()} == {1: False, 2: False, 3: True}
     assert twice.select(F.min("place")).first()[0] == 0
+
+
+def test_long_ring_in_few_seconds(spark):
+    """A ring of thousands of edges takes a dozen rounds, each planned as fast as the first."""
+    n = 6000
+    at = [(round(math.cos(2 * math.pi * i / n), 6), round(math.sin(2 * math.pi * i / n), 6)) for i in range(n)]
+    rows = [(1, *at[i], *at[(i + 1) % n]) for i in range(n)]
+    began = time.monotonic()
+    half = polygons.faces(spark.createDataFrame(rows, "line long, ax double, ay double, bx double, by double"), order=True)
+    ring = half.filter("along").orderBy("place").collect()
+    assert time.monotonic() - began < 90
+    assert [r.place for r in ring] == list(range(n)) and all((a.bx, a.by) == (b.ax, b.ay) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.geo import clip, crossing, micro
-from wakeline.session import checkpoint
+from wakeline.session import written
 
 
 def clip_lines(segs: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -78,17 +78,17 @@ def faces(pieces: DataFrame, scale: float = 1e6, order: bool = False) -> DataFra
     both = one.withColumn("along", F.lit(True)).unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "line").withColumn("along", F.lit(False)))
     both = both.groupBy("a", "b").agg(F.max("along").alias("along"), F.min("line").alias("line"))
     angle = F.atan2((F.col("b.y") - F.col("a.y")).cast("double"), (F.col("b.x") - F.col("a.x")).cast("double"))
-    half = checkpoint(both.withColumn("angle", angle).withColumn("id", F.struct("a", "b")))
+    half = written(both.withColumn("angle", angle).withColumn("id", F.struct("a", "b")))
     # Around node b, after arriving from a: the half-edge just clockwise of the way back keeps the face on the left.
     w = Window.partitionBy("a").orderBy("angle")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = half.select("a", "b", F.coalesce(F.lag("id").over(w), F.last("id").over(whole)).alias("next"))
     follow = half.join(turn.select(F.col("a").alias("b"), F.col("b").alias("a"), "next"), ["a", "b"])
-    follow = checkpoint(follow.select("id", "next"))
+    follow = written(follow.select("id", "next"))
     ring = follow.withColumn("least", F.least("id", "next"))
     while True:
         far = ring.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"))
-        new = checkpoint(ring.join(far, "next").select("id", F.col("next2").alias("next"), F.least("least", "least2").alias("now"), "least"))
+        new = written(ring.join(far, "next").select("id", F.col("next2").alias("next"), F.least("least", "least2").alias("now"), "least"))
         moved = new.filter("now != least").limit(1).count()
         ring = new.select("id", "next", F.col("now").alias("least"))
         if not moved:
@@ -102,10 +102,10 @@ def faces(pieces: DataFrame, scale: float = 1e6, order: bool = False) -> DataFra
 
 def _places(ring: DataFrame) -> DataFrame:
     """(id, place) of half-edges (id, next, face): steps to the ring's end, by doubling from the edge before its first."""
-    now = checkpoint(ring.select("id", F.when(F.col("next") != F.col("face"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("face"), 1).otherwise(0).cast("long").alias("left"), "face"))
+    now = written(ring.select("id", F.when(F.col("next") != F.col("face"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("face"), 1).otherwise(0).cast("long").alias("left"), "face"))
     while not now.filter("next is not null").isEmpty():
         far = now.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
-        now = checkpoint(now.join(far, "next", "left").select("id", F.col("next2").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), "face"))
+        now = written(now.join(far, "next", "left").select("id", F.col("next2").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), "face"))
     size = now.groupBy("face").agg(F.max("left").alias("most"))
     return now.join(size, "face").select("id", (F.col("most") - F.col("left")).alias("place"))
 
