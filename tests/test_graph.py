@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 
 import pytest
 
@@ -74,3 +75,28 @@ def test_a_large_grid_settles_in_few_rounds(spark):
     got = graph.regional_distances(df, node(spark, (0, 0)), per_region=4000, max_rounds=50)
     want = dijkstra(edges, (0, 0))
     assert {tuple(r.node): r.dist for r in got.select("node", "dist").toLocalIterator()} == want
+
+
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    """Rounds hand round lists of regions; joins by node are dealt, so the driver never holds a region's nodes."""
+    plans = []
+
+    def seen(make):
+        def run(df):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return make(df)
+
+        return run
+
+    for name in ("checkpoint", "written"):
+        if hasattr(graph, name):
+            monkeypatch.setattr(graph, name, seen(getattr(graph, name)))
+    n = 300
+    rows = [((0, k), (0, k + step), 1.0) for k in range(n) for step in (-1, 1) if 0 <= k + step < n]
+    line = spark.createDataFrame(rows, "src struct<lat:bigint,lon:bigint>, dst struct<lat:bigint,lon:bigint>, w double")
+    out = graph.regional_distances(line, spark.createDataFrame([((0, 0),)], "node struct<lat:bigint,lon:bigint>"), per_region=100)
+    assert sorted((r.node.lon, r.dist, r.prev.lon) for r in out.collect()) == [(k, float(k), max(0, k - 1)) for k in range(n)]
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not [p for p in plans if re.search(r"BroadcastHashJoin \[(node|src|dst|prev)#", p)]
+

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.geo import haversine, micro
-from wakeline.session import checkpoint
+from wakeline.session import checkpoint, written
 
 # The classes of ways of the two profiles.
 DRIVABLE = (
@@ -88,7 +88,7 @@ def _curve(node):
 
 
 def _settle(key: tuple, rows: pa.Table, edges: pa.Table) -> pa.Table:
-    """A region's labels, the new ones among them, and its edges -> improved labels, and labels for nodes of other regions."""
+    """A region's labels, the new ones among them, and its edges -> all its labels, and labels for nodes of other regions."""
     part = key[0].as_py()
     order = np.argsort(edges["src"].to_numpy(), kind="stable")
     src, dst, w, to = (edges[c].to_numpy()[order] for c in ("src", "dst", "w", "to"))
@@ -101,14 +101,13 @@ def _settle(key: tuple, rows: pa.Table, edges: pa.Table) -> pa.Table:
             fresh.append((dist, prev, node))
         else:
             label[node] = dist, prev
-    improved, sent, queue = set(), {}, []
+    sent, queue = {}, []
     never = (float("inf"), 0)
     for dist, prev, node in fresh:
         if (dist, prev) < label.get(node, never):
             if dist < label.get(node, never)[0]:
                 heapq.heappush(queue, (dist, node))
             label[node] = dist, prev
-            improved.add(node)
     while queue:
         dist, node = heapq.heappop(queue)
         if dist > label[node][0]:
@@ -120,15 +119,13 @@ def _settle(key: tuple, rows: pa.Table, edges: pa.Table) -> pa.Table:
             old = known.get(other, never)
             if far < old[0] or (far == old[0] and node < old[1] and w[k] > 0):
                 known[other] = far, node
-                if known is label:
-                    improved.add(other)
-                    if far < old[0]:
-                        heapq.heappush(queue, (far, other))
+                if known is label and far < old[0]:
+                    heapq.heappush(queue, (far, other))
     targets = dict(zip(dst, to, strict=True))
-    out = [(part, n, *label[n]) for n in improved] + [(targets[n], n, *v) for n, v in sent.items()]
+    out = [(part, n, *v) for n, v in label.items()] + [(targets[n], n, *v) for n, v in sent.items()]
     columns = [*zip(*out, strict=True)] or [()] * 4
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    return pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([True] * len(improved) + [False] * len(sent))], names=["part", "node", "dist", "prev", "own"])
+    return pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([True] * len(label) + [False] * len(sent))], names=["part", "node", "dist", "prev", "own"])
 
 
 def regional_distances(graph: DataFrame, starts: DataFrame, target: DataFrame | None = None, per_region: int = PER_REGION, max_rounds: int = 10_000) -> DataFrame:
@@ -137,7 +134,8 @@ def regional_distances(graph: DataFrame, starts: DataFrame, target: DataFrame |
     Nodes are (lat, lon) in millionths, dealt by range along a curve that keeps neighbours together, about ``per_region`` a
     region. A round runs a priority queue inside every region that has new labels, from those alone, and hands labels
     of nodes beyond its border to their regions; regions without news rest. Equal distances keep the smaller
-    predecessor. With a ``target`` (node) labels that are no nearer than it are not handed on.
+    predecessor. With a ``target`` (node) labels that are no nearer than it are not handed on. A round gives the labels of its regions anew and
+    leaves the others where they are; only lists of regions are broadcast, never nodes.
     """
     best = checkpoint(graph.groupBy("src", "dst").agg(F.min("w").alias("w")))
     ends = best.select(F.col("src").alias("n")).unionByName(best.select(F.col("dst").alias("n"))).distinct()
@@ -146,28 +144,29 @@ def regional_distances(graph: DataFrame, starts: DataFrame, target: DataFrame |
     regions = max(1, -(-nodes.count() // per_region))
     nodes = nodes.select(_flat("n").alias("node"), _curve("n").alias("_z"), "n").repartitionByRange(regions, "_z")
     nodes = checkpoint(nodes.select("node", "n", F.spark_partition_id().cast("long").alias("part")))
-    place = nodes.select("node", "part")
+    place = nodes.select("node", "part").hint("merge")
     edges = best.select(_flat("src").alias("src"), _flat("dst").alias("dst"), "w")
-    edges = checkpoint(edges.join(place.withColumnRenamed("node", "src"), "src").join(place.select(F.col("node").alias("dst"), F.col("part").alias("to")), "dst").select(F.col("part").alias("region"), "src", "dst", "w", "to"))
+    edges = checkpoint(edges.join(nodes.select(F.col("node").alias("src"), "part").hint("merge"), "src").join(nodes.select(F.col("node").alias("dst"), F.col("part").alias("to")).hint("merge"), "dst").select(F.col("part").alias("region"), "src", "dst", "w", "to"))
     inbox = checkpoint(starts.select(_flat("node").alias("node")).distinct().join(place, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
     goal = None if target is None else checkpoint(target.select(_flat("node").alias("node")).distinct())
     known = inbox.limit(0)
     for _ in range(max_rounds):
         if inbox.isEmpty():
-            back = nodes.select("node", "n")
-            out = known.join(back, "node").select(F.col("n").alias("node"), "dist", "prev").join(back.select(F.col("node").alias("prev"), F.col("n").alias("_p")), "prev")
+            back = nodes.select("node", "n").hint("merge")
+            out = known.join(back, "node").select(F.col("n").alias("node"), "dist", "prev").join(nodes.select(F.col("node").alias("prev"), F.col("n").alias("_p")).hint("merge"), "prev")
             return out.select("node", "dist", F.col("_p").alias("prev"))
-        active = inbox.select("part").distinct()
+        active = F.broadcast(inbox.select("part").distinct())
         rows = known.join(active, "part", "left_semi").withColumn("new", F.lit(False)).unionByName(inbox.withColumn("new", F.lit(True)))
-        out = checkpoint(rows.groupBy("part").cogroup(edges.join(active.withColumnRenamed("part", "region"), "region", "left_semi").groupBy("region")).applyInArrow(_settle, f"{LABELS}, own boolean"))
-        better = out.filter("own").drop("own")
-        known = checkpoint(known.join(better.select("node"), "node", "left_anti").select(*better.columns).unionByName(better))
-        news = out.filter("not own").groupBy("part", "node").agg(F.min(F.struct("dist", "prev")).alias("s"))
-        old = known.select("node", F.struct("dist", "prev").alias("_old"))
+        out = written(rows.groupBy("part").cogroup(edges.join(active.withColumnRenamed("part", "region"), "region", "left_semi").groupBy("region")).applyInArrow(_settle, f"{LABELS}, own boolean"))
+        # As a table, since unions of checkpoints would have more partitions every round.
+        known = written(known.join(active, "part", "left_anti").unionByName(out.filter("own").drop("own")))
+        sent = out.filter("not own")
+        news = sent.groupBy("part", "node").agg(F.min(F.struct("dist", "prev")).alias("s"))
+        old = known.join(F.broadcast(sent.select("part").distinct()), "part", "left_semi").select("node", F.struct("dist", "prev").alias("_old")).hint("merge")
         news = news.join(old, "node", "left").filter("_old is null or s < _old").select("part", "node", "s.dist", "s.prev")
         if goal is not None and (there := known.join(goal, "node").agg(F.max("dist")).first()[0]) is not None:
             news = news.filter(F.col("dist") <= there)
-        inbox = checkpoint(news)
+        inbox = written(news)
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
