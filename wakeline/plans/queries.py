@@ -566,9 +566,7 @@ def _drawn_sql(name: str, x: str, y: str) -> str:
  select track, floor(cx / 64)::bigint as tx, floor(cy / 64)::bigint as ty, count(*) filter (where s = 1) as removed, count(*) filter (where s = 2) as added from d group by all""")
 def render_difference(spark, d):
     """Tracks drawn with and without the corridor's offset: the cells of each tile that change."""
-    q = _shifted(spark, d)
-    drawn = lambda x, y: raster.cells(raster.segments(q, ["track"], "n", x, y), ["track"], _CELL)
-    return raster.difference(drawn("x", "y"), drawn("qx", "qy"), ["track"])
+    return raster.drawn_difference(_shifted(spark, d), ["track"], "n", ("x", "y"), ("qx", "qy"), _CELL)
 
 
 _CROSS = f"""{D}, t as (select track, n, lon as ax, lat as ay, lead(lon) over w as bx, lead(lat) over w as b_y from g window w as (partition by track order by n)),
