@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import raster
+from wakeline.operators import raster, sequence
+from wakeline.plans import queries
+from wakeline.streaming import stops as live_stops
 
 
 @pytest.mark.parametrize("tile", [1, 6, 64, 100])
@@ -21,3 +23,23 @@ def test_drawings_compared_by_words(spark, monkeypatch, tile):
     got = raster.drawn_difference(p, ["k"], "n", ("x", "y"), ("u", "v"), 1.0, tile)
     assert got.columns == plain.columns and {tuple(r) for r in got.collect()} == want and len(want) > 20
     assert got.rdd.getNumPartitions() > 8  # about 1,600 columns at 100 a task
+
+
+def test_replay_in_many_files(spark):
+    """A replayed part is many files and still one micro-batch: no row comes late, also where a part is short of files, and stops are those of the batch."""
+    t = lambda k: F.timestamp_seconds(F.lit(1711200000) + 300 * k)
+    place = F.col("id") % 40
+    rows = spark.range(400, numPartitions=5).select((F.col("id") % 3).alias("track"), t(F.floor(F.col("id") / 3)).alias("ts"), F.when(place < 25, 26.5).otherwise(26.5 + place * 0.01).alias("lat"), F.lit(-77.0).alias("lon"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(7).cast("long").alias("track"), t(F.lit(1000)).alias("ts"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")))
+    last = lambda after: spark.range(1).select(F.lit(-1).cast("long").alias("track"), after.alias("ts"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    stream, folder = queries._replayed(spark, rows, "ts", last, file_rows=40)
+    files = [len(spark.read.parquet(f"{folder}/in/part-{k}").inputFiles()) for k in range(5)]
+    assert files == [4] * 5 and spark.read.parquet(f"{folder}/in/part-1").count() == 0
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_stops.STORE)
+    try:
+        got = queries._run(spark, live_stops.stops(stream), folder).collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    want = sequence.stops(rows, "track", "ts").collect()
+    assert len(want) > 6 and {tuple(x) for x in got} == {tuple(x) for x in want} and len(got) == len(want)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from wakeline.functions import clock, geo, nmea
 from wakeline.operators import buffer, days, graph, match, offset, parse, polygons, quality, raster, report, sequence
 from wakeline.plans.fixtures import DENSE_SQL, GOOD_SQL, PLAIN_SQL, dense, hav_sql, plain, with_time
-from wakeline.session import ensure_checkpoint_dir, table
+from wakeline.session import ensure_checkpoint_dir, table, written
 from wakeline.sources import tracks
 from wakeline.store import stored
 from wakeline.streaming import sentences, stops as live_stops
@@ -1037,17 +1037,30 @@ def stream_clean(spark, d):
     return spark.read.parquet(f"{folder}/out").select("track", r("t", 3), r("step_m", 3), "kept")
 
 
-def _replayed(spark, rows, time: str, last, parts: int = 3):
-    """``rows`` as a stream of files in order of ``time``, one a micro-batch; ``last`` is a later row that lets watermarks pass the others."""
+#: Rows of a file that a replayed stream reads.
+_FILE_ROWS = 500_000
+
+
+def _replayed(spark, rows, time: str, last, parts: int = 3, file_rows: int = _FILE_ROWS):
+    """``rows`` as a stream of files in order of ``time``, a part a micro-batch; ``last`` is a later row that lets watermarks pass the others.
+
+    Rows are made once, by all tasks. Every part has as many files, so that this number of files is a micro-batch: a part that is
+    written as fewer has empty ones added.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    cuts = rows.select(F.unix_micros(time).alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    rows = written(rows)
+    cuts = rows.select(F.unix_micros(time).alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).first()
     part = F.least(F.floor((F.unix_micros(time) - F.lit(cuts["a"])) / F.lit(max(1, (cuts["b"] or 0) - (cuts["a"] or 0))) * parts), F.lit(parts - 1))
+    files = cuts["n"] // (parts * file_rows) + 1
     for k in range(parts):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        at = f"{folder}/in/part-{k}"
+        rows.filter(part == k).coalesce(files).write.parquet(at)
+        for _ in range(files - len(spark.read.parquet(at).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(at)
     after = F.timestamp_micros(F.lit((cuts["b"] or 0) + 3 * 86_400_000_000))
     for k in range(2):
-        last(after).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+        last(after).crossJoin(spark.range(files)).repartitionById(files, F.col("id").cast("int")).drop("id").write.parquet(f"{folder}/in/part-{parts + k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{folder}/in"), folder
 
 
 def _run(spark, stream, folder: str):

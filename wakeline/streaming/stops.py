@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -14,7 +14,17 @@ from wakeline.operators.sequence import STOP_M, STOP_MIN, StopWalk
 #: State with lists and timers needs this store: set it as spark.sql.streaming.stateStore.providerClass before the job starts.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NAMES = ["start_s", "end_s", "minutes", "lat", "lon", "n"]
-FIX = "t double, lat double, lon double"
+#: A track's state in one value, so that a call reads and writes once: rows that the watermark has not passed and rows of the
+#: undecided run, three numbers each; the walk's place; the last time walked, and when the one timer of the track is due.
+STATE = "waiting array<double>, held array<double>, at int, sums array<double>, last_ms long, timer_ms long"
+
+
+def _flat(rows: list[tuple]) -> list[float]:
+    return [float(v) for r in rows for v in r]
+
+
+def _threes(flat) -> list[tuple]:
+    return [*zip(flat[::3], flat[1::3], flat[2::3], strict=True)]
 
 
 class _Stops(StatefulProcessor):
@@ -23,28 +33,28 @@ class _Stops(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", FIX)  # rows that the watermark has not passed
-        self.held = handle.getListState("held", FIX)  # rows of the undecided run
-        self.walk = handle.getValueState("walk", "at int, sums array<double>, last_ms long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for piece in rows:
-            piece = piece[["t", "lat", "lon"]].dropna()
-            if len(piece):
-                self.waiting.appendList([*piece.itertuples(index=False, name=None)])
-                least = float(piece["t"].min())
-                first = least if first is None else min(first, least)
-        if first is not None:
-            self.handle.registerTimer(int(first * 1000))
-        yield self._rows(key, [])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state = handle.getValueState("walk", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = [(r["t"], r["lat"], r["lon"]) for r in rows]
+        new = [r for r in new if all(v is not None and v == v for v in r)]
+        if new:
+            waiting, held, at, sums, last_ms, timer = self.state.get() or ([], [], 1, None, 0, None)
+            due = int(min(r[0] for r in new) * 1000)
+            if timer is None or due < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+            self.state.update(([*waiting, *_flat(new)], held, at, sums, last_ms, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self.waiting.get())
+        waiting, held, at, sums, last_ms, _ = self.state.get()
+        waiting = sorted(_threes(waiting))
         ready = [r for r in waiting if r[0] * 1000 <= passed]
-        at, sums, last_ms = tuple(self.walk.get()) if self.walk.exists() else (1, None, 0)
-        walk = StopWalk(self.radius_m, self.min_minutes, [tuple(r) for r in self.held.get()], at, list(sums) if sums else None)
+        walk = StopWalk(self.radius_m, self.min_minutes, _threes(held), at, list(sums) if sums else None)
         found = []
         for r in ready:
             found += walk.push(*r)
@@ -52,33 +62,17 @@ class _Stops(StatefulProcessor):
         left = waiting[len(ready) :]
         if not left and (walk.held or walk.sums) and last_ms + self.idle_ms <= passed:
             found += walk.end()  # silent for long enough
-        self._put(self.waiting, left)
-        self._put(self.held, walk.held)
-        if walk.held or walk.sums:
-            self.walk.update((walk.at, [float(v) for v in walk.sums] if walk.sums else None, last_ms))
-            if not left:
-                self.handle.registerTimer(last_ms + self.idle_ms)
+        if left or walk.held or walk.sums:
+            timer = int(left[0][0] * 1000) if left else last_ms + self.idle_ms
+            self.state.update((_flat(left), _flat(walk.held), walk.at, [float(v) for v in walk.sums] if walk.sums else None, last_ms, timer))
+            self.handle.registerTimer(timer)
         else:
-            self.walk.clear()
-        if left:
-            self.handle.registerTimer(int(left[0][0] * 1000))
-        yield self._rows(key, found)
+            self.state.clear()
+        return (Row(**dict(zip([self.key, *NAMES], [*key, *map(float, s[:5]), int(s[5])], strict=True))) for s in found)
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _put(state, rows: list) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
-
-    def _rows(self, key: tuple, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=NAMES).astype({**dict.fromkeys(NAMES[:5], "float64"), "n": "int64"})
-        out.insert(0, self.key, pd.Series([key[0]] * len(out), dtype="object"))
-        return out
-
 
 def stops(fixes: DataFrame, key: str = "track", time: str = "ts", late: str = "10 minutes", idle: str = "12 hours", radius_m: float = STOP_M, min_minutes: float = STOP_MIN) -> DataFrame:
     """key, start_s, end_s, minutes, lat, lon, n of a stream's stops, as the batch operator finds them whatever the micro-batches.
@@ -91,4 +85,4 @@ def stops(fixes: DataFrame, key: str = "track", time: str = "ts", late: str = "1
     schema = f"{key} {kind}, start_s double, end_s double, minutes double, lat double, lon double, n long"
     rows = fixes.withWatermark(time, late).select(key, time, (F.unix_micros(time) / 1e6).alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     made = _Stops(key, radius_m, min_minutes, int(pd.Timedelta(idle).total_seconds() * 1000))
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=made, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy(key).transformWithState(statefulProcessor=made, outputStructType=schema, outputMode="Append", timeMode="EventTime")
