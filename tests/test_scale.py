@@ -1,11 +1,12 @@
 """Work that grows with the input is dealt over more tasks, not over larger ones; results stay those of the plain forms."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import raster, sequence
+from wakeline.operators import match, raster, sequence
 from wakeline.plans import queries
 from wakeline.streaming import stops as live_stops
 
@@ -43,3 +44,28 @@ def test_replay_in_many_files(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     want = sequence.stops(rows, "track", "ts").collect()
     assert len(want) > 6 and {tuple(x) for x in got} == {tuple(x) for x in want} and len(got) == len(want)
+
+
+def test_nearest_segment_shuffles_samples_once(spark, monkeypatch):
+    """Against every pair, points on corners of cells included; samples are dealt by their cell alone, not by all that a row holds."""
+    rng, plans, write = random.Random(5), [], match.checkpoint
+    grid = lambda: rng.choice([rng.uniform(0, 3), rng.randrange(30) / 10])
+    segs = [(k, n, grid(), grid(), grid(), grid()) for k in "ab" for n in range(25)]
+    pts = [("ab"[i % 2], i, grid(), grid()) for i in range(300)]
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(match, "checkpoint", noted)
+    got = match.nearest_segment(spark.createDataFrame(pts, "k string, id int, x double, y double"), spark.createDataFrame(segs, "k string, seg long, ax double, ay double, bx double, by double"), "k", "id", 0.05, growth=2).collect()
+
+    def far(px, py, ax, ay, bx, by):
+        m = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / m)) if m else 0
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    want = {i: min(far(x, y, *s[2:]) for s in segs if s[0] == k) for k, i, x, y in pts}
+    assert len(got) == len(want) and all(abs(r.dist - want[r.id]) < 1e-12 for r in got)
+    dealt = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("ax#" in line for line in dealt)
