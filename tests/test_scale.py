@@ -69,3 +69,18 @@ def test_nearest_segment_shuffles_samples_once(spark, monkeypatch):
     assert len(got) == len(want) and all(abs(r.dist - want[r.id]) < 1e-12 for r in got)
     dealt = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line]
     assert dealt and not any("ax#" in line for line in dealt)
+
+
+def test_windows_are_worked_out_once(spark):
+    """Windows that are costly to make are read in three places of the plan and made once; one without points still comes back."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    windows = spark.createDataFrame([("a", 0.0, 9.0), ("a", 20.0, 25.0), ("b", 0.0, 5.0)], "k string, s double, e double").mapInArrow(count, "k string, s double, e double")
+    points = spark.createDataFrame([("a", float(t)) for t in range(12)], "k string, t double")
+    got = match.in_interval(windows, points, "s", "e", "t", "k", True, 4.0).groupBy("k", "s").agg(F.count("point.t").alias("n")).collect()
+    assert {(r.k, r.s): r.n for r in got} == {("a", 0.0): 10, ("a", 20.0): 0, ("b", 0.0): 0} and made.value == 3

@@ -143,9 +143,10 @@ def overall_rank(values: DataFrame, value: Column) -> DataFrame:
 def in_interval(windows: DataFrame, points: DataFrame, start: str, end: str, time: str, by: str, closed: bool, width_s: float) -> DataFrame:
     """Windows left-joined to the points of the same ``by`` inside them, ends included if ``closed``.
 
-    Times are seconds. Windows are listed under the time buckets they touch and meet points by equality. A window
+    Times are seconds. Windows are worked out once, listed under the time buckets they touch, and meet points by equality. A window
     with a null key or end holds no point and comes back once, as any other without points does.
     """
+    windows = checkpoint(windows)
     first, last = F.floor(F.col(start) / width_s).cast("long"), F.floor(F.col(end) / width_s).cast("long")
     w = windows.withColumn("_b", F.explode(F.sequence(first, F.greatest(first, last))))
     p = points.select(F.col(by).alias("_by"), F.floor(F.col(time) / width_s).cast("long").alias("_pb"), F.struct(*[F.col(c) for c in points.columns]).alias("point"))
