@@ -84,3 +84,21 @@ def test_windows_are_worked_out_once(spark):
     points = spark.createDataFrame([("a", float(t)) for t in range(12)], "k string, t double")
     got = match.in_interval(windows, points, "s", "e", "t", "k", True, 4.0).groupBy("k", "s").agg(F.count("point.t").alias("n")).collect()
     assert {(r.k, r.s): r.n for r in got} == {("a", 0.0): 10, ("a", 20.0): 0, ("b", 0.0): 0} and made.value == 3
+
+
+def test_nearest_segment_keeps_no_pairs(spark, monkeypatch):
+    """Pairs go into hash aggregates of plain numbers: none is sorted to be reduced. The lowest of equal segments is named, or none if not asked for."""
+    plans, write = [], match.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(match, "checkpoint", noted)
+    segs = spark.createDataFrame([("a", n, 0.0, float(n % 3), 1.0, float(n % 3)) for n in range(9, 0, -1)], "k string, seg long, ax double, ay double, bx double, by double")
+    pts = spark.createDataFrame([("a", i, 0.5, y) for i, y in enumerate((0.0, 0.99, 2.5, 9.0))] + [("b", 9, 0.0, 0.0)], "k string, id int, x double, y double")
+    got = match.nearest_segment(pts, segs, "k", "id", 0.05)
+    assert {r.id: (r.seg, round(r.dist, 9)) for r in got.collect()} == {0: (3, 0.0), 1: (1, 0.01), 2: (2, 0.5), 3: (2, 7.0)}
+    plain = match.nearest_segment(pts, segs, "k", "id", 0.05, with_seg=False)
+    assert plain.columns == ["id", "dist"] and {(r.id, r.dist) for r in plain.collect()} == {(r.id, r.dist) for r in got.collect()}
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)

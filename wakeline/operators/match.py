@@ -61,14 +61,15 @@ def segments(points: DataFrame, key: str, order: list[str], x: str = "x", y: str
     return s.filter("bx is not null")
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, key: str, point_id: str, cell: float, x: str = "x", y: str = "y", growth: int = 8) -> DataFrame:
-    """point_id, seg, dist: the nearest segment of the point's path, the lowest ``seg`` on ties.
+def nearest_segment(points: DataFrame, segs: DataFrame, key: str, point_id: str, cell: float, x: str = "x", y: str = "y", growth: int = 8, with_seg: bool = True) -> DataFrame:
+    """point_id, seg, dist: the nearest segment of the point's path, the lowest ``seg`` on ties; point_id and dist alone unless ``with_seg``.
 
     Segments are sampled into square cells, at half a cell's distance, and met by the points of the two by two cells whose common
     corner is nearest: what is found within 0.24 of a cell is exact. Points without such a find go on to cells ``growth`` times as wide, until
     the cells are as wide as everything; so the answer is exact at any distance, and no point meets all
     segments unless it is far from all of them. ``cell`` is half of the first width: a find within 0.48 ``cell`` ends the search.
-    A segment's cells are made distinct in its own row, so the samples are shuffled once.
+    A segment's cells are made distinct in its own row, so the samples are shuffled once. Pairs are reduced to the least distance
+    of a point as a hash aggregate of plain numbers, so they are neither sorted nor spilled; the segments that have it are looked up afterwards.
     """
     cell = 2 * cell
     pts = checkpoint(points.select(F.col(key), F.col(point_id), F.col(x).alias("_x"), F.col(y).alias("_y")))
@@ -76,7 +77,7 @@ def nearest_segment(points: DataFrame, segs: DataFrame, key: str, point_id: str,
     edge = segs.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
     own = pts.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     if edge[0] is None or own[0] is None:
-        return pts.limit(0).select(point_id, F.lit(1).alias("seg"), F.lit(0.0).alias("dist"))
+        return pts.limit(0).select(point_id, *([F.lit(1).cast("long").alias("seg")] if with_seg else []), F.lit(0.0).alias("dist"))
     span = 2 * max(max(edge[1], own[1]) - min(edge[0], own[0]), max(edge[3], own[3]) - min(edge[2], own[2]), cell)
     found, left, last = None, pts, False
     while not last:
@@ -89,11 +90,13 @@ def nearest_segment(points: DataFrame, segs: DataFrame, key: str, point_id: str,
         corner = lambda c: F.round(F.col(c) / cell).cast("long")  # noqa: B023, E731
         near = F.array(*[F.struct((corner("_x") + i).alias("_cx"), (corner("_y") + j).alias("_cy")) for i in (-1, 0) for j in (-1, 0)])
         p = left.select(key, point_id, "_x", "_y", F.inline(near))
-        d2, _ = to_segment("_x", "_y", "ax", "ay", "bx", "by")
-        best = p.join(s, [key, "_cx", "_cy"]).groupBy(point_id).agg(F.min(F.struct(F.sqrt(d2).alias("dist"), F.col("seg"))).alias("b")).select(point_id, "b.seg", "b.dist")
+        far = F.sqrt(to_segment("_x", "_y", "ax", "ay", "bx", "by")[0])
+        best = p.join(s, [key, "_cx", "_cy"]).groupBy(point_id).agg(F.min(far).alias("dist"))
         if not last:
             best = best.filter(F.col("dist") <= 0.24 * cell)
         best = checkpoint(best)
+        if with_seg:
+            best = checkpoint(p.join(best, point_id).join(s, [key, "_cx", "_cy"]).filter(far == F.col("dist")).groupBy(point_id).agg(F.min("seg").alias("seg"), F.min("dist").alias("dist")))
         found = best if found is None else found.unionByName(best)
         left = checkpoint(left.join(best.select(point_id), point_id, "left_anti"))
         last = last or left.isEmpty()

@@ -421,7 +421,7 @@ def _path(spark, d):
     pts = quality.keep_good(dense(spark, d)).select("track", "rn", (F.col("lon") * geo.K0).alias("x"), F.col("lat").alias("y"))
     segs = match.segments(pts, "track", ["rn"])
     probes = dense(spark, d).select("track", F.col("rn").alias("probe"), (F.col("lon") * geo.K0).alias("x"), (F.col("lat") + ((F.col("rn") * 31) % 17) * 1e-3).alias("y"), F.struct("track", "rn").alias("id"))
-    return match.nearest_segment(probes, segs, "track", "id", 0.005).select("id.track", F.col("id.rn").alias("probe"), (F.col("dist") * geo.M_PER_DEG).alias("dist"))
+    return match.nearest_segment(probes, segs, "track", "id", 0.005, with_seg=False).select("id.track", F.col("id.rn").alias("probe"), (F.col("dist") * geo.M_PER_DEG).alias("dist"))
 
 
 @query(f"{_PATH} select track, probe, round(dist, 3) as dist from m")
@@ -1175,7 +1175,7 @@ def corroborate_path(spark, d):
     """How far the tracker's positions are from the one line through all days' points, whatever their times."""
     pts = _voyage(spark, d).select("voyage", "t_s", (F.col("lon") * geo.K0).alias("x"), F.col("lat").alias("y"))
     probes = _reports(spark, d).select("voyage", F.struct("voyage", "probe").alias("id"), (F.col("plon") * geo.K0).alias("x"), F.col("plat").alias("y"))
-    x = match.nearest_segment(probes, match.segments(pts, "voyage", ["t_s"]), "voyage", "id", 0.005).select("id.voyage", (F.col("dist") * geo.M_PER_DEG).alias("dist"))
+    x = match.nearest_segment(probes, match.segments(pts, "voyage", ["t_s"]), "voyage", "id", 0.005, with_seg=False).select("id.voyage", (F.col("dist") * geo.M_PER_DEG).alias("dist"))
     near = x.groupBy("voyage").agg(F.count_if(F.col("dist") < 50).alias("within"))
     return match.nearest_rank(x, F.round("dist", 4), ["voyage"]).join(near, "voyage").select("voyage", "within", "n", "median", "p90", "max")
 
