@@ -2,10 +2,13 @@
 
 import math
 import random
+from functools import reduce
+from operator import xor
 
 import pytest
 from pyspark.sql import functions as F
 
+from wakeline.functions import nmea
 from wakeline.operators import match, raster, sequence
 from wakeline.plans import queries
 from wakeline.streaming import stops as live_stops
@@ -102,3 +105,14 @@ def test_nearest_segment_keeps_no_pairs(spark, monkeypatch):
     plain = match.nearest_segment(pts, segs, "k", "id", 0.05, with_seg=False)
     assert plain.columns == ["id", "dist"] and {(r.id, r.dist) for r in plain.collect()} == {(r.id, r.dist) for r in got.collect()}
     assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
+def test_checksums_without_python(spark):
+    """The XOR of any bytes, whatever their number, as an expression: sentences are written and checked without a Python worker."""
+    rng = random.Random(4)
+    bodies = ["".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(128, 3000)])) for _ in range(n % 40)) for n in range(120)] + ["", None, "\x7f" * 7, "GPRMC" * 900]
+    got = {r.i: r.c for r in spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", nmea.checksum(F.col("b")).alias("c")).collect()}
+    assert got == {i: None if b is None else reduce(xor, b.encode(), 0) for i, b in enumerate(bodies)}
+    for name in ("nmea_checksum", "nmea_parse_rmc", "nmea_parse_gga", "nmea_join_quality"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan and plan.count("regexp_extract_all") == 2, name

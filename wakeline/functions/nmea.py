@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
-
-
-@F.arrow_udf(IntegerType())
-def checksum(body: pa.Array) -> pa.Array:
-    """XOR of the bytes between ``$`` and ``*``, over a whole Arrow batch at once; null for null."""
-    n = len(body)
-    raw = body.cast(pa.large_binary())
-    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + n + 1] if n else np.zeros(1, np.int64)
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    # Running XOR from the left: what lies between two places is the XOR of both.
-    upto = np.concatenate([[0], np.bitwise_xor.accumulate(data)]) if len(data) else np.zeros(1, np.uint8)
-    found = (upto[at[1:] - at[0]] ^ upto[at[:-1] - at[0]]).astype(np.int32)
-    return pa.array(found, pa.int32(), mask=np.asarray(body.is_null()))
+
+
+def checksum(body: Column) -> Column:
+    """XOR of the bytes between ``$`` and ``*``, as an expression: seven bytes at a time as one number, whose bytes are folded at the end; null for null."""
+    words = F.regexp_extract_all(F.hex(body), F.lit(".{1,14}"), F.lit(0))
+    fold = lambda x: reduce(Column.bitwiseXOR, [F.shiftright(x, 8 * k) for k in range(7)]).bitwiseAND(F.lit(255))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.conv(w, 16, 10).cast("long")), fold).cast("int")
 
 
 def body(line: Column) -> Column:

@@ -86,7 +86,8 @@ def _sentences(spark, d, *more):
     lines = F.array(F.struct(F.lit(0).alias("i"), rmc.alias("b")), F.struct(F.lit(1).alias("i"), gga(F.col("quality")).alias("b")), F.when(F.col("seq") % 10 == 0, F.struct(F.lit(2).alias("i"), gga(F.lit(6)).alias("b"))))
     x = x.select(*more, F.col("track").cast("string").alias("file"), (F.col("seq") * 4).alias("at"), F.explode(F.array_compact(lines)).alias("s"))
     sum_ = F.lpad(F.hex(nmea.checksum(F.col("s.b")).cast("long")), 2, "0")
-    return x.select(*more, "file", (F.col("at") + F.col("s.i")).alias("pos"), F.concat(F.lit("$"), F.col("s.b"), F.lit("*"), sum_).alias("line"))
+    line = F.concat(F.lit("$"), F.col("s.b"), F.lit("*"), sum_)
+    return x.select(*more, "file", (F.col("at") + F.col("s.i")).alias("pos"), F.inline(F.array(F.struct(line.alias("line")))))
 
 
 def _dm_sql(v: str, w: int) -> str:
