@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -626,3 +627,24 @@ def test_join_one_deals_hot_keys(spark, monkeypatch):
     want = sorted((r.id, r.v) for r in rows.join(other, "k").collect())
     assert sorted((r.id, r.v) for r in skew.join_one(rows, other, ["k"]).collect()) == want
     assert skew.join_one(rows, other, ["k"], "left").count() == 1002 and skew.join_one(rows.limit(0), other, ["k"]).count() == 0
+
+
+def test_token_order_in_bounded_pieces(spark, monkeypatch):
+    """Documents are marked and stored sequences written a piece at a time, with the same result; what a worker remembers is given up where later steps follow."""
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 300, n).tolist() for n in (0, 5, 70, 0, 1, 9, 400, 3, 3, 0)]
+    batch = lambda rows: pa.record_batch([pa.array(rows, pa.list_(pa.int32()))], names=["ids"])
+    want = list(slots._stream(iter([batch(lists)]), 16, 300))
+    monkeypatch.setattr(slots, "PIECE", 10)
+    parts = list(slots._pieces(batch(lists).column(0)))
+    assert [len(s) for _, s in parts] == [2, 1, 3, 1, 3] and [x for ids, _ in parts for x in ids.tolist()] == [x for v in lists for x in v]
+    assert np.array_equal(np.concatenate(want), np.concatenate(list(slots._stream(iter([batch(lists[:4]), batch(lists[4:]).slice(0)]), 16, 300))))
+    texts = pa.array([b"ab", b"", b"cdefghijklmno", b"p"], pa.binary()).slice(1)
+    assert [(ids.tobytes(), s.tolist()) for ids, s in slots._pieces(texts)] == [(b"", [0]), (b"cdefghijklmno", [13]), (b"p", [1])]
+    stored = pa.record_batch([pa.array([0] * 600 + [1] * 5), pa.array(range(605)), pa.array([b"x"] * 605, pa.binary())], names=["shard", "slot", "ids"])
+    assert [(k, len(raw)) for k, raw in slots._shard_pieces([stored])] == [(0, 256), (0, 256), (0, 88), (1, 5)]
+    memo = bpe.Memo(lambda k: (len(k),))
+    assert memo["abc"] == (3,) and len(memo) == 1
+    memo.old = {"d": (1,)}
+    memo.forget()
+    assert not memo and not memo.old

@@ -54,6 +54,10 @@ class Memo(dict):
             self[key] = known
         return known
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Bpe:
     """Encoder and decoder of one vocabulary file: BPE with byte-level symbols and a word-end suffix."""
@@ -157,12 +161,13 @@ def vocabulary_size(vocabulary: str) -> int:
         return len(Bpe(f.read()).strings)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keys: dict[str, Column], text: Column, decoded: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, keys: dict[str, Column], text: Column, decoded: bool = True, keep: bool = True) -> DataFrame:
     """The key columns, ``ids`` (array<int>) and, if asked for, ``decoded`` (string) of every row.
 
     ``vocabulary`` is the path of a tokenizer file that the driver can read. Null text is empty and
     gives no ids and an empty string; repeated rows are encoded each for itself; texts of any length
-    are encoded whole. Other columns of ``docs``, whatever their names, take no part.
+    are encoded whole. Other columns of ``docs``, whatever their names, take no part. Unless ``keep``, a worker forgets at the
+    end of a task what it remembers, so that later steps of a job do not run in workers that still hold it.
     """
     spark: SparkSession = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
@@ -174,15 +179,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, keys: dict[str, Column], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared)
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, ROWS):
-                batch = whole_batch.slice(at, ROWS)
-                each = [bpe.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                ends = np.zeros(len(each) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in each], out=ends[1:])
-                out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))]
-                if decoded:
-                    out.append(pa.array([bpe.decode(x) for x in each], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=names)
+        try:
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, ROWS):
+                    batch = whole_batch.slice(at, ROWS)
+                    each = [bpe.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                    ends = np.zeros(len(each) + 1, dtype=np.int32)
+                    np.cumsum([len(x) for x in each], out=ends[1:])
+                    out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))]
+                    if decoded:
+                        out.append(pa.array([bpe.decode(x) for x in each], pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+        finally:
+            if not keep:
+                bpe.words.forget()
+                bpe.chunks.forget()
 
     return rows.mapInArrow(run, schema)

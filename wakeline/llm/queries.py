@@ -62,7 +62,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over the token ids of operator 10: encoded once, written, and put in training order at two bytes an id."""
     ids = _folder(spark, "ids")
-    bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(), {"doc_id": F.col("doc_id")}, F.col("text"), decoded=False).write.parquet(ids)
+    bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(), {"doc_id": F.col("doc_id")}, F.col("text"), decoded=False, keep=False).write.parquet(ids)
     return slots.materialise(spark.read.parquet(ids), _folder(spark, "slots"), ids_col="ids", vocabulary=bpe.vocabulary_size(vocabulary())).select(*MANIFEST)
 
 

@@ -45,6 +45,8 @@ LENGTH = 2048
 BYTES = 254
 #: Sequences in one shard.
 SHARD = 4096
+#: Ids that are marked at once, and stored sequences that are written at once: so memory follows neither batches nor the length of most documents.
+PIECE, ROWS = 1 << 18, 256
 
 
 def _half_bits(n: int) -> int:
@@ -104,12 +106,22 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of a batch, and those of each row, in pieces of about PIECE ids; a longer document is one piece."""
+    ids, sizes = _ids(column)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        yield ids[ends[at] : ends[to]], sizes[at:to]
+        at = to
+
+
 def _stream(batches: Iterator[pa.RecordBatch], length: int, vocabulary: int) -> Iterator[np.ndarray]:
     """Rows of ``length`` ids from batches of documents, the last one padded."""
     kind = width(vocabulary)
     rest = np.empty(0, kind)
-    for batch in batches:
-        ids, sizes = _ids(batch.column(batch.num_columns - 1))
+    for ids, sizes in chain.from_iterable(_pieces(b.column(b.num_columns - 1)) for b in batches):
         if len(ids) and (ids.min() < 0 or ids.max() >= vocabulary):
             raise ValueError(f"an id is not in 0..{vocabulary - 1}")
         marked = np.full(len(rest) + len(ids) + len(sizes), vocabulary, kind)
@@ -219,8 +231,8 @@ def _shard_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, byte
         shard = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], 1 + np.flatnonzero(np.diff(shard)), [len(shard)]])
         for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                yield int(shard[a]), b"".join(batch.column(2).slice(a, b - a).to_pylist())
+            for at in range(a, b, ROWS):
+                yield int(shard[a]), b"".join(batch.column(2).slice(at, min(ROWS, b - at)).to_pylist())
 
 
 def read_slots(run: str, first: int, count: int, length: int = LENGTH, per_shard: int = SHARD, vocabulary: int = BYTES) -> Iterator[np.ndarray]:
