@@ -95,3 +95,19 @@ def test_clipped_ways(spark):
         (6, 1): [(1, 1), (4, 1), (4, 2)],
         (6, 2): [(4, 3), (1, 3)],
     }
+
+
+def test_many_tracks_share_files(spark, tmp_path):
+    """The number of track files follows from the points, not from the tracks; names of any characters, from either layout; an empty one is null, as before."""
+    names = ["plain", " a b ", "x,y", 'say "hi"', "two\nlines", "ünï/é", "a+b%20c", "", None] + [f"t{i}" for i in range(200)]
+    rows = [(n, 1711200000 + i, 26.5 + i * 1e-3, None if i % 2 else 184.5) for i, n in enumerate(names)]
+    p = spark.createDataFrame(rows, "track string, s long, lat double, cog_deg double").select("track", F.timestamp_seconds("s").alias("ts"), "lat", F.lit(-77.1).alias("lon"), F.lit(5.0).alias("sog_kn"), "cog_deg", *[F.lit(n).alias(c) for c, n in (("quality", 1), ("sats", 7), ("hdop", 1.0))])
+    read = lambda path: sorted(((r.track or "", r.track is None, round(r.lat, 6), r.cog_deg) for r in tracks.read_tracks(spark, path).collect()), key=lambda v: v[:3])
+    key = lambda v: (v[0], v[1], v[2], v[3] or 0)
+    want = sorted(((n or "", not n, round(26.5 + i * 1e-3, 6), None if i % 2 else 184.5) for i, n in enumerate(names)), key=key)
+    tracks.write_tracks(p, f"{tmp_path}/shared")
+    assert len(list((tmp_path / "shared").rglob("part-*.csv"))) <= 8 and sorted(read(f"{tmp_path}/shared"), key=key) == want
+    named = p.filter("track != ''")
+    tracks.write_tracks(named.filter("length(track) > 3"), f"{tmp_path}/own", folders=True)
+    assert len(list((tmp_path / "own").glob("track=*"))) == len({n for n in names if n and len(n) > 3})
+    assert [v[0] for v in read(f"{tmp_path}/own")] == sorted(n for n in names if n and len(n) > 3)

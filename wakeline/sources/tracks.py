@@ -21,18 +21,24 @@ def read_logs(spark: SparkSession, folder: str, pattern: str = "GPS_*.log") -> D
     return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.log$", 1).alias("file"), at.alias("pos"), F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\f")).alias("line"))
 
 
-def write_tracks(fixes: DataFrame, path: str) -> None:
-    """CSV with a header, one folder a track: 6, 6, 2, 1 and 1 decimals, an empty field for no course."""
+def write_tracks(fixes: DataFrame, path: str, folders: bool = False) -> None:
+    """CSV with a header: 6, 6, 2, 1 and 1 decimals, an empty field for no course, the track's name (URL-encoded) last.
+
+    Tracks share files, each sorted by track and time, so the number of files follows from the number of points; a track is in one file, or in
+    a few where it is large. An empty name is read as null. With ``folders`` each track has a folder of its own instead, which suits some hundreds of tracks.
+    """
     text = {"lat": 6, "lon": 6, "sog_kn": 2, "cog_deg": 1, "hdop": 1}
     cols = [nmea.fixed(F.col(c), text[c]).alias(c) if c in text else F.col(c) for c in ("lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")]
-    out = fixes.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), *cols, "track")
-    # Rows of a track meet before writing, so a track is one file, or a few where it is large.
-    out.hint("rebalance", F.col("track")).write.mode("overwrite").option("header", True).partitionBy("track").csv(path)
+    out = fixes.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), *cols, F.url_encode("track").alias("track"))
+    # Rows of a track meet before writing.
+    write = out.hint("rebalance", F.col("track")).sortWithinPartitions("track", "utc").write.mode("overwrite").option("header", True)
+    (write.partitionBy("track") if folders else write).csv(path)
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tracks`` wrote, in either layout."""
     rows = spark.read.schema(f"{FIX}, track string").option("header", True).csv(path)
-    return rows.select("track", clock.iso(F.col("utc")).alias("ts"), "lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")
+    return rows.select(F.url_decode("track").alias("track"), clock.iso(F.col("utc")).alias("ts"), "lat", "lon", "sog_kn", "cog_deg", "quality", "sats", "hdop")
 
 
 def write_gpx(fixes: DataFrame, path: str, piece: int = 10_000, per_file: int = 50_000) -> None:
