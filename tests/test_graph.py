@@ -100,3 +100,31 @@ def test_nodes_are_not_broadcast(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 6 and not [p for p in plans if re.search(r"BroadcastHashJoin \[(node|src|dst|prev)#", p)]
 
+
+
+def line(spark, n, w=1.0):
+    rows = [((0, k), (0, k + step), w) for k in range(n) for step in (-1, 1) if 0 <= k + step < n]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_rounds_write_labels_of_borders_alone(spark, monkeypatch):
+    """What rounds write follows from borders and not from the nodes known so far, which grow from round to round."""
+    rows, make = [], graph.written
+
+    def seen(df):
+        out = make(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", seen)
+    n = 1000
+    out = graph.regional_distances(line(spark, n), node(spark, (0, 0)), per_region=100)
+    assert sorted((r.node.lon, r.dist, r.prev.lon) for r in out.collect()) == [(k, float(k), max(0, k - 1)) for k in range(n)]
+    # The edges once, the result once, and beyond them a few labels a round.
+    assert sum(rows) < 4 * n
+
+
+def test_predecessors_form_no_ring_without_length(spark):
+    n = 60
+    got = {r.node.lon: (r.dist, r.prev.lon) for r in graph.regional_distances(line(spark, n, 0.0), node(spark, (0, n - 1)), per_region=10).collect()}
+    assert got == {k: (0.0, min(k + 1, n - 1)) for k in range(n)}

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.geo import haversine, micro
-from wakeline.session import checkpoint, written
+from wakeline.session import checkpoint, written, written_by
 
 # The classes of ways of the two profiles.
 DRIVABLE = (
@@ -27,8 +29,9 @@ def edges(ways: DataFrame, allowed=DRIVABLE) -> DataFrame:
     x = x.filter(F.size("p") >= 2).select(F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("e"))
     x = x.select("e.a", "e.b").filter("a != b")
     w = haversine(F.col("a.lat") / 1e6, F.col("a.lon") / 1e6, F.col("b.lat") / 1e6, F.col("b.lon") / 1e6)
-    one = x.select(F.col("a").alias("src"), F.col("b").alias("dst"), w.alias("w"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    x = x.select("a", "b", w.alias("w"))
+    # By a generator, so that the ways are made once and not once a direction.
+    return x.select(F.inline(F.array(*[F.struct(F.col(p).alias("src"), F.col(q).alias("dst"), "w") for p, q in (("a", "b"), ("b", "a"))])))
 
 
 def nearest_node(graph: DataFrame, lat: float, lon: float):
@@ -66,107 +69,177 @@ def distances(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000, tar
 
 
 #: Nodes of a region, about.
-PER_REGION = 20_000
-LABELS = "part long, node long, dist double, prev long"
+PER_REGION = 250_000
+LABELS = "part int, node long, dist double, still int, prev long"
+#: A region: its nodes in order, nodes beyond its border and their regions, edges by source as numbers of nodes (first those inside), nodes whose labels others need.
+PACKED = "part int, own array<bigint>, far array<bigint>, far_part array<int>, starts array<int>, dst array<int>, w array<double>, marks array<int>"
 
 
 def _flat(node):
     """A node (lat, lon in millionths) as one number."""
-    return F.col(f"{node}.lat") * 1_000_000_000 + F.col(f"{node}.lon")
+    return F.col(f"{node}.lat").cast("long") * 1_000_000_000 + F.col(f"{node}.lon")
 
 
-def _curve(node):
-    """A node's place on a curve that keeps neighbours together: the bits of latitude and longitude in turn."""
+def _unflat(node: str):
+    """The latitude and longitude of a node given as one number."""
+    lon = f"(pmod({node} + 500000000, 1000000000) - 500000000)"
+    return F.expr(f"({node} - {lon}) div 1000000000"), F.expr(lon)
 
-    def spread(c):
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-        return c
 
-    half = lambda c, least: F.shiftright((F.col(f"{node}.{c}") + least).cast("long"), 1)  # noqa: E731  31 bits at most
-    return F.shiftleft(spread(half("lat", 90_000_000)), 1).bitwiseOR(spread(half("lon", 180_000_000)))
+def _dealer(edges: DataFrame, per_region: int):
+    """A function that adds the regions of nodes: bands of latitude, cut by longitude, with about as many edges each.
+
+    The driver sees the bounds of regions alone.
+    """
+    from pyspark.ml.feature import Bucketizer  # here, so that workers do without the package
+
+    regions = -(-edges.agg(F.approx_count_distinct("src")).first()[0] // per_region)
+    if regions < 2:
+        return lambda df, **nodes: df.withColumns({name: F.lit(0) for name in nodes})
+    shares = lambda n: [k / n for k in range(1, n)]
+    near = max(10_000, 100 * regions)
+
+    def cut(df, names, bounds):
+        return Bucketizer(splitsArray=[bounds] * len(names), inputCols=names, outputCols=[f"{c}_cut" for c in names]).transform(df)
+
+    def banded(df, bounds, nodes):
+        places = {name: _unflat(node) for name, node in nodes.items()}
+        df = cut(df.withColumns({f"_{name}": lat.cast("double") for name, (lat, _) in places.items()}), [f"_{name}" for name in nodes], bounds)
+        # Bands side by side on one axis.
+        return df.withColumns({f"_{name}": F.col(f"_{name}_cut") * 1e9 + lon for name, (_, lon) in places.items()})
+
+    lats = edges.agg(F.percentile_approx(_unflat("src")[0], shares(1 + math.isqrt(regions)), near)).first()[0]
+    bands = [-math.inf, *sorted({float(c) for c in lats}), math.inf]
+    found = banded(edges, bands, {"at": "src"}).groupBy("_at_cut").agg(F.count("*").alias("n"), F.percentile_approx("_at", shares(regions), near).alias("cuts")).collect()
+    bounds, all_ = {-math.inf, math.inf}, sum(r.n for r in found)
+    for r in found:
+        parts = max(1, round(r.n / all_ * regions))
+        bounds |= {r["_at_cut"] * 1e9 - 5e8, *(r.cuts[min(len(r.cuts) - 1, round(share * regions) - 1)] for share in shares(parts))}
+    bounds = sorted(bounds)
+
+    def deal(df: DataFrame, **nodes: str) -> DataFrame:
+        names = [f"_{name}" for name in nodes]
+        df = cut(banded(df, bands, nodes).drop(*(f"{c}_cut" for c in names)), names, bounds)
+        return df.withColumns({name: F.col(f"_{name}_cut").cast("int") for name in nodes}).drop(*names, *(f"{c}_cut" for c in names))
+
+    return deal
 
 
-def _settle(key: tuple, rows: pa.Table, edges: pa.Table) -> pa.Table:
-    """A region's labels, the new ones among them, and its edges -> all its labels, and labels for nodes of other regions."""
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """A region's edges, and nodes without an edge (dst null) whose labels others need -> the region as one row."""
     part = key[0].as_py()
-    order = np.argsort(edges["src"].to_numpy(), kind="stable")
-    src, dst, w, to = (edges[c].to_numpy()[order] for c in ("src", "dst", "w", "to"))
-    names, starts = np.unique(src, return_index=True)
-    at = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(src)], strict=True), strict=True))
-    dst, w, to = dst.tolist(), w.tolist(), to.tolist()
-    label, fresh = {}, []
-    for node, dist, prev, new in zip(*(rows[c].to_pylist() for c in ("node", "dist", "prev", "new")), strict=True):
-        if new:
-            fresh.append((dist, prev, node))
-        else:
-            label[node] = dist, prev
-    sent, queue = {}, []
-    never = (float("inf"), 0)
-    for dist, prev, node in fresh:
-        if (dist, prev) < label.get(node, never):
-            if dist < label.get(node, never)[0]:
-                heapq.heappush(queue, (dist, node))
-            label[node] = dist, prev
+    marks = np.unique(rows.filter(pc.is_null(rows["dst"]))["src"].to_numpy())
+    rows = rows.filter(pc.is_valid(rows["dst"]))
+    src, dst, w, to = (rows[c].to_numpy() for c in ("src", "dst", "w", "to"))
+    inside = to == part
+    own = np.unique(np.concatenate([src, dst[inside], marks]))
+    far, first = np.unique(dst[~inside], return_index=True)
+    a, b = np.searchsorted(own, src), np.where(inside, np.searchsorted(own, dst), len(own) + np.searchsorted(far, dst))
+    order = np.lexsort((w, b, a))
+    a, b, w = a[order], b[order], w[order]
+    # The shortest of parallel edges; no edge from a node to itself.
+    keep = a != b
+    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, w = a[keep], b[keep], w[keep]
+    starts = np.searchsorted(a, np.arange(len(own) + 1))
+    columns = {"own": own, "far": far, "far_part": to[~inside][first].astype(np.int32), "starts": starts.astype(np.int32), "dst": b.astype(np.int32), "w": w, "marks": np.searchsorted(own, marks).astype(np.int32)}
+    return pa.table({"part": pa.array([part], pa.int32()), **{c: pa.ListArray.from_arrays([0, len(v)], pa.array(v)) for c, v in columns.items()}})
+
+
+def _settle(key: tuple, rows: pa.Table, packed: pa.Table, whole: bool) -> pa.Table:
+    """A region's labels from outside and the region -> labels of all its nodes, or those that others need and those for nodes of other regions.
+
+    ``still`` counts the steps without length at the end of a way: of ways as long the one with fewer is taken, then
+    the one from the smaller predecessor, so that predecessors never form a ring.
+    """
+    part = key[0].as_py()
+    own, far, far_part, starts, dst, w, marks = ((packed[c][0].values.to_numpy() if packed.num_rows else np.zeros(0, np.int64)) for c in ("own", "far", "far_part", "starts", "dst", "w", "marks"))
+    n, names = len(own), np.concatenate([own, far])
+    name, starts, dst, w = own.tolist(), starts.tolist(), dst.tolist(), w.tolist()
+    dist, still, prev = [float("inf")] * len(names), [0] * len(names), [0] * len(names)
+    given = rows["node"].to_numpy()
+    at = np.searchsorted(own, given)
+    found = at < n
+    found[found] = own[at[found]] == given[found]
+    queue = []
+    for i, *label in zip(at[found].tolist(), *(rows[c].to_numpy()[found].tolist() for c in ("dist", "still", "prev")), strict=True):
+        dist[i], still[i], prev[i] = label
+        queue.append((dist[i], still[i], i))
+    heapq.heapify(queue)
     while queue:
-        dist, node = heapq.heappop(queue)
-        if dist > label[node][0]:
+        d, z, i = heapq.heappop(queue)
+        if d > dist[i] or z > still[i]:
             continue  # stale
-        i, j = at.get(node, (0, 0))
-        for k in range(i, j):
-            far, other = dist + w[k], dst[k]
-            known = label if to[k] == part else sent
-            old = known.get(other, never)
-            if far < old[0] or (far == old[0] and node < old[1] and w[k] > 0):
-                known[other] = far, node
-                if known is label and far < old[0]:
-                    heapq.heappush(queue, (far, other))
-    targets = dict(zip(dst, to, strict=True))
-    out = [(part, n, *v) for n, v in label.items()] + [(targets[n], n, *v) for n, v in sent.items()]
-    columns = [*zip(*out, strict=True)] or [()] * 4
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    return pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([True] * len(label) + [False] * len(sent))], names=["part", "node", "dist", "prev", "own"])
+        me = name[i]
+        for k in range(starts[i], starts[i + 1]):
+            other, there = dst[k], d + w[k]
+            old = dist[other]
+            if there > old:
+                continue
+            step = z + 1 if there == d else 0
+            if there < old or step < still[other]:
+                dist[other], still[other], prev[other] = there, step, me
+                if other < n:
+                    heapq.heappush(queue, (there, step, other))
+            elif step == still[other] and me < prev[other]:
+                prev[other] = me
+    dist = np.array(dist, np.float64)
+    out = np.arange(n) if whole else np.concatenate([marks, np.arange(n, len(names))])
+    out = out[dist[out] < np.inf]
+    to = np.concatenate([np.full(n, part), far_part])[out]
+    table = {"part": to.astype(np.int32), "node": names[out], "dist": dist[out], "still": np.array(still, np.int32)[out], "prev": np.array(prev, np.int64)[out], "own": out < n}
+    table = pa.table(table)
+    if whole and not found.all():  # starts without an edge
+        alone = rows.select(["part", "node", "dist", "still", "prev"]).filter(pa.array(~found))
+        table = pa.concat_tables([table, alone.append_column("own", pa.array([True] * alone.num_rows)).cast(table.schema)])
+    return table
 
 
 def regional_distances(graph: DataFrame, starts: DataFrame, target: DataFrame | None = None, per_region: int = PER_REGION, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist, prev) as ``distances`` gives them, for road graphs of any size: rounds follow from regions, not from hops.
 
-    Nodes are (lat, lon) in millionths, dealt by range along a curve that keeps neighbours together, about ``per_region`` a
-    region. A round runs a priority queue inside every region that has new labels, from those alone, and hands labels
-    of nodes beyond its border to their regions; regions without news rest. Equal distances keep the smaller
-    predecessor. With a ``target`` (node) labels that are no nearer than it are not handed on. A round gives the labels of its regions anew and
-    leaves the others where they are; only lists of regions are broadcast, never nodes.
+    Nodes are (lat, lon) in millionths, dealt over bands of latitude cut by longitude, about ``per_region`` a
+    region, and every region is packed into one row of a folder of its own. A round reads the regions that have new labels
+    and no others, runs a priority queue inside each from all labels at its border, and hands labels of nodes beyond the border to
+    their regions. Between rounds only labels of nodes at borders are kept; a last pass gives those of all nodes.
+    Equal distances keep the smaller predecessor. With a ``target`` (node) labels farther than it are not handed on, once it
+    is reached. The driver sees numbers of regions, never nodes, and nothing is broadcast.
     """
-    best = checkpoint(graph.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    ends = best.select(F.col("src").alias("n")).unionByName(best.select(F.col("dst").alias("n"))).distinct()
-    first = starts.select(F.struct(F.col("node.lat").cast("long").alias("lat"), F.col("node.lon").cast("long").alias("lon")).alias("n"))
-    nodes = checkpoint(ends.select(F.struct(F.col("n.lat").cast("long").alias("lat"), F.col("n.lon").cast("long").alias("lon")).alias("n")).unionByName(first).distinct())
-    regions = max(1, -(-nodes.count() // per_region))
-    nodes = nodes.select(_flat("n").alias("node"), _curve("n").alias("_z"), "n").repartitionByRange(regions, "_z")
-    nodes = checkpoint(nodes.select("node", "n", F.spark_partition_id().cast("long").alias("part")))
-    place = nodes.select("node", "part").hint("merge")
-    edges = best.select(_flat("src").alias("src"), _flat("dst").alias("dst"), "w")
-    edges = checkpoint(edges.join(nodes.select(F.col("node").alias("src"), "part").hint("merge"), "src").join(nodes.select(F.col("node").alias("dst"), F.col("part").alias("to")).hint("merge"), "dst").select(F.col("part").alias("region"), "src", "dst", "w", "to"))
-    inbox = checkpoint(starts.select(_flat("node").alias("node")).distinct().join(place, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
-    goal = None if target is None else checkpoint(target.select(_flat("node").alias("node")).distinct())
-    known = inbox.limit(0)
+    edges = written(graph.select(_flat("src").alias("src"), _flat("dst").alias("dst"), "w").filter("src is not null and dst is not null and w is not null"))
+    deal = _dealer(edges, per_region)
+    goal = None if target is None else target.select(_flat("node").alias("node")).filter("node is not null").distinct()
+    row = F.struct("part", "src", "dst", "w", "to")
+    # A node that is entered from another region is told to its own.
+    mark = F.when(F.col("part") != F.col("to"), F.struct(F.col("to").alias("part"), F.col("dst").alias("src"), *(F.lit(None).cast(kind).alias(c) for c, kind in (("dst", "long"), ("w", "double"), ("to", "int")))))
+    rows = deal(edges, part="src", to="dst").select(F.inline(F.array_compact(F.array(row, mark))))
+    if goal is not None:
+        rows = rows.unionByName(deal(goal, part="node").select("part", F.col("node").alias("src")), allowMissingColumns=True)
+        goals = goal.count()
+    packed = written_by(rows.groupBy("part").applyInArrow(_pack, PACKED), "part")
+    first = deal(starts.select(_flat("node").alias("node")).filter("node is not null").distinct(), part="node")
+    held = written(first.select("part", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("still"), F.col("node").alias("prev"), F.lit(True).alias("fresh")))
+    label = F.struct("dist", "still", "prev")
+
+    def settle(labels, regions, whole):
+        run = lambda key, rows, packed: _settle(key, rows, packed, whole)
+        return labels.drop("fresh").groupBy("part").cogroup(regions.groupBy("part")).applyInArrow(run, f"{LABELS}, own boolean")
+
     for _ in range(max_rounds):
-        if inbox.isEmpty():
-            back = nodes.select("node", "n").hint("merge")
-            out = known.join(back, "node").select(F.col("n").alias("node"), "dist", "prev").join(nodes.select(F.col("node").alias("prev"), F.col("n").alias("_p")).hint("merge"), "prev")
-            return out.select("node", "dist", F.col("_p").alias("prev"))
-        active = F.broadcast(inbox.select("part").distinct())
-        rows = known.join(active, "part", "left_semi").withColumn("new", F.lit(False)).unionByName(inbox.withColumn("new", F.lit(True)))
-        out = written(rows.groupBy("part").cogroup(edges.join(active.withColumnRenamed("part", "region"), "region", "left_semi").groupBy("region")).applyInArrow(_settle, f"{LABELS}, own boolean"))
-        # As a table, since unions of checkpoints would have more partitions every round.
-        known = written(known.join(active, "part", "left_anti").unionByName(out.filter("own").drop("own")))
-        sent = out.filter("not own")
-        news = sent.groupBy("part", "node").agg(F.min(F.struct("dist", "prev")).alias("s"))
-        old = known.join(F.broadcast(sent.select("part").distinct()), "part", "left_semi").select("node", F.struct("dist", "prev").alias("_old")).hint("merge")
-        news = news.join(old, "node", "left").filter("_old is null or s < _old").select("part", "node", "s.dist", "s.prev")
-        if goal is not None and (there := known.join(goal, "node").agg(F.max("dist")).first()[0]) is not None:
-            news = news.filter(F.col("dist") <= there)
-        inbox = written(news)
+        fresh = held.filter("fresh")
+        if goal is not None:
+            there, reached = held.join(goal.hint("merge"), "node").agg(F.max("dist"), F.count("*")).first()
+            if reached and reached == goals:
+                fresh = fresh.filter(F.col("dist") <= there)
+        # Numbers of regions, so that folders of others are not even opened.
+        active = [r.part for r in fresh.select("part").distinct().collect()]
+        if not active:
+            out = written(settle(held, packed, True).select("node", "dist", "prev"))
+            place = lambda c: F.struct(*(x.alias(name) for x, name in zip(_unflat(c), ("lat", "lon"), strict=True)))
+            return out.select(place("node").alias("node"), "dist", place("prev").alias("prev"))
+        on = F.col("part").isin(active)
+        both = held.drop("fresh").withColumn("own", F.lit(True)).unionByName(settle(held.filter(on), packed.filter(on), False))
+        least = both.groupBy("part", "node").agg(F.min(label).alias("s"), F.min(F.when(F.col("own"), label)).alias("_old"))
+        held = written(least.select("part", "node", "s.*", (F.col("_old").isNull() | (F.col("s") < F.col("_old"))).alias("fresh")))
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
